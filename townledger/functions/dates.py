@@ -27,7 +27,7 @@ def parse_date(col) -> Column:
     """Leading ISO day, else the first German date, else blank."""
     c = blank(col)
     iso = F.regexp_extract(F.trim(c), r"^(\d{4}-\d{2}-\d{2})", 1)
-    german = r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b"
+    german = r"(?<![\p{L}\p{N}_])(\d{1,2})\.(\d{1,2})\.(\d{4})(?![\p{L}\p{N}_])"
     day, month, year = (F.regexp_extract(c, german, i) for i in (1, 2, 3))
     return (F.when(iso != "", iso)
             .when(year != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))

@@ -150,7 +150,7 @@ def truncate_text(col, limit: int = 600) -> Column:
 def strip_city_hyphen(col, spellings=("Köln", "Koeln", "koeln"), shown: str | None = None) -> Column:
     """``Köln-Niehl`` becomes ``Köln Niehl`` before places are matched."""
     choice = "|".join(re.escape(s) for s in spellings)
-    return F.regexp_replace(F.coalesce(_c(col), F.lit("")), rf"\b(?:{choice})\s*-\s*", f"{shown or spellings[0]} ")
+    return F.regexp_replace(F.coalesce(_c(col), F.lit("")), rf"(?<!{WORD[:-1]})(?:{choice})\s*-\s*", f"{shown or spellings[0]} ")
 
 
 def raw_words(col) -> Column:
