@@ -16,6 +16,12 @@ def _anchor(piece: Column) -> Column:
     return F.substring(piece, 1, ANCHOR)
 
 
+def letter_runs(word: Column, n: int) -> Column:
+    """All runs of ``n`` letters of a word."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))
+    return F.when(F.length(word) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def match_terms(texts: DataFrame, terms: DataFrame, keep=(), few: int = FEW_TERMS) -> DataFrame:
     """Pairs (id, term) where the term is part of the text.
 
@@ -44,10 +50,7 @@ def match_many_terms(texts: DataFrame, terms: DataFrame, keep=()) -> DataFrame:
     keyed = terms.select("term", longest.alias("piece")).withColumn("gram", _anchor(F.col("piece")))
     lengths = sorted(r[0] for r in keyed.select(F.length("gram").alias("n")).distinct().collect())
     words = texts.select("id", *keep, F.explode(F.array_distinct(tokens("text"))).alias("word"))
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length("word") >= n,
-               F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i, n=n: F.substring(F.col("word"), i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in lengths])))
+    grams = F.array_distinct(F.concat(*[letter_runs(F.col("word"), n) for n in lengths]))
     vocabulary = words.select("word").distinct().select("word", F.explode(grams).alias("gram"))
     by_word = (vocabulary.join(small_side(keyed), "gram").filter(F.contains("word", F.col("piece")))
                .select("word", "term").distinct())
