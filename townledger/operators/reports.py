@@ -320,7 +320,7 @@ def demand(requests: DataFrame, gap_s: int = DEMAND_GAP_S) -> DataFrame:
     secs = requests.select("city", F.unix_timestamp("at").alias("s")).groupBy("city", "s").agg(F.count(F.lit(1)).alias("_n"))
     days = secs.select("city", F.floor(F.col("s") / DAY_S).cast("long").alias("day"), "s")
 
-    def per_day(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_day(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(key[1]) * DAY_S
         seconds = np.sort(pdf["s"].to_numpy())
         carry = np.concatenate([start - np.arange(1, gap_s), [start - gap_s]])
@@ -331,7 +331,7 @@ def demand(requests: DataFrame, gap_s: int = DEMAND_GAP_S) -> DataFrame:
     # The carries that lead to the same end are the same case; keep one row per distinct result.
     ranges = cases.groupBy("city", "day", "n", "first_s", "last_s").agg(F.min("carry").alias("lo"), F.max("carry").alias("hi"))
 
-    def per_city(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_city(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first, last, total = -1, None, 0
         for day, rows in pdf.sort_values("day").groupby("day"):
             start = int(day) * DAY_S
