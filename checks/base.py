@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townledger.session import configure
+from townledger.session import configure, spread
+
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +19,13 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
-            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+            def table(name: str) -> DataFrame:
+                df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+
+            return fn(table)
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -16,6 +17,8 @@ UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("Ä", "ae"),
 ENDINGS = ("chen", "lein", "ern", "em", "er", "es", "en", "e", "s", "n")
 STEM_MIN = 5
 WHITESPACE = r"[\x1c-\x1f\p{IsWhite_Space}]+"
+# Every character with a long form lies here.
+RARE = r"[\x{bc}-\x{be}\x{100}-\x{10ffff}]"
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -65,25 +68,37 @@ def _char_class(chars) -> str:
     return "[" + "".join(parts) + "]"
 
 
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def fold_accents(col) -> Column:
-    """Compatibility decomposition without combining marks; plain ASCII rows skip the tables."""
+    """Compatibility decomposition without combining marks.
+
+    Cheap tests keep the tables away from texts that do not need them: plain ASCII rows pass as
+    they are, and only rows with rarer characters are looked through for long forms.
+    """
     c = _c(col)
     single, forms, marks, longer = _compatibility_tables()
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")  # folded to a constant by the planner
     simple = F.translate(c, single + marks, forms)
     expanded = F.array_join(
         F.transform(F.split(simple, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    return (F.when(F.octet_length(c) == F.char_length(c), c)
-            .when(c.rlike(_char_class(longer)), expanded)
-            .otherwise(simple))
+    rare = c.rlike(RARE) & c.rlike(_char_class(longer))
+    return F.when(_is_ascii(c), c).when(rare, expanded).otherwise(simple)
+
+
+def spell_umlauts(col) -> Column:
+    c = _c(col)
+    for old, new in UMLAUTS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
 
 
 def norm(col) -> Column:
     """Comparison form: umlauts spelled out, accents removed, lower case, single blanks; null gives ''."""
     c = F.coalesce(_c(col).cast("string"), F.lit(""))
-    for old, new in UMLAUTS:
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(F.lower(fold_accents(c)), "[^0-9a-z]+", " "))
+    return F.trim(F.regexp_replace(F.lower(fold_accents(spell_umlauts(c))), "[^0-9a-z]+", " "))
 
 
 def tokens(normed) -> Column:

@@ -70,3 +70,13 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a dimension whose size was checked; otherwise the shuffle join stays."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread over all cores by key if the scan yields fewer partitions than that.
+
+    A small file with one row group is read by one task; for work per row that costs far more than
+    reading, the short shuffle pays. On inputs with many files this changes nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
