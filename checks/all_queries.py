@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import q_functions, q_places, q_questions, q_search  # noqa: F401
+from . import q_functions, q_places, q_questions, q_search, q_tables, q_timeline  # noqa: F401

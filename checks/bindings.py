@@ -57,10 +57,8 @@ def dims(t, streets=None) -> CityDims:
           .select(city, F.concat(F.lit("t"), F.col("i").cast("string")).alias("key"), F.col("i").cast("string").alias("label"), "terms", F.col("i").cast("int").alias("pos")))
     names = t("region").select(F.concat(F.lit("stadt"), F.when(F.col("r_regionkey") > 0, F.col("r_regionkey").cast("string")).otherwise("")).alias("city"),
                                F.when(F.col("r_regionkey") == 0, "Stadt").otherwise(F.col("r_name")).alias("name"), F.array().cast(NONE).alias("aliases"), (F.col("r_regionkey") > 0).alias("on_demand"))
-    # Derived anew from the benchmark texts, so kept for the several joins that read them.
-    d, q, pc, th, names = (x.cache() for x in (d, q, pc, th, names))
     return CityDims(districts=d, quarters=q, postcodes=pc.select(city, "plz", F.lit("").alias("note")).distinct(),
-                    postcode_quarters=pc.select(city, "plz", "quarter"), themes=th, cities=names, streets=streets)
+                    postcode_quarters=pc.select(city, "plz", "quarter"), themes=th, cities=names, streets=streets).settled()
 
 
 # --- records and places -----------------------------------------------------------

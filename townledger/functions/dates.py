@@ -63,9 +63,8 @@ def moment_de(col) -> Column:
     c = blank(col)
     timed = F.contains(c, F.lit("T")) | F.contains(c, F.lit(" "))
     shown = F.date_format(local_time(moment(c)), "dd.MM.yyyy, HH:mm")
-    return (F.when(moment(c).isNull(), "")
-            .when(timed, F.concat(shown, F.lit(" Uhr")))
-            .otherwise(date_de(c)))
+    return (F.when(timed, F.coalesce(F.concat(shown, F.lit(" Uhr")), F.lit("")))
+            .when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), date_de(c)).otherwise(""))
 
 
 def since(col, today) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
+from ..session import settled
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,10 @@ class CityDims:
     cities: DataFrame | None = None
     streets: DataFrame | None = None
 
+    def settled(self) -> "CityDims":
+        """The same dimensions with small frames worked out once."""
+        return CityDims(**{f.name: None if getattr(self, f.name) is None else settled(getattr(self, f.name)) for f in fields(self)})
+
 
 def normalise_terms(themes: DataFrame) -> DataFrame:
     """Theme terms normalised, distinct and sorted."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, norm, variants_of_norm
-from ..session import CANDIDATE_CAP, small_side
+from ..session import CANDIDATE_CAP, settled, small_side
 from .dims import CityDims
 from .places import DISTRICT, POSTCODE, QUARTER, expand_area
 from .terms import match_terms
@@ -92,9 +92,9 @@ def match_pairs(requests: DataFrame, records: DataFrame, places: DataFrame, dims
 
     Place rows and term hits meet in one aggregation per pair, so the records' texts never travel.
     """
-    requests = requests.withColumn("plz", F.nullif(blank("plz"), F.lit("")))
-    area, terms = expand_area(requests, dims), request_terms(requests, dims)
-    shapes = request_shapes(requests, terms, area)
+    requests = settled(requests.withColumn("plz", F.nullif(blank("plz"), F.lit(""))))
+    area, terms = settled(expand_area(requests, dims)), settled(request_terms(requests, dims))
+    shapes = settled(request_shapes(requests, terms, area))
     parts = ("place", "theme", "word_no", "full_no", "any_word", "points")
 
     def hits(df, **given):
@@ -151,6 +151,7 @@ def score(cands: DataFrame, requests: DataFrame, records: DataFrame, dims: CityD
     terms = request_terms(requests, dims).filter("kind = 'theme'")
     themes = terms.groupBy("request_id").agg(F.collect_set("term").alias("theme_terms"))
     asked = requests.select("request_id", F.coalesce("open", F.lit(False)).alias("open_asked")).join(themes, "request_id", "left")
+    asked = settled(asked)
     df = cands.join(asked, "request_id").join(records.select("id", "title"), "id")
     if status is not None:
         df = df.join(status.select("id", F.col("open").alias("is_open")), "id", "left")
@@ -178,5 +179,6 @@ def page(scored: DataFrame, requests: DataFrame) -> DataFrame:
 def search(requests: DataFrame, records: DataFrame, places: DataFrame, dims: CityDims, today,
            status: DataFrame | None = None, cap: int = CANDIDATE_CAP) -> DataFrame:
     """Staged, filtered, ranked pages for all requests: request_id, id, rank, score, stage, total and flags."""
+    requests, dims = settled(requests), dims.settled()
     cands = candidates(match_pairs(requests, records, places, dims), cap)
     return page(score(cands, requests, records, dims, status, today), requests)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # ranked window before the shuffle only up to its own threshold, so both belong together.
 CANDIDATE_CAP = 3000
 # A side joined by broadcast has at most this many rows, checked before the hint is given.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -67,9 +67,20 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def settled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A small derived frame worked out once, as rows; a larger one stays the plan it is.
+
+    At most ``rows + 1`` rows are fetched, as a broadcast of the frame would do anyway. Joins that
+    read the frame several times then neither recompute it nor guess its size.
+    """
+    table = df.limit(rows + 1).toArrow()
+    return df if table.num_rows > rows else df.sparkSession.createDataFrame(table, df.schema)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a dimension whose size was checked; otherwise the shuffle join stays."""
-    return F.broadcast(df) if fits(df, rows) else df
+    """Broadcast hint for a side whose size was checked; beyond the bound the shuffle join stays."""
+    out = settled(df, rows)
+    return df if out is df else F.broadcast(out)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
