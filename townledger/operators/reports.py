@@ -15,7 +15,7 @@ FAILED = ("gesperrt", "nicht erreichbar")
 RUNS_LOOKED_AT = 20
 PAUSE_BASE_S, PAUSE_MAX_S = 600, 21_600
 DEMAND_GAP_S = 600
-DAY_S = 86_400
+WEEK_S = 7 * 86_400
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -293,19 +293,15 @@ def report_totals(report: DataFrame) -> DataFrame:
 
 # --- demand ------------------------------------------------------------------
 
-def _jumps(seconds: np.ndarray, carry: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy picks inside one sorted day for every possible last pick before it."""
-    at, n = carry.copy(), len(seconds)
-    count = np.zeros(len(carry), dtype=np.int64)
-    first = np.full(len(carry), -1, dtype=np.int64)
+def _chains(seconds: np.ndarray, first: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of greedy picks and the last pick, for each index of a first pick."""
+    at, count = seconds[first], np.ones(len(first), dtype=np.int64)
     while True:
         idx = np.searchsorted(seconds, at + gap, side="left")
-        go = idx < n
+        go = idx < len(seconds)
         if not go.any():
-            return count, first, at
-        picked = seconds[np.minimum(idx, n - 1)]
-        first = np.where(go & (first < 0), picked, first)
-        at = np.where(go, picked, at)
+            return count, at
+        at = np.where(go, seconds[np.minimum(idx, len(seconds) - 1)], at)
         count += go
 
 
@@ -313,37 +309,38 @@ def demand(requests: DataFrame, gap_s: int = DEMAND_GAP_S) -> DataFrame:
     """First, last and number of noted requests per city; a repeat within the gap of the last NOTED one is ignored.
 
     Requests: city, at (timestamp). Repeats within a second are merged before the shuffle. The greedy
-    rule is sequential, so each (city, day) works out its result for every possible last pick that
-    can still matter (the last ``gap_s`` seconds before the day, or none); a walk over the days then
-    strings them together. No task sees more than one day, or one row per day and case.
+    rule is sequential, so each (city, week) works out its result for every range of last picks
+    before it that makes a difference: a request in the first ``gap_s`` seconds may or may not be the
+    first pick. A walk over the weeks then strings them together. No task sees more than the seconds
+    of one week, or a city's few cases per week.
     """
     secs = requests.select("city", F.unix_timestamp("at").alias("s")).groupBy("city", "s").agg(F.count(F.lit(1)).alias("_n"))
-    days = secs.select("city", F.floor(F.col("s") / DAY_S).cast("long").alias("day"), "s")
+    weeks = secs.select("city", F.floor(F.col("s") / WEEK_S).cast("long").alias("week"), "s")
+    endless = np.iinfo(np.int64).max
 
-    def per_day(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(key[1]) * DAY_S
+    def per_week(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         seconds = np.sort(pdf["s"].to_numpy())
-        carry = np.concatenate([start - np.arange(1, gap_s), [start - gap_s]])
-        count, first, last = _jumps(seconds, carry, gap_s)
-        return pd.DataFrame({"city": key[0], "day": key[1], "carry": carry, "n": count, "first_s": first, "last_s": last})
+        start = int(key[1]) * WEEK_S
+        first = np.arange(min(np.searchsorted(seconds, start + gap_s) + 1, len(seconds)))
+        count, last = _chains(seconds, first, gap_s)
+        before = np.concatenate([[-endless], seconds[first[:-1]] - gap_s + 1])
+        rows = pd.DataFrame({"lo": before, "hi": seconds[first] - gap_s, "n": count, "first_s": seconds[first], "last_s": last})
+        if len(first) == len(seconds):  # the last pick may lie too close before all of them
+            rows.loc[len(rows)] = [seconds[-1] - gap_s + 1, endless, 0, -1, -1]
+        return rows.assign(city=key[0], week=key[1])[["city", "week", "lo", "hi", "n", "first_s", "last_s"]]
 
-    cases = days.groupBy("city", "day").applyInPandas(per_day, "city string, day long, carry long, n long, first_s long, last_s long")
-    # The carries that lead to the same end are the same case; keep one row per distinct result.
-    ranges = cases.groupBy("city", "day", "n", "first_s", "last_s").agg(F.min("carry").alias("lo"), F.max("carry").alias("hi"))
+    cases = weeks.groupBy("city", "week").applyInPandas(per_week, "city string, week long, lo long, hi long, n long, first_s long, last_s long")
 
     def per_city(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first, last, total = -1, None, 0
-        for day, rows in pdf.sort_values("day").groupby("day"):
-            start = int(day) * DAY_S
-            carry = start - gap_s if last is None or last < start - gap_s else last
-            row = rows[(rows["lo"] <= carry) & (rows["hi"] >= carry)].iloc[0]
+        first, last, total = None, -endless, 0
+        for _, rows in pdf.sort_values("week").groupby("week"):
+            row = rows[(rows["lo"] <= last) & (rows["hi"] >= last)].iloc[0]
             if row["n"] > 0:
-                total += int(row["n"])
-                last = int(row["last_s"])
-                first = int(row["first_s"]) if first < 0 else first
+                first = int(row["first_s"]) if first is None else first
+                total, last = total + int(row["n"]), int(row["last_s"])
         return pd.DataFrame({"city": [key[0]], "first_s": [first], "last_s": [last], "n": [total]})
 
-    out = ranges.groupBy("city").applyInPandas(per_city, "city string, first_s long, last_s long, n long")
+    out = cases.groupBy("city").applyInPandas(per_city, "city string, first_s long, last_s long, n long")
     return out.select("city", F.timestamp_seconds("first_s").alias("first_at"), F.timestamp_seconds("last_s").alias("last_at"), "n")
 
 

@@ -42,4 +42,5 @@ def apply_batch(path: str, batch: DataFrame, keys, merge: Callable[[DataFrame, D
         stored = rows.limit(0)
     merged = (merge or (lambda old, new: upsert(old, new, keys)))(stored, rows)
     ready = cut_lineage(merged.select(*rows.columns).withColumn("bucket", bucket(keys, buckets)))
-    (ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    # Rebalancing splits a bucket that one hot key makes large and joins small ones.
+    (ready.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))

@@ -17,6 +17,7 @@ from ..operators import reports as R
 from ..operators import tables as T
 from ..operators.dims import CityDims
 from ..plans.store import apply_batch, exists
+from ..session import cut_lineage
 
 
 def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
@@ -40,17 +41,21 @@ def stream_upsert(stream: DataFrame, path: str, keys, order, checkpoint: str):
     return _run(stream, handle, checkpoint)
 
 
-def stream_changes(stream: DataFrame, history: str, checkpoint: str, chunk: Column, key: str = "id", seq: str = "seq"):
+def stream_changes(stream: DataFrame, history: str, last: str, checkpoint: str, chunk: Column, key: str = "id", seq: str = "seq"):
     """Append a snapshot only where the content differs from the one before it.
 
-    The batch is compared with the last stored snapshot of its keys; the history is written by
-    (key, seq), so a batch delivered twice stores nothing twice.
+    A narrow table keeps the last hash per key; the history is only ever appended to, one partition
+    per batch. A batch delivered again replaces its own partition or finds nothing new.
     """
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        return old.unionByName(T.append_changed_snapshots(old, new, key, seq, chunk))
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(history, batch.dropDuplicates([key, seq]), [key], merge)
+        spark = batch.sparkSession
+        batch = cut_lineage(batch.dropDuplicates([key, seq]))
+        state = batch.select(key, seq, "content_hash")
+        known = spark.read.parquet(last).drop("bucket").select(*state.columns) if exists(spark, last) else state.limit(0)
+        fresh = T.append_changed_snapshots(known, batch, key, seq, chunk).withColumn("batch", F.lit(batch_id))
+        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(history))
+        newest = batch.groupBy(key).agg(F.max_by("content_hash", seq).alias("content_hash"), F.max(seq).alias(seq)).select(*state.columns)
+        apply_batch(last, newest, [key], lambda old, new: T.last_of_batch(old.unionByName(new), [key], [seq]))
 
     return _run(stream, handle, checkpoint)
 
