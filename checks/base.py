@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townledger.session import configure, spread
+from townledger.session import configure, ensure_checkpoint_dir, spread
 
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
@@ -25,6 +26,9 @@ def query(name: str, sql: str | None = None):
                 df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
                 return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
+            table.stream = lambda name: (spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+                                         .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+            table.scratch = lambda: f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
             return fn(table)
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run

@@ -220,9 +220,12 @@ def participation_rejects(t):
     return notices.participation_entries(card_pages(t))[1].select("page_id", "rejected")
 
 
-@query("next_page_audit", "SELECT page_id, url, CASE WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN '' ELSE '' END AS next_url FROM pages WHERE false")
+@query("next_page_audit", "SELECT page_id, 'https://stadt.example/l/' || page_id AS url, 'https://stadt.example/l/' || page_id + 1 AS next_url FROM pages WHERE page_id % 10 <> 0 AND (page_id % 10 = 9 OR page_id = (SELECT max(page_id) FROM pages))")
 def next_page_audit(t):
-    return notices.missing_pages(t("pages"))
+    """Every tenth page is not stored; the pages before the gaps name a page that is missing."""
+    at = F.lit("https://stadt.example/l/")
+    html = F.concat(F.col("html"), F.lit('<a class="n" href="/l/'), F.col("page_id") + 1, F.lit('" rel="next">weiter</a>'))
+    return notices.missing_pages(t("pages").filter("page_id % 10 <> 0").select("page_id", F.concat(at, "page_id").alias("url"), html.alias("html")))
 
 
 @query("next_pages", "SELECT o_orderkey // 50 AS page_id, 'https://stadt.example/liste?page=3' AS next_url, 'Treffer 1–50 von 191' AS note FROM orders GROUP BY 1")
@@ -276,7 +279,7 @@ def feed_rejects(t):
     return feeds.hints(feed_pages(t), "x")[1]
 
 
-def catalogue(t):
+def catalogue_rows(t):
     """Suppliers as datasets with licences of several spellings and two distributions."""
     k = F.col("s_suppkey")
     licence = F.element_at(F.array(*[F.lit(x) for x in ("dl-de/by-2-0", "dl-zero-de/2.0", "CC BY 2.0", "Namensnennung", "", "CC0")]), (k % 6 + 1).cast("int"))
@@ -284,7 +287,17 @@ def catalogue(t):
     d = F.struct(F.concat(F.lit("id"), k).alias("identifier"), F.col("s_name").alias("title"), licence.alias("license"), F.struct(F.concat(F.lit("Amt "), F.col("s_nationkey")).alias("name")).alias("publisher"),
                  F.array(F.struct(F.struct(F.lit("pdf").alias("format"), F.lit("http://daten.example/a.pdf").alias("downloadURL"), F.lit(None).cast("string").alias("mediaType"), F.lit(None).cast("string").alias("license")).alias("data")),
                          F.struct(F.struct(F.lit("").alias("format"), data["downloadURL"].alias("downloadURL"), data["mediaType"].alias("mediaType"), data["license"].alias("license")).alias("data"))).alias("distribution"))
-    return opendata.datasets(t("supplier").select(F.concat(F.lit("s"), k % 4).alias("source_id"), k.alias("position"), F.to_json(d).alias("dataset")))
+    return t("supplier").select(F.concat(F.lit("s"), k % 4).alias("source_id"), k.alias("position"), F.to_json(d).alias("dataset"))
+
+
+def catalogue(t):
+    return opendata.datasets(catalogue_rows(t))
+
+
+def all_wanted(t):
+    """Every dataset asked for by its title."""
+    k = F.col("s_suppkey")
+    return t("supplier").select(F.concat(F.lit("s"), k % 4).alias("source_id"), k.alias("entry_no"), F.col("s_name").alias("entry"))
 
 
 @query("classify_licence", """SELECT 'id' || s_suppkey AS dataset_id, CASE WHEN s_suppkey % 6 IN (0, 3) THEN 'by' WHEN s_suppkey % 6 IN (1, 4, 5) THEN 'zero' END AS licence_kind, CASE WHEN s_suppkey % 6 IN (0, 3) THEN 'Datenlizenz Deutschland – Namensnennung – Version 2.0 (Namensnennung: Amt ' || s_nationkey || ')'
