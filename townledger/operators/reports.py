@@ -15,7 +15,7 @@ FAILED = ("gesperrt", "nicht erreichbar")
 RUNS_LOOKED_AT = 20
 PAUSE_BASE_S, PAUSE_MAX_S = 600, 21_600
 DEMAND_GAP_S = 600
-WEEK_S = 7 * 86_400
+SPAN_S = 28 * 86_400  # at most this many distinct seconds meet in one task
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -309,38 +309,41 @@ def demand(requests: DataFrame, gap_s: int = DEMAND_GAP_S) -> DataFrame:
     """First, last and number of noted requests per city; a repeat within the gap of the last NOTED one is ignored.
 
     Requests: city, at (timestamp). Repeats within a second are merged before the shuffle. The greedy
-    rule is sequential, so each (city, week) works out its result for every range of last picks
+    rule is sequential, so each (city, span of days) works out its result for every range of last picks
     before it that makes a difference: a request in the first ``gap_s`` seconds may or may not be the
-    first pick. A walk over the weeks then strings them together. No task sees more than the seconds
-    of one week, or a city's few cases per week.
+    first pick. A walk over the spans then strings them together. No task sees more than the seconds
+    of one span, or a city's few cases per span.
     """
     secs = requests.select("city", F.unix_timestamp("at").alias("s")).groupBy("city", "s").agg(F.count(F.lit(1)).alias("_n"))
-    weeks = secs.select("city", F.floor(F.col("s") / WEEK_S).cast("long").alias("week"), "s")
+    spans = secs.select("city", F.floor(F.col("s") / SPAN_S).cast("long").alias("span"), "s")
     endless = np.iinfo(np.int64).max
 
-    def per_week(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_span(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         seconds = np.sort(pdf["s"].to_numpy())
-        start = int(key[1]) * WEEK_S
+        start = int(key[1]) * SPAN_S
         first = np.arange(min(np.searchsorted(seconds, start + gap_s) + 1, len(seconds)))
         count, last = _chains(seconds, first, gap_s)
         before = np.concatenate([[-endless], seconds[first[:-1]] - gap_s + 1])
-        rows = pd.DataFrame({"lo": before, "hi": seconds[first] - gap_s, "n": count, "first_s": seconds[first], "last_s": last})
+        rows = {"lo": before, "hi": seconds[first] - gap_s, "n": count, "first_s": seconds[first], "last_s": last}
         if len(first) == len(seconds):  # the last pick may lie too close before all of them
-            rows.loc[len(rows)] = [seconds[-1] - gap_s + 1, endless, 0, -1, -1]
-        return rows.assign(city=key[0], week=key[1])[["city", "week", "lo", "hi", "n", "first_s", "last_s"]]
+            extra = {"lo": seconds[-1] - gap_s + 1, "hi": endless, "n": 0, "first_s": -1, "last_s": -1}
+            rows = {c: np.append(v, extra[c]) for c, v in rows.items()}
+        return pd.DataFrame({"city": key[0], "span": key[1], **rows})
 
-    cases = weeks.groupBy("city", "week").applyInPandas(per_week, "city string, week long, lo long, hi long, n long, first_s long, last_s long")
+    cases = spans.groupBy("city", "span").applyInPandas(per_span, "city string, span long, lo long, hi long, n long, first_s long, last_s long")
 
-    def per_city(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first, last, total = None, -endless, 0
-        for _, rows in pdf.sort_values("week").groupby("week"):
-            row = rows[(rows["lo"] <= last) & (rows["hi"] >= last)].iloc[0]
-            if row["n"] > 0:
-                first = int(row["first_s"]) if first is None else first
-                total, last = total + int(row["n"]), int(row["last_s"])
-        return pd.DataFrame({"city": [key[0]], "first_s": [first], "last_s": [last], "n": [total]})
+    # Walk over the spans in order: of each, the one case that holds for the last pick before it.
+    case = F.struct("span", "lo", "hi", "n", "first_s", "last_s")
+    zero = F.struct(F.lit(-1).cast("long").alias("done"), F.lit(-endless).cast("long").alias("last"), F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
 
-    out = cases.groupBy("city").applyInPandas(per_city, "city string, first_s long, last_s long, n long")
+    def step(acc, c):
+        holds = (c["span"] != acc["done"]) & (c["lo"] <= acc["last"]) & (acc["last"] <= c["hi"])
+        picked = F.struct(c["span"].alias("done"), F.when(c["n"] > 0, c["last_s"]).otherwise(acc["last"]).alias("last"),
+                          F.coalesce(acc["first"], F.when(c["n"] > 0, c["first_s"])).alias("first"), (acc["n"] + c["n"]).alias("n"))
+        return F.when(holds, picked).otherwise(acc)
+
+    out = (cases.groupBy("city").agg(F.aggregate(F.array_sort(F.collect_list(case)), zero, step).alias("r"))
+           .select("city", F.col("r.first").alias("first_s"), F.col("r.last").alias("last_s"), "r.n"))
     return out.select("city", F.timestamp_seconds("first_s").alias("first_at"), F.timestamp_seconds("last_s").alias("last_at"), "n")
 
 

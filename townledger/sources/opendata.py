@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date
 from ..functions.text import _c, blank, collapse_ws, norm
 from ..operators.topk import first_per_key
+from ..session import small_side
 from .council import as_list, is_object
 
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -145,11 +146,28 @@ def cell_text(value: Column) -> Column:
             .otherwise(collapse_ws(v)))
 
 
-def column_with(cells: Column, words) -> Column:
-    """Name of the first column, in column order, one of whose words is listed."""
-    marks = F.array(*[F.lit(w) for w in words])
-    hit = F.filter(cells, lambda c: F.arrays_overlap(F.split(norm(c["name"]), " "), marks))
-    return F.get(hit, 0)["name"]
+def with_column_roles(rows: DataFrame) -> DataFrame:
+    """Cells with their display text and the roles their names can play.
+
+    Names are looked at once per distinct list of columns, not once per row.
+    """
+    named = rows.withColumn("_names", F.transform("cells", lambda c: c["name"]))
+    words = F.transform("_names", lambda n: F.split(norm(n), " "))
+
+    def role(marks):
+        listed = F.array(*[F.lit(m) for m in marks])
+        return F.transform("_w", lambda w: F.arrays_overlap(w, listed))
+
+    shapes = named.select("_names").distinct().withColumn("_w", words).select(
+        "_names", role(TITLE_WORDS).alias("_t"), role(DATE_WORDS).alias("_d"), role(END_WORDS).alias("_e"), role(ID_WORDS).alias("_i"))
+    cells = F.transform("cells", lambda c, i: F.struct(c["name"].alias("name"), cell_text(c["value"]).alias("value"), F.get("_t", i).alias("t"),
+                                                       F.get("_d", i).alias("d"), F.get("_e", i).alias("e"), F.get("_i", i).alias("i")))
+    return named.join(small_side(shapes), "_names").withColumn("_all", cells).drop("_names", "_t", "_d", "_e", "_i")
+
+
+def column_with(cells: Column, role: str) -> Column:
+    """Name of the first column, in column order, that can play the role."""
+    return F.get(F.filter(cells, lambda c: c[role]), 0)["name"]
 
 
 def value_of(cells: Column, name: Column) -> Column:
@@ -158,19 +176,18 @@ def value_of(cells: Column, name: Column) -> Column:
 
 def row_key(cells: Column, id_value: Column) -> Column:
     """Stable key of a row: its id, else a hash over all fields sorted by name."""
-    flat = F.array_join(F.transform(F.array_sort(cells), lambda c: F.concat(c["name"], F.lit("="), c["value"])), "|")
+    flat = F.array_join(F.transform(F.array_sort(F.transform(cells, lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value")))), lambda c: F.concat(c["name"], F.lit("="), c["value"])), "|")
     hashed = F.concat(F.lit("z"), F.substring(F.sha1(flat.cast("binary")), 1, 12))
     return F.when(id_value != "", F.substring(F.regexp_replace(id_value, r"\s+", "-"), 1, 80)).otherwise(hashed)
 
 
 def dataset_rows_to_entries(rows: DataFrame, meta: DataFrame, today, city_label: str = "Stadt Köln") -> DataFrame:
     """Rows of any shape as list entries; ``meta``: dataset_id, title, modified, licence_text, original_url."""
-    text = F.transform("cells", lambda c: F.struct(c["name"].alias("name"), cell_text(c["value"]).alias("value")))
-    df = rows.join(meta, "dataset_id").withColumn("_all", text).withColumn("_c", F.filter("_all", lambda c: c["value"] != ""))
-    df = (df.withColumn("_tc", column_with(F.col("_c"), TITLE_WORDS)).withColumn("_dc", column_with(F.col("_c"), DATE_WORDS))
-          .withColumn("_ic", column_with(F.col("_c"), ID_WORDS)))
+    df = with_column_roles(rows).join(meta, "dataset_id").withColumn("_c", F.filter("_all", lambda c: c["value"] != ""))
+    df = (df.withColumn("_tc", column_with(F.col("_c"), "t")).withColumn("_dc", column_with(F.col("_c"), "d"))
+          .withColumn("_ic", column_with(F.col("_c"), "i")))
     rest = F.filter("_c", lambda c: ~c["name"].eqNullSafe(F.col("_dc")))
-    df = df.withColumn("_ec", column_with(rest, END_WORDS))
+    df = df.withColumn("_ec", column_with(rest, "e"))
     name = F.coalesce(F.nullif("title", F.lit("")), F.col("dataset_id"))
     title = F.coalesce(F.nullif(value_of(F.col("_c"), F.col("_tc")), F.lit("")), F.concat(name, F.lit(" – Zeile "), F.col("number").cast("string")))
     begin, end = parse_date(value_of(F.col("_c"), F.col("_dc"))), parse_date(value_of(F.col("_c"), F.col("_ec")))
