@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, quality
+from . import bpe, exact, quality
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,9 @@ def op3_exact_dedup(docs: DataFrame) -> DataFrame:
 def op4_quality_rules(docs: DataFrame) -> DataFrame:
     """Base figures and the verdict of line-first cleaning for every document."""
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("documents")
+def op9_bpe(docs: DataFrame) -> DataFrame:
+    """Ids of every document and the bytes they stand for, as digests."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
