@@ -170,9 +170,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.withColumn("decoded", run(F.coalesce("ids", F.array().cast("array<int>"))))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; null counts as empty."""
     df = decode(encode(docs, path, pattern, id_col, text_col), path, pattern)
-    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    return df.select("doc_id", *["ids"] * keep_ids, F.size("ids").cast("long").alias("n_tokens"),
                      F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
                      F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, quality
+from . import bpe, exact, mixing, near, quality
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,18 @@ def op4_quality_rules(docs: DataFrame) -> DataFrame:
 def op9_bpe(docs: DataFrame) -> DataFrame:
     """Ids of every document and the bytes they stand for, as digests."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("documents", near.SQL)
+def op5_near_dedup(docs: DataFrame) -> DataFrame:
+    """Near-duplicate group of every document at a similarity of 0.75, the smallest id stays."""
+    return near.near_groups(docs)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rate and number of copies of every document for the target weights."""
+    prepare(spark)
+    return mixing.rates(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES["op7_mixing"] = op7_mixing
