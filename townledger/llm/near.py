@@ -57,19 +57,15 @@ def band_hashes(items: np.ndarray, seed: int = 0, bands: int = BANDS, rows: int
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, node, bands): node names the shingle set, null for a document without words."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            n, nodes, bands = [], [], []
-            for t in pdf["text"]:
-                s = shingle_set(t, SHINGLE)
-                n.append(len(s))
-                nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                bands.append(band_hashes(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "node": nodes, "bands": bands})
-
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInPandas(run, f"doc_id {kind}, n_shingles long, node binary, bands array<long>")
+    @F.pandas_udf("n_shingles long, node binary, bands array<long>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            sets = [shingle_set(t, SHINGLE) for t in texts]
+            yield pd.DataFrame({"n_shingles": [len(s) for s in sets],
+                                "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                                "bands": [band_hashes(s) if len(s) else None for s in sets]})
+
+    return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("s")).select("doc_id", "s.*")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:

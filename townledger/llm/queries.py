@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, near, quality
+from . import bpe, exact, mixing, near, quality, substring
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,12 @@ def query(table: str, sql: str | None = None):
     return add
 
 
+@query("documents", substring.SQL)
+def op1_substring_dedup(docs: DataFrame) -> DataFrame:
+    """Every document without the words of passages of 35 words or more that start elsewhere too."""
+    return substring.remove_recurring(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @query("documents", exact.SQL)
 def op3_exact_dedup(docs: DataFrame) -> DataFrame:
     """Exact copies of every document, the largest id stays."""

@@ -58,3 +58,28 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; a shorter text is one shingle, one without words has none."""
     h = word_hashes(lower_words(text))
     return np.unique(run_hashes(h, min(k, len(h)))) if len(h) else np.zeros(0, np.uint64)
+
+
+ODD = 0xD6E8FEB86659FD93
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, … modulo 2^64; kept and lengthened as needed."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        have = np.full(size, base, np.uint64)
+        have[0] = 1
+        have = _powers[base] = np.multiply.accumulate(have)
+    return have[:n]
+
+
+def window_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hash of every run of k words by differences of prefix sums: the cost does not depend on k."""
+    n = len(h)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    back, forth = _power_table(pow(ODD, -1, 1 << 64), n), _power_table(ODD, n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + step(salt + 1)) * back)])
+    return mix((total[k:] - total[:n - k + 1]) * forth[k:])
