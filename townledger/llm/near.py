@@ -14,15 +14,15 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, Window
 
 from .common import cut_lineage, flag_ids, has_rows, id_filter
 from .shingles import GOLD, mix, shingle_set, step
 
 SHINGLE = 5
 PERCENT = 75
-BANDS, ROWS = 50, 5
-SMALL_BUCKET = 64
+BANDS, ROWS = 32, 4
+SMALL_BUCKET = 48
 LEVELS = 6
 ELEMENTS = 4096
 
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, items) of the given representatives (rep, node); only texts that may be needed are read into Python."""
+    """(node, items) of the given representatives (node, digest, rep); only texts that may be needed are read into Python."""
     @F.pandas_udf("array<long>")
     def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
@@ -81,20 +81,21 @@ def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataF
             yield pd.Series([xxhash.xxh3_128_digest(np.asarray(x, np.int64).tobytes()) for x in s], dtype=object)
 
     texts = flag_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_filter(reps, F.col("rep")), F.col("id")).filter("_maybe")
-    texts = texts.select("id", items("text").alias("items")).withColumn("n2", name("items"))
-    return (texts.join(reps, F.col("id").eqNullSafe(F.col("rep")) & (F.col("n2") == F.col("node")))
-            .groupBy("node").agg(F.first("items").alias("items")))
+    texts = texts.select("id", items("text").alias("items")).withColumn("name", name("items"))
+    # joined on the name alone, so that repeated rows meet in the same partition
+    return texts.join(reps, (F.col("name") == F.col("digest")) & F.col("id").eqNullSafe(F.col("rep"))).groupBy("node").agg(F.first("items").alias("items"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b, common, either) of pairs of nodes, counted on the full sets."""
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, either) of pairs of nodes, counted on the full sets; only sets that may be needed are moved."""
     @F.pandas_udf("long")
     def shared(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)])
 
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    df = pairs.join(right, "b").join(left, "a")
+    pairs = cut_lineage(pairs)
+    needed = flag_ids(sets, id_filter(pairs.select(F.explode(F.array("a", "b")).alias("x")), F.col("x")), F.col("node")).filter("_maybe")
+    df = (pairs.join(needed.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+          .join(needed.select(F.col("node").alias("a"), F.col("items").alias("x")), "a"))
     return (df.select("a", "b", shared("x", "y").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("both"))
             .select("a", "b", "common", (F.col("both") - F.col("common")).alias("either")))
 
@@ -132,8 +133,8 @@ def _refine(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
         return pd.Series([band_hashes(np.asarray(x, np.int64).view(np.uint64), level) for x in s], dtype=object)
 
     more = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", bands("items").alias("more"))
-    return (rows.join(more, "node").select("key", "node", F.explode("more").alias("h"))
-            .select(F.xxhash64("key", "h").alias("key"), "node"))
+    return (rows.join(more, "node").select("key", "node", "n", F.explode("more").alias("h"))
+            .select(F.xxhash64("key", "h").alias("key"), "node", "n"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
@@ -143,49 +144,54 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component's smallest id stays. A document without words is linked with nothing and its own component. Repeated rows are
     one node; with the same id all of them count as kept. Null ids lose against any other id; a group of null ids only has
     a null component. Extra columns are not read; an empty table gives no rows. A pair at exactly 75 % misses all common
-    buckets with a probability of 1.3e-6; shingles are compared by 64-bit hashes.
+    buckets with a probability of 5e-6; shingles are compared by 64-bit hashes.
     """
     sig = cut_lineage(signatures(docs, id_col, text_col))
-    nodes = cut_lineage(sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    rows = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = sig.filter("node is not null").groupBy(F.col("node").alias("digest")).agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
+    sig = sig.select("doc_id", "n_shingles", F.col("node").alias("digest"))
+    rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
     sets = known = None
     for level in range(LEVELS + 1):
-        buckets = rows.groupBy("key").agg(F.min("node").alias("c"), F.count("*").alias("size")).filter("size > 1")
-        rows = cut_lineage(rows.join(cut_lineage(buckets).select("key", "c"), "key"))
-        if sets is None:
-            sets = cut_lineage(_sets(docs, cut_lineage(nodes.select("node", "rep").join(rows.select("node").distinct(), "node", "left_semi")), id_col, text_col))
-            sizes = nodes.select("node", "n")
-        star = rows.filter("c <> node").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
+        bucket = Window.partitionBy("key")
+        rows = cut_lineage(rows.withColumn("first", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
+                           .select("key", "node", "n", F.col("first.node").alias("c"), F.least(F.col("first.n") / F.col("n"), F.col("n") / F.col("first.n")).alias("ratio")))
+        star = rows.filter(f"c <> node AND 100 * ratio >= {percent}").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
         if known is None:
-            known = cut_lineage(_verify(star, sets, sizes))
+            reps = cut_lineage(nodes.select("node", "digest", "rep").join(rows.select("node").distinct(), "node", "left_semi"))
+            sets = cut_lineage(_sets(docs, reps, id_col, text_col))
+            known = cut_lineage(_verify(star, sets))
         else:
-            known = cut_lineage(known.unionByName(_verify(star.join(known, ["a", "b"], "left_anti"), sets, sizes)))
+            known = cut_lineage(known.unionByName(_verify(star.join(known, ["a", "b"], "left_anti"), sets)))
         root = cut_lineage(components(_linked(known, percent)))
+        # distance to the centre: as counted, or at least what the sizes alone say
         tagged = (rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
                   .join(root.select(F.col("node").alias("c"), F.col("root").alias("c_root")), "c", "left").withColumn("c_root", F.coalesce("c_root", "c"))
                   .join(known.select(F.col("a").alias("c"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d")), ["c", "node"], "left")
-                  .withColumn("d", F.coalesce("d", F.lit(0.0))))
-        mixed = tagged.groupBy("key").agg(F.min(F.when(F.col("root") != F.col("c_root"), F.col("d"))).alias("out")).filter("out is not null")
-        # a node of the centre's component can only reach a node outside it if its own distance comes within the bound of theirs
-        bound = 1 - percent / 100 + 1e-9
-        left = cut_lineage(tagged.join(cut_lineage(mixed), "key").filter((F.col("root") != F.col("c_root")) | (F.col("d") >= F.col("out") - bound)).select("key", "node", "root"))
+                  .withColumn("d", F.when(F.col("c") == F.col("node"), F.lit(0.0)).otherwise(F.coalesce("d", 1 - F.col("ratio")))))
+        tagged = cut_lineage(tagged.select("key", "node", "n", "root", "d", (F.col("root") != F.col("c_root")).alias("away"), "ratio"))
+        mixed = tagged.groupBy("key").agg(F.min(F.when(F.col("away"), F.col("d"))).alias("out")).filter("out is not null")
+        # a node of the centre's component reaches a node outside it only if its own distance comes within the bound of theirs
+        near = F.col("away") | (F.col("d") >= F.col("out") - (1 - percent / 100) - 1e-9)
+        left = cut_lineage(tagged.join(cut_lineage(mixed), "key").filter(near).select("key", "node", "n", "root"))
         count = cut_lineage(left.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "size"))
         last = level == LEVELS
-        few = left.join(count.filter(F.lit(last) | (F.col("size") <= small)).select("key"), "key", "left_semi").join(sizes, "node")
+        few = left.join(count.filter(F.lit(last) | (F.col("size") <= small)).select("key"), "key", "left_semi")
         x = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
         y = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        pairs = (x.join(y, "key").filter("a < b AND ra <> rb").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        pairs = (x.join(y, "key").filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
                  .select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-        known = cut_lineage(known.unionByName(_verify(pairs, sets, sizes)))
+        known = cut_lineage(known.unionByName(_verify(pairs, sets)))
         if last or not has_rows(count.filter(f"size > {small}")):
             break
         rows = cut_lineage(_refine(left.join(count.filter(f"size > {small}").select("key"), "key", "left_semi"), sets, level + 1))
     root = components(_linked(known, percent))
-    classes = nodes.select("node", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = nodes.select("node", "digest", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = cut_lineage(classes.join(least, "root").select("node", "component_id"))
-    out = sig.select("doc_id", "n_shingles", "node").join(label, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    label = cut_lineage(classes.join(least, "root").select("digest", "component_id"))
+    out = sig.join(label, "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
