@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, near, quality, substring
+from . import bpe, exact, html, mixing, near, quality, substring, warc
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op1_substring_dedup(docs: DataFrame) -> DataFrame:
     return substring.remove_recurring(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@query("pages", warc.SQL)
+def op2_warc(pages: DataFrame) -> DataFrame:
+    """All pages written as dictionary-compressed WARC records and read back."""
+    return warc.archive(pages)
+
+
 @query("documents", exact.SQL)
 def op3_exact_dedup(docs: DataFrame) -> DataFrame:
     """Exact copies of every document, the largest id stays."""
@@ -65,3 +71,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_mixing"] = op7_mixing
+
+
+@query("pages")
+def op6_html_text(pages: DataFrame) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(pages)
