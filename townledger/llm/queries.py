@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, html, mixing, near, quality, substring, warc
+from . import bpe, chat, exact, html, licences, mixing, near, quality, substring, warc
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,15 @@ QUERIES["op7_mixing"] = op7_mixing
 def op6_html_text(pages: DataFrame) -> DataFrame:
     """Main text of every page."""
     return html.extract(pages)
+
+
+@query("documents")
+def op8_licence_scan(docs: DataFrame) -> DataFrame:
+    """Licence notices of every document; one row each, and one without licence for documents that have none."""
+    return licences.scan(docs).select("doc_id", F.explode_outer("notices").alias("x")).select("doc_id", "x.*")
+
+
+@query("conversations")
+def op10_chat_repair(turns: DataFrame) -> DataFrame:
+    """Repaired role and rendered piece of every turn."""
+    return chat.repair(turns)
