@@ -1,11 +1,12 @@
 """Recurring passages: found by window hashes, compiled into sharded Aho-Corasick automata, located in all documents.
 
-1. Winnowed 8-grams of all documents are counted; a window can recur only if all its winnowed grams do.
-2. Such windows are counted by a 128-bit hash; a recurring one gets one home, its smallest occurrence.
-3. Runs of homes are passages. Each is cut into tiles so short that every window contains one; tiles are the phrases of the
-   automata, sharded by the winnowed gram of the tile.
-4. All documents stream by; where a gram of some tile occurs, the words around it go to that shard, whose automaton finds the
-   tile; the windows around it that belong to a passage are marked.
+1. Every window has an anchor, its least run of 16 words by hash. Anchors of all documents are counted; a window can recur only
+   if its anchor does.
+2. Such windows are counted by two 64-bit hashes, their own and their anchor's; a recurring one gets one home document.
+3. The anchors of recurring windows are the phrases of the automata, sharded by their hash; a phrase knows the recurring
+   windows around it.
+4. All documents stream by; where an anchor may be a phrase, the words around it go to its shard, whose automaton finds the
+   phrases; the windows around them that recur are marked.
 """
 
 from __future__ import annotations
@@ -15,18 +16,17 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, cut_lineage, flag_ids, id_filter
-from .shingles import run_hashes, window_hashes, word_hashes
+from .shingles import window_hashes, word_hashes
 
 WINDOW = 35
-GRAM = 8
-# Bits of a gram filter: sixteen per gram, at most 2^27 (16 MB) whatever the input; a full filter only lets more windows be counted.
+GRAM = 16
+# Bits of an anchor filter: sixteen per anchor, at most 2^27 (16 MB) whatever the input; a full filter only lets more windows be counted.
 MAX_FILTER = 27
-TILES_PER_SHARD = 10_000
+PHRASES_PER_SHARD = 20_000
 
 
 def split(text: str | None) -> list[str]:
@@ -38,17 +38,31 @@ def _hashes(text: str | None) -> np.ndarray:
     return word_hashes(text.encode().split()) if text else np.zeros(0, np.uint64)
 
 
-def _winnow(h: np.ndarray, tile: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gram hashes, and for every tile start the place of the tile's least gram."""
-    g = run_hashes(h, gram)
-    w = tile - gram + 1
-    if len(g) < w:
-        return g, np.zeros(0, np.int64)
-    return g, np.lib.stride_tricks.sliding_window_view(g, w).argmin(axis=1) + np.arange(len(g) - w + 1)
+def _gram(window: int) -> int:
+    return max(1, min(GRAM, window // 2))
+
+
+def sliding(best, a: np.ndarray, width: int) -> np.ndarray:
+    """Least or greatest (np.minimum, np.maximum) of every run of ``width`` values, by doubling."""
+    n, size = len(a) - width + 1, 1
+    while size * 2 <= width:
+        a, size = best(a[:-size], a[size:]), size * 2
+    return best(a[:n], a[width - size:width - size + n])
+
+
+def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all grams, the anchor of every window, and the places of grams that are the anchor of some window."""
+    gram = _gram(window)
+    if len(h) < window:
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+    g, width = window_hashes(h, gram), window - gram + 1
+    least = sliding(np.minimum, g, width)
+    edge = np.zeros(width - 1, np.uint64)
+    return g, least, np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), width) == g)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds the key of a row: two hashes of id and text, 96 bits; rows equal in both share their key and their spans."""
+    """Adds the key of a row, a hash of id and text; rows equal in both share their key and their spans."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return df.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("key2", F.hash("text", "doc_id"))
 
@@ -71,82 +85,78 @@ def _inside(filter_: tuple[int, bytes], h: np.ndarray) -> np.ndarray:
     return ((np.frombuffer(bits, np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _recurring_grams(rows: DataFrame, tile: int, gram: int) -> DataFrame:
+def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             found = [np.zeros(0, np.uint64)]
             for t in pdf["text"]:
-                g, place = _winnow(_hashes(t), tile, gram)
-                found.append(g[np.unique(place)])
+                g, _, places = anchors(_hashes(t), window)
+                found.append(g[places])
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pd.DataFrame({"h": h.view(np.int64), "n": n})
 
     return rows.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
-def _candidates(rows: DataFrame, share, window: int, tile: int, gram: int) -> DataFrame:
-    """(h1, h2, key, key2, pos) of the windows all of whose winnowed grams recur."""
+def _candidates(rows: DataFrame, share, window: int) -> DataFrame:
+    """(w, g, key) of the windows whose anchor recurs: hash of the window, of its anchor, key of the document."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
-            for i, t in enumerate(pdf["text"]):
+            for key, t in zip(pdf["key"], pdf["text"]):
                 h = _hashes(t)
-                if len(h) < window:
-                    continue
-                g, place = _winnow(h, tile, gram)
-                good = np.concatenate([[0], np.cumsum(_inside(share.value, g[place]))])
-                pos = np.flatnonzero(good[window - tile + 1:] - good[:len(h) - window + 1] == window - tile + 1)
+                _, least, _ = anchors(h, window)
+                pos = np.flatnonzero(_inside(share.value, least))
                 if len(pos):
-                    out.append((np.full(len(pos), i), pos, window_hashes(h, window, 1)[pos], window_hashes(h, window, 2)[pos]))
+                    out.append((window_hashes(h, window, 1)[pos], least[pos], np.full(len(pos), key, np.int64)))
             if out:
-                row, pos, h1, h2 = (np.concatenate(x) for x in zip(*out))
-                yield pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64), "key": pdf["key"].to_numpy()[row], "key2": pdf["key2"].to_numpy()[row], "pos": pos})
+                w, g, key = (np.concatenate(x) for x in zip(*out))
+                yield pd.DataFrame({"w": w.view(np.int64), "g": g.view(np.int64), "key": key})
 
-    return rows.select("key", "key2", "text").mapInPandas(run, "h1 long, h2 long, key long, key2 int, pos int")
+    return rows.select("key", "text").mapInPandas(run, "w long, g long, key long")
 
 
-def _tiles(rows: DataFrame, homes: DataFrame, window: int, tile: int, gram: int) -> DataFrame:
-    """(g, context, place): tiles of the passages, with the words around that a window over the tile can reach."""
-    side = window - tile
+def _phrases(rows: DataFrame, homes: DataFrame, window: int) -> DataFrame:
+    """(g, context, windows): phrases with the hashes of the recurring windows around them, from the home documents' texts."""
+    gram = _gram(window)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
-            for t, starts in zip(pdf["text"], pdf["starts"]):
-                words, pos = split(t), np.unique(np.asarray(starts))
-                g, place = _winnow(_hashes(t), tile, gram)
-                for part in np.split(pos, np.flatnonzero(np.diff(pos) > 1) + 1):
-                    a, b = int(part[0]), int(part[-1]) + window
-                    for s in range(a, b - tile + 1, tile):
-                        lo = max(a, s - side)
-                        out.append((int(g[place[s]].view(np.int64)), " ".join(words[lo:min(b, s + tile + side)]), s - lo))
-            yield pd.DataFrame(out, columns=["g", "context", "place"])
-
-    texts = flag_ids(rows, id_filter(homes, F.col("key")), F.col("key")).filter("_maybe")
-    lists = homes.groupBy("key", "key2").agg(F.collect_list("pos").alias("starts"))
-    joined = texts.select("key", "key2", "text").join(lists, ["key", "key2"])
-    return joined.select("text", "starts").mapInPandas(run, "g long, context string, place int").distinct()
-
-
-def _segments(rows: DataFrame, share, window: int, tile: int, gram: int) -> DataFrame:
-    """(g, key, key2, start, context): the words around every winnowed gram that may belong to a tile."""
-    left, right = window - gram, window
+            for t, wanted in zip(pdf["text"], pdf["wanted"]):
+                words, h = split(t), _hashes(t)
+                g, least, places = anchors(h, window)
+                w = window_hashes(h, window, 1)
+                pos = np.flatnonzero(np.isin(w, np.asarray(wanted, np.int64).view(np.uint64)))
+                if not len(pos):
+                    continue
+                order = pos[np.argsort(least[pos], kind="stable")]
+                at = dict(zip(g[places].tolist()[::-1], places.tolist()[::-1]))  # first place of each anchor
+                for part in np.split(order, np.flatnonzero(np.diff(least[order])) + 1):
+                    p = at[int(least[part[0]])]
+                    out.append((int(least[part[0]].view(np.int64)), " ".join(words[p:p + gram]), w[part].view(np.int64)))
+            yield pd.DataFrame(out, columns=["g", "context", "windows"])
+
+    texts = flag_ids(rows, id_filter(homes, F.col("key")), F.col("key")).filter("_maybe").select("key", "text")
+    lists = homes.groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    return texts.join(lists, "key").select("text", "wanted").mapInPandas(run, "g long, context string, windows array<long>")
+
+
+def _segments(rows: DataFrame, share, window: int) -> DataFrame:
+    """(g, key, key2, start, context): the words around every anchor that may be a phrase, as far as windows over it reach."""
+    side = window - _gram(window)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for i, t in enumerate(pdf["text"]):
-                h = _hashes(t)
-                if len(h) < window:
-                    continue
-                g, place = _winnow(h, tile, gram)
-                place = np.unique(place)
-                place = place[_inside(share.value, g[place])]
-                if len(place):
+                g, _, places = anchors(_hashes(t), window)
+                places = places[_inside(share.value, g[places])]
+                if len(places):
                     words = split(t)
-                    for p, x in zip(place.tolist(), g[place].view(np.int64).tolist()):
-                        lo = max(0, p - left)
-                        out.append((x, i, lo, " ".join(words[lo:p + right])))
+                    for p, x in zip(places.tolist(), g[places].view(np.int64).tolist()):
+                        lo = max(0, p - side)
+                        out.append((x, i, lo, " ".join(words[lo:p + window])))
             if out:
                 x, row, lo, context = zip(*out)
                 row = list(row)
@@ -156,77 +166,80 @@ def _segments(rows: DataFrame, share, window: int, tile: int, gram: int) -> Data
 
 
 class Shard:
-    """Automaton over the tiles of one shard; every tile knows the windows of the passages it lies in."""
+    """Automaton over the phrases of one shard; every phrase knows the recurring windows around it."""
 
-    def __init__(self, window: int, tile: int):
-        self.window, self.tile = window, tile
+    def __init__(self, window: int):
+        self.window, self.gram = window, _gram(window)
         self.windows: dict[str, set[int]] = {}
         self.automaton = None
 
-    def add(self, context: str, place: int) -> None:
-        words = context.split(" ")
-        known = self.windows.setdefault(" " + " ".join(words[place:place + self.tile]) + " ", set())
-        for x in range(max(0, place + self.tile - self.window), min(place, len(words) - self.window) + 1):
-            known.add(xxhash.xxh3_64_intdigest(" ".join(words[x:x + self.window])))
+    def add(self, phrase: str, windows) -> None:
+        self.windows.setdefault(f" {phrase} ", set()).update(windows)
 
-    def locate(self, context: str) -> list[tuple[int, int]]:
-        """Spans of words covered by recurring windows around the tiles in a piece of text."""
+    def _compiled(self):
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for phrase, known in self.windows.items():
-                self.automaton.add_word(phrase, (phrase, known))
+                self.automaton.add_word(phrase, (len(phrase), known))
             self.automaton.make_automaton()
+        return self.automaton
+
+    def locate(self, contexts: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(piece, start, stop): spans of words covered by recurring windows around the phrases in pieces of text."""
         if not self.windows:
-            return []
-        text, words, out, tried = f" {context} ", context.split(" "), [], {}
-        for end, (phrase, known) in self.automaton.iter(text):
-            s = text.count(" ", 0, end - len(phrase) + 2) - 1
-            for x in range(max(0, s + self.tile - self.window), min(s, len(words) - self.window) + 1):
-                if x not in tried:
-                    tried[x] = xxhash.xxh3_64_intdigest(" ".join(words[x:x + self.window]))
-                if tried[x] in known:
-                    if out and out[-1][0] <= x <= out[-1][1]:
-                        out[-1] = (out[-1][0], max(out[-1][1], x + self.window))
-                    else:
-                        out.append((x, x + self.window))
-        return out
-
-
-def _locate(tiles: DataFrame, segments: DataFrame, window: int, tile: int) -> DataFrame:
-    """(key, key2, start, stop): shards get their tiles first, then the segments stream by; nothing else is kept in memory."""
+            return
+        automaton, side = self._compiled(), self.window - self.gram
+        # windows of all pieces in one go; those across a border are never asked for
+        words = [c.encode().split(b" ") for c in contexts]
+        hashes = window_hashes(word_hashes([w for x in words for w in x]), self.window, 1).view(np.int64).tolist()
+        base = 0
+        for i, text in enumerate(contexts):
+            text, n, spans = f" {text} ", len(words[i]), []
+            for end, (size, known) in automaton.iter(text):
+                s = text.count(" ", 0, end - size + 2) - 1
+                for x in range(max(0, s - side), min(s, n - self.window) + 1):
+                    if hashes[base + x] in known:
+                        if spans and spans[-1][0] <= x <= spans[-1][1]:
+                            spans[-1] = (spans[-1][0], max(spans[-1][1], x + self.window))
+                        else:
+                            spans.append((x, x + self.window))
+            yield from ((i, a, b) for a, b in spans)
+            base += n
+
+
+def _locate(phrases: DataFrame, segments: DataFrame, window: int) -> DataFrame:
+    """(key, key2, start, stop): shards get their phrases first, then the segments stream by; nothing else is kept in memory."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = Shard(window, tile)
+        shard = Shard(window)
         for pdf in parts:
-            out = []
-            for i, (is_segment, place, context) in enumerate(zip(pdf["is_segment"], pdf["start"], pdf["context"])):
-                if is_segment:
-                    out.extend((i, place + a, place + b) for a, b in shard.locate(context))
-                else:
-                    shard.add(context, place)
-            if out:
-                row, start, stop = zip(*out)
-                row = list(row)
-                yield pd.DataFrame({"key": pdf["key"].to_numpy()[row], "key2": pdf["key2"].to_numpy()[row], "start": start, "stop": stop})
-
-    both = (tiles.select("g", F.lit(0).cast("long").alias("key"), F.lit(0).alias("key2"), F.col("place").alias("start"), "context", F.lit(False).alias("is_segment"))
-            .unionByName(segments.withColumn("is_segment", F.lit(True))))
-    shards = max(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), tiles.count() // TILES_PER_SHARD + 1)
-    both = both.repartition(shards, "g").sortWithinPartitions("is_segment").select("key", "key2", "start", "context", "is_segment")
-    return both.mapInPandas(run, "key long, key2 int, start int, stop int").distinct()
+            for phrase, windows in zip(pdf["context"], pdf["windows"]):
+                if windows is None:
+                    break  # from here on segments only
+                shard.add(phrase, np.asarray(windows).tolist())
+            pdf = pdf[pdf["windows"].isna()]
+            found = list(shard.locate(pdf["context"].tolist()))
+            if found:
+                row, start, stop = (np.array(x) for x in zip(*found))
+                at = pdf["start"].to_numpy()[row]
+                yield pd.DataFrame({"key": pdf["key"].to_numpy()[row], "key2": pdf["key2"].to_numpy()[row], "start": at + start, "stop": at + stop})
+
+    both = (phrases.select("g", F.lit(0).cast("long").alias("key"), F.lit(0).alias("key2"), F.lit(0).alias("start"), "context", "windows")
+            .unionByName(segments.withColumn("windows", F.lit(None).cast("array<long>"))))
+    shards = max(int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions")), phrases.count() // PHRASES_PER_SHARD + 1)
+    both = both.repartition(shards, "g").sortWithinPartitions(F.col("windows").isNull()).select("key", "key2", "start", "context", "windows")
+    return both.mapInPandas(run, "key long, key2 int, start int, stop int")
 
 
 def recurring_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, key2, spans): word spans that recurring windows cover, for the documents that have some."""
-    spark, tile = docs.sparkSession, (window + 1) // 2
-    gram = max(1, min(GRAM, tile // 2))
+    spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
-    share = spark.sparkContext.broadcast(_bitmap(cut_lineage(_recurring_grams(rows, tile, gram))))
-    homes = cut_lineage(_candidates(rows, share, window, tile, gram).groupBy("h1", "h2")
-                        .agg(F.count("*").alias("n"), F.min(F.struct("key", "key2", "pos")).alias("home")).filter("n > 1").select("home.*"))
-    tiles = cut_lineage(_tiles(rows, homes, window, tile, gram))
-    ours = spark.sparkContext.broadcast(_bitmap(tiles.select(F.col("g").alias("h")).distinct()))
-    found = _locate(tiles, _segments(rows, ours, window, tile, gram), window, tile)
-    return cut_lineage(found.groupBy("key", "key2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    share = spark.sparkContext.broadcast(_bitmap(cut_lineage(_recurring_anchors(rows, window))))
+    homes = cut_lineage(_candidates(rows, share, window).groupBy("w", "g").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n > 1").select("w", "g", "key"))
+    phrases = cut_lineage(_phrases(rows, homes, window))
+    ours = spark.sparkContext.broadcast(_bitmap(cut_lineage(phrases.select(F.col("g").alias("h")).distinct())))
+    found = _locate(phrases, _segments(rows, ours, window), window)
+    return cut_lineage(found.groupBy("key", "key2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
 
 
 def remove_recurring(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
