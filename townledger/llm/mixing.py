@@ -160,5 +160,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     found = _members(row.withColumn("_text", F.col(f"_row.`{text_col}`")), model, "_text")
     steps = solve(cut_lineage(found.select("_n", "_p")), list(targets.values()))
-    found = found.withColumn("_c", _copies(_rate(steps), F.col(f"_row.`{id_col}`"))).filter("_c > 0")
-    return found.select("_row", F.explode(F.expr("sequence(1L, _c)"))).select("_row.*")
+    # the row number keeps the condition above the projection; pushed below, the posteriors would be worked out twice
+    found = found.select("_row", _copies(_rate(steps), F.col(f"_row.`{id_col}`")).alias("_c"), F.monotonically_increasing_id().alias("_no"))
+    return found.filter("_c > 0 AND _no >= 0").select("_row", F.explode(F.expr("sequence(1L, _c)"))).select("_row.*")
