@@ -128,7 +128,7 @@ def run_log(t):
     return log.select("id", "seconds", F.array_join(F.transform("counter_list", lambda c: F.concat(c["text"], F.lit("="), c["n"].cast("string"))), ",").alias("counters"))
 
 
-FAILS = f"""SELECT source_id, CAST(coalesce(min(position) FILTER (status NOT IN ('gesperrt', 'nicht erreichbar')) - 1, max(position)) AS INTEGER) AS failures FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS position FROM ({RUNS})) WHERE position <= 20 GROUP BY 1"""
+FAILS = f"""SELECT source_id, CAST(coalesce(min(position) FILTER (status NOT IN ('gesperrt', 'nicht erreichbar')) - 1, max(position)) AS INTEGER) AS failures FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS position FROM ({RUNS})) GROUP BY 1"""
 
 
 @query("consecutive_failures", FAILS)

@@ -30,7 +30,7 @@ cte("matched", """SELECT b.*, (SELECT count(*) FROM word_hit w WHERE w.request_i
   (SELECT count(*) FROM full_hit w WHERE w.request_id = b.request_id AND w.id = b.id) AS nf FROM base b""", "base", "word_hit", "full_hit")
 cte("staged", """SELECT *, 1 AS stage FROM matched WHERE nm = len(words) UNION ALL SELECT *, 2 FROM matched WHERE len(words) > 0 AND carried UNION ALL SELECT *, 3 FROM matched WHERE len(words) >= 2 AND nm > 0""", "matched")
 cte("chosen", """SELECT * FROM (SELECT *, min(stage) OVER (PARTITION BY request_id) AS first, row_number() OVER (PARTITION BY request_id, stage ORDER BY date DESC, id) AS candidate_no FROM staged)
-  WHERE stage = first AND candidate_no <= 3000""", "staged")
+  WHERE stage = first""", "staged")
 cte("status", "SELECT id, CAST(id AS INTEGER) % 3 <> 0 AS is_open FROM records WHERE CAST(id AS INTEGER) % 2 = 0", "records")
 cte("scored", """SELECT c.request_id, c.id, c.date, c.stage, c.candidate_no, count(*) OVER (PARTITION BY c.request_id) AS total,
   c.points + c.nf + CASE WHEN in_title THEN 4 WHEN themed THEN 2 ELSE 0 END + CASE WHEN c.open AND coalesce(s.is_open, true) THEN 3 ELSE 0 END + CASE WHEN c.date <> '' AND c.date >= '2024-10-12' THEN 1 ELSE 0 END AS score

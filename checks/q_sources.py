@@ -234,10 +234,10 @@ def next_pages(t):
     return notices.next_pages(p).join(notices.hit_notes(p), "page_id").select("page_id", "next_url", "note")
 
 
-@query("list_years", "SELECT DISTINCT year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 1999")
+@query("list_years", "SELECT DISTINCT year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1999")
 def list_years(t):
     lists = t("orders").select(F.lit("u").alias("url"), F.year("o_orderdate").alias("year")).distinct()
-    return notices.select_list_years(lists, "1999-06-01", 1996).select(F.col("year").cast("long").alias("year"))
+    return notices.select_list_years(lists, "1999-06-01", 1994).select(F.col("year").cast("long").alias("year"))
 
 
 @query("split_entries", "SELECT 'beteiligung:projekt-' || p_partkey AS id, 'stadt:beteiligung' AS source_id, trim(regexp_replace(lower(p_name || ' beteiligungsangebot ' || 'buergerbeteiligung meinung fuer koeln ' || CASE WHEN length(s) > 600 THEN rtrim(left(s, 599)) ELSE s END), '[^0-9a-z]+', ' ', 'g')) AS search_text, '2026-10-12' AS seen FROM (SELECT *, trim(repeat(p_type || ' ', p_size * 2)) AS s FROM part) WHERE p_partkey % 7 <> 0")
@@ -331,19 +331,26 @@ def dataset_counters(t):
 
 
 def answers(t):
-    """Line items as table rows of their supplier's dataset, a hundred per answer; every other answer as value lists."""
+    """Line items as table rows of their supplier's dataset, two answers each; every other answer as value lists."""
     k = F.col("l_suppkey")
     li = t("lineitem").withColumn("id", F.concat_ws(" ", "l_orderkey", "l_linenumber", "l_partkey"))
     fields = [F.when(F.col("l_linenumber") % 7 == 0, F.lit(None)).otherwise(F.col("id")).alias("nr"), F.concat(F.lit("Maßnahme "), F.col("l_partkey")).alias("Maßnahme"), F.date_format("l_shipdate", "d.M.yyyy").alias("beginn_datum"),
               F.date_format(F.date_add("l_shipdate", 9), "yyyy-MM-dd").alias("ende"), F.col("l_returnflag").alias("amt"), (F.col("l_linestatus") == "O").cast("string").alias("aktiv")]
     o = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    page = F.pmod(F.xxhash64("id"), F.lit(50))
+    page = F.pmod(F.xxhash64("id"), F.lit(2))
     g = li.select(k.alias("s"), page.alias("page_no"), o.alias("o")).groupBy("s", "page_no").agg(F.array_join(F.array_sort(F.collect_list("o")), ",").alias("rows"), F.count(F.lit(1)).alias("n"))
     return g.select(F.concat(F.lit("id"), "s").alias("dataset_id"), F.lit(1).alias("index"), "page_no", F.concat(F.lit('{"count":'), "n", F.lit(',"results":['), "rows", F.lit("]}")).alias("body"))
 
 
-ROWKEY = """CASE WHEN l_linenumber % 7 <> 0 THEN l_orderkey || '-' || l_linenumber || '-' || l_partkey ELSE 'z' || left(sha1('Maßnahme=Maßnahme ' || l_partkey || '|aktiv=' || CASE WHEN l_linestatus = 'O' THEN 'ja' ELSE 'nein' END || '|amt=' || l_returnflag
-  || '|beginn_datum=' || day(l_shipdate) || '.' || month(l_shipdate) || '.' || year(l_shipdate) || '|ende=' || strftime(l_shipdate + INTERVAL 9 DAY, '%Y-%m-%d') || '|nr='), 12) END"""
+def _field(name, value):
+    return f"'{len(name)}:{name}' || length({value}) || ':' || {value}"
+
+
+ROWKEY = ("CASE WHEN l_linenumber % 7 <> 0 THEN l_orderkey || '-' || l_linenumber || '-' || l_partkey ELSE 'z' || sha256("
+          + " || ".join(_field(n, v) for n, v in (
+              ("Maßnahme", "('Maßnahme ' || l_partkey)"), ("aktiv", "(CASE WHEN l_linestatus = 'O' THEN 'ja' ELSE 'nein' END)"), ("amt", "l_returnflag"),
+              ("beginn_datum", "(day(l_shipdate) || '.' || month(l_shipdate) || '.' || year(l_shipdate))"), ("ende", "strftime(l_shipdate + INTERVAL 9 DAY, '%Y-%m-%d')"), ("nr", "''")))
+          + ") END")
 
 
 def entries(t):

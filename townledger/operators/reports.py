@@ -12,7 +12,6 @@ from ..functions.text import blank
 from .topk import top_per_group
 
 FAILED = ("gesperrt", "nicht erreichbar")
-RUNS_LOOKED_AT = 20
 PAUSE_BASE_S, PAUSE_MAX_S = 600, 21_600
 DEMAND_GAP_S = 600
 SPAN_S = 28 * 86_400  # at most this many distinct seconds meet in one task
@@ -130,10 +129,11 @@ def run_log(runs: DataFrame) -> DataFrame:
 
 
 def consecutive_failures(runs: DataFrame) -> DataFrame:
-    """Failed runs in a row at the end of each source's log, among its latest twenty."""
-    latest = latest_runs(runs, RUNS_LOOKED_AT)
-    return latest.groupBy("source_id").agg(
-        F.coalesce(F.min(F.when(~F.col("status").isin(*FAILED), F.col("position"))) - 1, F.max("position")).cast("int").alias("failures"))
+    """Failed runs in a row at the end of each source's log: those after its newest run that did not fail."""
+    failed = F.coalesce(F.col("status").isin(*FAILED), F.lit(False))
+    good = runs.groupBy("source_id").agg(F.max(F.when(~failed, F.col("id"))).alias("_good"))
+    return (runs.filter(failed).select("source_id", "id").join(good, "source_id", "right")
+            .groupBy("source_id").agg(F.count_if(F.col("id").isNotNull() & (F.col("_good").isNull() | (F.col("id") > F.col("_good")))).cast("int").alias("failures")))
 
 
 def cool_down(sources: DataFrame, failures: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, norm, variants_of_norm
-from ..session import CANDIDATE_CAP, settled, small_side
+from ..session import settled, small_side
 from .dims import CityDims
 from .places import DISTRICT, POSTCODE, QUARTER, expand_area
 from .terms import match_terms
-from .topk import top_per_group
+from .topk import SALTS, top_per_group
 
 OR_WORD_MIN = 4
 RECENT_DAYS = 730
@@ -128,16 +128,22 @@ def match_pairs(requests: DataFrame, records: DataFrame, places: DataFrame, dims
                     F.explode(stages).alias("stage")))
 
 
-def candidates(pairs: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
-    """The newest ``cap`` pairs of the first stage that finds anything, with the capped total."""
-    order = [F.col("date").desc(), F.col("id")]
-    picked = top_per_group(pairs, ["request_id", "stage"], order, cap, salt_by=["id"], rank="candidate_no")
-    per_request = Window.partitionBy("request_id")
-    return (picked.withColumn("_first", F.min("stage").over(per_request)).filter("stage = _first").drop("_first")
-            .withColumn("total", F.count(F.lit(1)).over(per_request))
-            .withColumn("capped", F.col("total") >= cap)
-            .withColumn("words_dropped", F.col("stage") == WITHOUT_WORDS)
-            .withColumn("any_word_used", F.col("stage") == ANY_WORD))
+def candidates(pairs: DataFrame, cap: int | None = None) -> DataFrame:
+    """All pairs of the first stage that finds anything, with their total; ``cap`` keeps the newest so many only.
+
+    The first stage and the total come from one count per request and stage, so that no request's pairs meet in one task.
+    """
+    if cap is None:
+        counts = pairs.groupBy("request_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+        first = counts.groupBy("request_id").agg(F.min("stage").alias("stage"), F.min_by("n", "stage").alias("total"))
+        df = pairs.join(small_side(first), ["request_id", "stage"]).withColumn("capped", F.lit(False))
+    else:
+        order = [F.col("date").desc(), F.col("id")]
+        picked = top_per_group(pairs, ["request_id", "stage"], order, cap, salt_by=["id"], rank="candidate_no")
+        per_request = Window.partitionBy("request_id")
+        df = (picked.withColumn("_first", F.min("stage").over(per_request)).filter("stage = _first").drop("_first")
+              .withColumn("total", F.count(F.lit(1)).over(per_request)).withColumn("capped", F.col("total") >= cap))
+    return df.withColumn("words_dropped", F.col("stage") == WITHOUT_WORDS).withColumn("any_word_used", F.col("stage") == ANY_WORD)
 
 
 def uncapped_totals(pairs: DataFrame) -> DataFrame:
@@ -168,16 +174,23 @@ def score(cands: DataFrame, requests: DataFrame, records: DataFrame, dims: CityD
 
 
 def page(scored: DataFrame, requests: DataFrame) -> DataFrame:
-    """The asked page per request: score, then date, then id."""
-    order = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("date").desc(), F.col("id"))
-    window = requests.select("request_id", F.col("limit").alias("_limit"), F.col("offset").alias("_offset"))
-    return (scored.withColumn("rank", F.row_number().over(order)).join(window, "request_id")
+    """The asked page per request: score, then date, then id.
+
+    Slices of a request are ranked first and keep what its page can need, so a request that matches a large share of all
+    records is not sorted in one task.
+    """
+    order = [F.col("score").desc(), F.col("date").desc(), F.col("id")]
+    window = small_side(requests.select("request_id", F.col("limit").alias("_limit"), F.col("offset").alias("_offset")))
+    sliced = Window.partitionBy("request_id", "_slice").orderBy(*order)
+    df = (scored.join(window, "request_id").withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+          .withColumn("_pick", F.row_number().over(sliced)).filter(F.col("_pick") <= F.col("_offset") + F.col("_limit")))
+    return (df.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
             .filter((F.col("rank") > F.col("_offset")) & (F.col("rank") <= F.col("_offset") + F.col("_limit")))
-            .drop("_limit", "_offset"))
+            .drop("_limit", "_offset", "_slice", "_pick"))
 
 
 def search(requests: DataFrame, records: DataFrame, places: DataFrame, dims: CityDims, today,
-           status: DataFrame | None = None, cap: int = CANDIDATE_CAP) -> DataFrame:
+           status: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Staged, filtered, ranked pages for all requests: request_id, id, rank, score, stage, total and flags."""
     requests, dims = settled(requests), dims.settled()
     cands = candidates(match_pairs(requests, records, places, dims), cap)

@@ -19,10 +19,14 @@ def last_of_batch(batch: DataFrame, keys, order) -> DataFrame:
     return first_per_key(batch, keys, [F.col(o).desc() if isinstance(o, str) else o for o in order])
 
 
-def upsert(existing: DataFrame, batch: DataFrame, keys) -> DataFrame:
-    """Insert or overwrite by key; columns the batch does not bring keep their stored value."""
+def upsert(existing: DataFrame, batch: DataFrame, keys, order=None) -> DataFrame:
+    """Insert or overwrite by key; columns the batch does not bring keep their stored value.
+
+    A key counts once per batch: the last row in ``order`` wins, without an order the one with the greatest hash.
+    """
     keys = list(keys)
     given = [c for c in batch.columns if c not in keys]
+    batch = last_of_batch(batch, keys, order or [F.xxhash64(*[F.col(c) for c in batch.columns]).desc()])
     e = existing.select(*keys, F.struct(*[c for c in existing.columns if c not in keys]).alias("_old"), F.lit(True).alias("_in_old"))
     b = batch.select(*keys, F.struct(*given).alias("_new"), F.lit(True).alias("_in_new"))
     out = e.join(b, keys, "full_outer")

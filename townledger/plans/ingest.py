@@ -146,12 +146,28 @@ def ingest_feeds(pages: DataFrame, loaded: str) -> dict[str, DataFrame]:
     return {"hints": T.last_of_batch(rows, ["source_id", "id"], ["date", "web"]), "rejected": rejected, "failed": failed}
 
 
-def ingest_samples(objects: DataFrame, dims: CityDims, stored_records: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
-    """Recorded answers as sample data: objects that exist from a real source are skipped."""
+def ingest_samples(objects: DataFrame, dims: CityDims, stored: DataFrame | dict[str, DataFrame], sources: DataFrame) -> dict[str, DataFrame]:
+    """Recorded answers as sample data: objects that exist from a real source are skipped, with all that hangs on them.
+
+    ``stored``: id and source_id of the stored records, or of records, meetings and committees by name.
+    """
+    stored = stored if isinstance(stored, dict) else {"records": stored}
     load = ingest_council(objects, dims)
-    allowed = T.real_over_sample(stored_records, load["records"], sources).select("id")
-    keep = {"records": "id", "consultations": "record_id", "relations": "from_id", "places": "id"}
-    return {n: df.join(allowed.withColumnRenamed("id", keep[n]), keep[n], "left_semi").select(*df.columns) if n in keep else df for n, df in load.items()}
+    allowed = {n: T.real_over_sample(stored[n], load[n], sources).select("id") if n in stored else load[n].select("id") for n in ("records", "meetings", "committees")}
+
+    def only(df: DataFrame, owner: str, column: str) -> DataFrame:
+        return df.join(allowed[owner].withColumnRenamed("id", column), column, "left_semi").select(*df.columns)
+
+    owners = {"records": ("records", "id"), "consultations": ("records", "record_id"), "relations": ("records", "from_id"), "places": ("records", "id"),
+              "meetings": ("meetings", "id"), "agenda_items": ("meetings", "meeting_id"), "committees": ("committees", "id")}
+    out = {n: only(df, *owners[n]) if n in owners else df for n, df in load.items()}
+    docs = load["documents"]
+    out["documents"] = only(docs.filter("record_id <> ''"), "records", "record_id").unionByName(only(docs.filter("record_id = ''"), "meetings", "meeting_id"))
+    for kind, name in (("records", "deleted_records"), ("meetings", "deleted_meetings"), ("committees", "deleted_committees")):
+        if kind in stored:  # a sample deletes nothing that a real source has delivered
+            real = stored[kind].join(sources.filter(~F.coalesce("sample", F.lit(False))).select(F.col("id").alias("source_id")), "source_id", "left_semi").select("id")
+            out[name] = load[name].join(real, "id", "left_anti")
+    return out
 
 
 REPLACEABLE = ("betreff", "beschreibung", "strasse")

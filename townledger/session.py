@@ -7,9 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Search keeps at most this many candidates per request; the planner may prune a
-# ranked window before the shuffle only up to its own threshold, so both belong together.
-CANDIDATE_CAP = 3000
 # A side joined by broadcast has at most this many rows, checked before the hint is given.
 BROADCAST_ROWS = 100_000
 
@@ -22,7 +19,6 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
-        "spark.sql.optimizer.windowGroupLimitThreshold": str(CANDIDATE_CAP + 1),
     }.items():
         spark.conf.set(key, value)
     return spark

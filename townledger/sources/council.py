@@ -85,11 +85,27 @@ def read_council_objects(spark: SparkSession, paths) -> DataFrame:
     return objs.withColumn("load_order", F.element_at(rank, F.col("type")))
 
 
+def _delivery(objs: DataFrame) -> list[Column]:
+    """Place of an object in its load: number of the page (else the last number of its address), then place on the page."""
+    order = []
+    if "page_no" in objs.columns:
+        order.append(F.col("page_no"))
+    elif "url" in objs.columns:
+        order += [F.regexp_extract("url", r"(\d+)\D*$", 1).try_cast("bigint"), F.col("url")]
+    return order + ([F.col("pos")] if "pos" in objs.columns else [])
+
+
 def _parsed(objs: DataFrame, kind: str, schema: str) -> DataFrame:
-    """Objects of one kind with their fields under ``o``; the last delivery of an id counts."""
+    """Objects of one kind with their fields under ``o``; the last delivery of an id counts, also if it deletes the object."""
     keep = [c for c in ("source_id", "city") if c in objs.columns]
-    return (objs.filter(F.col("type") == kind).select(*keep, F.from_json("obj", schema).alias("o"))
-            .filter("o.id is not null and o.id <> ''"))
+    order = [c.alias(f"_at{i}") for i, c in enumerate(_delivery(objs))]
+    df = (objs.filter(F.col("type") == kind).select(*keep, *order, F.from_json("obj", schema).alias("o"))
+          .filter("o.id is not null and o.id <> ''"))
+    if not order:
+        return df
+    last = [F.col(f"_at{i}").desc_nulls_last() for i in range(len(order))]
+    return (first_per_key(df.withColumn("_id", F.col("o.id")), [*[c for c in keep if c == "source_id"], "_id"], last)
+            .drop("_id", *[f"_at{i}" for i in range(len(order))]))
 
 
 def live_objects(parsed: DataFrame) -> DataFrame:

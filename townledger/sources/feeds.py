@@ -9,7 +9,6 @@ from ..functions.html import html_to_text
 from ..functions.text import blank, collapse_ws, truncate_text
 from ..functions.urls import host, path, scheme
 
-MAX_BYTES = 2_000_000
 CHANNEL = ("channel struct<title:string,item:array<struct<title:string,link:string,description:string,pubDate:string,guid:string>>>")
 SESSION_TITLE = r"^(.+?)\s*\|\s*(\d{2}\.\d{2}\.\d{4})\s*-\s*(\d{1,2}:\d{2})\s*\(Sitzung\s+([^)]+?)\s*\)"
 
@@ -17,11 +16,11 @@ SESSION_TITLE = r"^(.+?)\s*\|\s*(\d{2}\.\d{2}\.\d{4})\s*-\s*(\d{1,2}:\d{2})\s*\(
 def feed_items(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items of sound feeds with a verdict, and failed feeds with the reason.
 
-    A feed fails as a whole if it is larger than two megabytes or not rss/channel/title.
+    A feed fails as a whole if it is not rss/channel/title; its size does not matter.
     """
     rooted = F.regexp_replace("body", r"^\s*<\?xml[^>]*\?>", "").rlike(r"(?s)^\s*(<!--.*?-->\s*)*<rss[\s>]")
     df = feeds.withColumn("_f", F.from_xml("body", CHANNEL, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}))
-    error = (F.when(F.octet_length("body") > MAX_BYTES, "feed is unusually large").when(~rooted | F.col("_f.channel").isNull(), "no rss channel")
+    error = (F.when(~rooted | F.col("_f.channel").isNull(), "no rss channel")
              .when(F.trim(blank("_f.channel.title")) == "", "no channel title"))
     df = df.withColumn("error", error)
     failed = df.filter("error is not null").select("source_id", "url", "error")
@@ -66,7 +65,7 @@ def press_hints(items: DataFrame) -> DataFrame:
     df = items.withColumn("_d", date).withColumn("_text", html_to_text("description"))
     none = F.lit("")
     return df.select("source_id", "url", (F.col("own_link") & (F.col("_d") != "")).alias("ok"),
-                     F.substring(F.coalesce(F.nullif("guid", none), F.col("link")), 1, 300).alias("id"), F.lit("Pressemitteilung").alias("kind"),
+                     F.coalesce(F.nullif("guid", none), F.col("link")).alias("id"), F.lit("Pressemitteilung").alias("kind"),
                      F.substring(collapse_ws("title"), 1, 300).alias("title"), F.col("_d").alias("date"), none.alias("time"), none.alias("place"),
                      none.alias("committee"), F.col("link").alias("web"), truncate_text("_text").alias("short_text"), none.alias("refers_to"))
 

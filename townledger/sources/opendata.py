@@ -16,7 +16,6 @@ from ..session import small_side
 from .council import as_list, is_object
 
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-ROWS_PER_ANSWER = 200
 SHOWN_FIELDS = 8
 MAX_TEXT = 600
 # Licence markers in comparison form; attribution is tested before public domain.
@@ -121,16 +120,14 @@ def open_data_rows(answers: DataFrame) -> DataFrame:
     first_schema = F.get(F.map_values(F.from_json(F.get_json_object("body", "$.schema"), "map<string,string>")), 0)
     fields = F.coalesce(F.json_object_keys(F.get_json_object(first_schema, "$.fields")), F.array().cast("array<string>"))
     count = F.get_json_object("body", "$.count").try_cast("int")
-    df = answers.select("dataset_id", "index", "page_no", count.alias("announced"), fields.alias("_f"), F.slice(results, 1, ROWS_PER_ANSWER).alias("_r"))
+    df = answers.select("dataset_id", "index", "page_no", count.alias("announced"), fields.alias("_f"), results.alias("_r"))
     # Only page sizes are summed in order; the rows themselves stay where they are.
     key = ["dataset_id", "index", "page_no"]
     sizes = df.select(*key, F.size("_r").alias("_n"))
     earlier = Window.partitionBy("dataset_id", "index").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     df = df.join(starts, key).select("dataset_id", "index", "announced", "_f", "_start", F.posexplode("_r").alias("pos", "raw"))
-    keys = F.json_object_keys("raw")
-    values = F.from_json("raw", "map<string,string>")
-    from_object = F.transform(keys, lambda k: F.struct(k.alias("name"), F.element_at(values, k).alias("value")))
+    from_object = F.transform(F.map_entries(F.from_json("raw", "map<string,string>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
     listed = F.from_json("raw", "array<string>")
     from_list = F.transform(F.arrays_zip(F.slice("_f", F.lit(1), F.least(F.size("_f"), F.size(listed))), F.slice(listed, F.lit(1), F.least(F.size("_f"), F.size(listed)))),
                             lambda z: F.struct(z["0"].alias("name"), z["1"].alias("value")))
@@ -174,11 +171,21 @@ def value_of(cells: Column, name: Column) -> Column:
     return F.coalesce(F.get(F.filter(cells, lambda c: c["name"] == name), 0)["value"], F.lit(""))
 
 
+def announced_gaps(answers: DataFrame) -> DataFrame:
+    """Answers that bring another number of rows than they announce: dataset_id, index, page_no, announced, read."""
+    read = F.coalesce(F.size(as_list(F.get_json_object("body", "$.results"))), F.lit(0))
+    df = answers.select("dataset_id", "index", "page_no", F.get_json_object("body", "$.count").try_cast("int").alias("announced"), read.alias("read"))
+    return df.filter("announced is not null AND announced <> read")
+
+
 def row_key(cells: Column, id_value: Column) -> Column:
-    """Stable key of a row: its id, else a hash over all fields sorted by name."""
-    flat = F.array_join(F.transform(F.array_sort(F.transform(cells, lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value")))), lambda c: F.concat(c["name"], F.lit("="), c["value"])), "|")
-    hashed = F.concat(F.lit("z"), F.substring(F.sha1(flat.cast("binary")), 1, 12))
-    return F.when(id_value != "", F.substring(F.regexp_replace(id_value, r"\s+", "-"), 1, 80)).otherwise(hashed)
+    """Stable key of a row: its whole id, else a hash over all fields sorted by name, each with its length in front."""
+    def part(x):
+        return F.concat(F.length(x).cast("string"), F.lit(":"), x)
+
+    fields = F.sort_array(F.transform(cells, lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value"))))
+    hashed = F.concat(F.lit("z"), F.sha2(F.array_join(F.transform(fields, lambda c: F.concat(part(c["name"]), part(c["value"]))), "").cast("binary"), 256))
+    return F.when(id_value != "", F.regexp_replace(id_value, r"\s+", "-")).otherwise(hashed)
 
 
 def dataset_rows_to_entries(rows: DataFrame, meta: DataFrame, today, city_label: str = "Stadt Köln") -> DataFrame:
