@@ -1,9 +1,9 @@
 """Near-duplicates: SuperMinHash signatures, banding, verification on full shingle sets, connected components.
 
 Documents with the same shingle set are one node. In each bucket all nodes are compared with the smallest one only; what stays
-unresolved (a bucket whose nodes lie in several components) is narrowed by the triangle inequality of the Jaccard distance and
-then compared pairwise in small buckets, or split by the bands of a further signature in large ones. No group is ever expanded
-into all its pairs, and no bucket is capped.
+unresolved (a bucket whose nodes lie in several components) is narrowed by the triangle inequality of the Jaccard distance. Small
+buckets are then compared pairwise; nodes of large ones are counted against each other block by block through an inverted index,
+which gives out links between components only. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 SMALL_BUCKET = 48
-LEVELS = 6
+BLOCK = 256
 ELEMENTS = 4096
 
 
@@ -126,15 +126,52 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(f"100 * common >= {percent} * either").select("a", "b")
 
 
-def _refine(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """Splits buckets by the bands of a further signature."""
-    @F.pandas_udf("array<long>")
-    def bands(s: pd.Series) -> pd.Series:
-        return pd.Series([band_hashes(np.asarray(x, np.int64).view(np.uint64), level) for x in s], dtype=object)
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, common, either) between nodes (key, node, root) of large buckets that lie in different components.
 
-    more = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", bands("items").alias("more"))
-    return (rows.join(more, "node").select("key", "node", "n", F.explode("more").alias("h"))
-            .select(F.xxhash64("key", "h").alias("key"), "node", "n"))
+    Buckets that share nodes are one group, so a node is worked on once and not once per band. Groups are cut into blocks of
+    about BLOCK nodes, and every pair of blocks is a task of its own: bounded memory, no pair is ever a row. Of the links between
+    the same components one is enough.
+    """
+    first = rows.withColumn("a", F.min("node").over(Window.partitionBy("key"))).select("a", F.col("node").alias("b")).distinct()
+    group = cut_lineage(components(first)).withColumnRenamed("root", "g")
+    nodes = rows.select("node", "root").distinct().join(group, "node")
+    counts = nodes.groupBy("g").agg(F.count("*").alias("m"))
+    nodes = (nodes.join(counts, "g").withColumn("blocks", (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("int"))
+             .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node"))
+    each = (nodes.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root", "mine", "items"))
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        nodes, mine = pdf["node"].to_numpy(), pdf["mine"].to_numpy()
+        names, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        arrays = [np.asarray(x, np.int64) for x in pdf["items"]]
+        sizes = np.array([len(x) for x in arrays])
+        items, inverse = np.unique(np.concatenate(arrays), return_inverse=True)
+        owner = np.repeat(np.arange(len(arrays)), sizes)
+        order = np.argsort(inverse, kind="stable")
+        posting = owner[order]
+        start = np.searchsorted(inverse[order], np.arange(len(items) + 1))
+        ends, out, met = np.cumsum(sizes), [], {}
+
+        def top(x):
+            while met.setdefault(x, x) != x:
+                x = met[x]
+            return x
+
+        for x in np.flatnonzero(mine == i):
+            own = inverse[ends[x] - sizes[x]:ends[x]]
+            common = np.bincount(np.concatenate([posting[start[k]:start[k + 1]] for k in own]), minlength=len(arrays))
+            either = sizes[x] + sizes - common
+            for y in np.flatnonzero((100 * common >= percent * either) & (root != root[x]) & ((mine == j) if i != j else (np.arange(len(arrays)) > x))):
+                p, q = top(root[x]), top(root[y])
+                if p != q:
+                    met[p] = q
+                    out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y]), common[y], either[y]))
+        return pd.DataFrame(out, columns=["a", "b", "common", "either"])
+
+    return each.groupBy("g", "i", "j").applyInPandas(links, "a long, b long, common long, either long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
@@ -152,40 +189,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
     sig = sig.select("doc_id", "n_shingles", F.col("node").alias("digest"))
     rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    sets = known = None
-    for level in range(LEVELS + 1):
-        bucket = Window.partitionBy("key")
-        rows = cut_lineage(rows.withColumn("first", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
-                           .select("key", "node", "n", F.col("first.node").alias("c"), F.least(F.col("first.n") / F.col("n"), F.col("n") / F.col("first.n")).alias("ratio")))
-        star = rows.filter(f"c <> node AND 100 * ratio >= {percent}").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
-        if known is None:
-            reps = cut_lineage(nodes.select("node", "digest", "rep").join(rows.select("node").distinct(), "node", "left_semi"))
-            sets = cut_lineage(_sets(docs, reps, id_col, text_col))
-            known = cut_lineage(_verify(star, sets))
-        else:
-            known = cut_lineage(known.unionByName(_verify(star.join(known, ["a", "b"], "left_anti"), sets)))
-        root = cut_lineage(components(_linked(known, percent)))
-        # distance to the centre: as counted, or at least what the sizes alone say
-        tagged = (rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-                  .join(root.select(F.col("node").alias("c"), F.col("root").alias("c_root")), "c", "left").withColumn("c_root", F.coalesce("c_root", "c"))
-                  .join(known.select(F.col("a").alias("c"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d")), ["c", "node"], "left")
-                  .withColumn("d", F.when(F.col("c") == F.col("node"), F.lit(0.0)).otherwise(F.coalesce("d", 1 - F.col("ratio")))))
-        tagged = cut_lineage(tagged.select("key", "node", "n", "root", "d", (F.col("root") != F.col("c_root")).alias("away"), "ratio"))
-        mixed = tagged.groupBy("key").agg(F.min(F.when(F.col("away"), F.col("d"))).alias("out")).filter("out is not null")
-        # a node of the centre's component reaches a node outside it only if its own distance comes within the bound of theirs
-        near = F.col("away") | (F.col("d") >= F.col("out") - (1 - percent / 100) - 1e-9)
-        left = cut_lineage(tagged.join(cut_lineage(mixed), "key").filter(near).select("key", "node", "n", "root"))
-        count = cut_lineage(left.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "size"))
-        last = level == LEVELS
-        few = left.join(count.filter(F.lit(last) | (F.col("size") <= small)).select("key"), "key", "left_semi")
-        x = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        y = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        pairs = (x.join(y, "key").filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-                 .select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-        known = cut_lineage(known.unionByName(_verify(pairs, sets)))
-        if last or not has_rows(count.filter(f"size > {small}")):
-            break
-        rows = cut_lineage(_refine(left.join(count.filter(f"size > {small}").select("key"), "key", "left_semi"), sets, level + 1))
+    bucket = Window.partitionBy("key")
+    rows = cut_lineage(rows.withColumn("first", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
+                       .select("key", "node", "n", F.col("first.node").alias("c"), F.least(F.col("first.n") / F.col("n"), F.col("n") / F.col("first.n")).alias("ratio")))
+    star = rows.filter(f"c <> node AND 100 * ratio >= {percent}").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
+    reps = cut_lineage(nodes.select("node", "digest", "rep").join(rows.select("node").distinct(), "node", "left_semi"))
+    sets = cut_lineage(_sets(docs, reps, id_col, text_col))
+    known = cut_lineage(_verify(star, sets))
+    root = cut_lineage(components(_linked(known, percent)))
+    # distance to the centre: as counted, or at least what the sizes alone say
+    tagged = (rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+              .join(root.select(F.col("node").alias("c"), F.col("root").alias("c_root")), "c", "left").withColumn("c_root", F.coalesce("c_root", "c"))
+              .join(known.select(F.col("a").alias("c"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d")), ["c", "node"], "left")
+              .withColumn("d", F.when(F.col("c") == F.col("node"), F.lit(0.0)).otherwise(F.coalesce("d", 1 - F.col("ratio")))))
+    tagged = cut_lineage(tagged.select("key", "node", "n", "root", "d", (F.col("root") != F.col("c_root")).alias("away")))
+    mixed = tagged.groupBy("key").agg(F.min(F.when(F.col("away"), F.col("d"))).alias("out")).filter("out is not null")
+    # a node of the centre's component reaches a node outside it only if its own distance comes within the bound of theirs
+    near = F.col("away") | (F.col("d") >= F.col("out") - (1 - percent / 100) - 1e-9)
+    left = cut_lineage(tagged.join(cut_lineage(mixed), "key").filter(near).select("key", "node", "n", "root"))
+    count = cut_lineage(left.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "size"))
+    few = left.join(count.filter(F.col("size") <= small).select("key"), "key", "left_semi")
+    x = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    y = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    pairs = (x.join(y, "key").filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+             .select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+    known = known.unionByName(_verify(pairs, sets))
+    large = count.filter(F.col("size") > small)
+    if has_rows(large):
+        known = known.unionByName(_block_links(left.join(large.select("key"), "key", "left_semi"), sets, percent))
+    known = cut_lineage(_linked(known, percent).withColumn("common", F.lit(1)).withColumn("either", F.lit(1)))
     root = components(_linked(known, percent))
     classes = nodes.select("node", "digest", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
