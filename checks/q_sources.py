@@ -195,8 +195,8 @@ def notice_pages(t):
 
 @query("notice_entries", """SELECT 'bekanntmachung:' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 4, '0') || '-01_' || o_orderkey AS id, 'Satzungsbeschluss „' || o_orderpriority || '“' AS title, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 4, '0') || '-01' AS reference,
   CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, 'Satzungsbeschluss' AS step, CASE WHEN o_orderkey % 3 = 0 THEN 'Hinweisveröffentlichung 02.03.2026' ELSE '' END AS extra,
-  'Amtliche Bekanntmachung der Stadt Köln' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ', veröffentlicht am ' || strftime(o_orderdate, '%d.%m.%Y') END || '. Verfahrensschritt laut Quelle: Satzungsbeschluss.' || CASE WHEN o_orderkey % 3 = 0 THEN ' Hinweisveröffentlichung 02.03.2026.' ELSE '' END
-  || ' Maßgeblich ist die verlinkte Bekanntmachung; hier werden nur Titel, Datum und Link übernommen.' AS status_text FROM orders WHERE o_orderkey % 9 <> 0""")
+  'Bekanntmachung, Stadt Köln' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ', veröffentlicht am ' || strftime(o_orderdate, '%d.%m.%Y') END || '. Verfahrensschritt laut Quelle: Satzungsbeschluss.' || CASE WHEN o_orderkey % 3 = 0 THEN ' Hinweisveröffentlichung 02.03.2026.' ELSE '' END
+  || ' Es gilt der verlinkte Text; erfasst sind Titel, Tag und Adresse.' AS status_text FROM orders WHERE o_orderkey % 9 <> 0""")
 def notice_entries(t):
     return notices.notice_entries(notice_pages(t)).select("id", "title", "reference", "date", "step", "extra", "status_text")
 

@@ -118,12 +118,12 @@ def test_plan_and_entry_status(spark):
                                  "id string, seq int, observed string, content struct<title:string,phase:string,begin:string,end:string,description:string,organisation:string,permission:string>")
     tl = L.plan_timeline(plans.filter("id = 'a'"), snap, "2026-10-12").orderBy("at", "seq").collect()
     assert [r.kind for r in tl] == ["beobachtung", "beobachtung", "beteiligung", "beteiligung"]
-    assert tl[1].description == "Geändert: Phase, Beteiligungsbeginn. Zeitpunkt des Abrufs, nicht der amtlichen Änderung. Q · 01.11.2026 – ohne Frist"
+    assert tl[1].description == "Geändert: Phase, Beteiligungsbeginn (bemerkt beim Laden). Q · 01.11.2026 – ohne Frist"
     ent = spark.createDataFrame([("x", "2026-01-02", "", "amtlich", "Text.", False, "2026-03-04T00:00", True, "K", "S")],
                                 "id string, date string, short_text string, short_status string, status_text string, open boolean, seen string, is_notice boolean, category string, step string")
-    assert L.entry_status(ent).first().status_text == "Text. (Stand des lokalen Abrufs: 04.03.2026)"
+    assert L.entry_status(ent).first().status_text == "Text. (geladen am 04.03.2026)"
     assert [r.event for r in L.entry_timeline(ent, "2026-01-01").orderBy("pos").collect()] == [
-        "Amtliche Bekanntmachung veröffentlicht", "Zuletzt im lokalen Bestand erfasst"]
+        "Bekanntmachung erschienen", "Zuletzt geladen"]
 
 
 def test_failures_and_demand(spark):

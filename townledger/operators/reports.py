@@ -154,9 +154,36 @@ def next_due(sources: DataFrame, interval_s: int) -> DataFrame:
     return sources.withColumn("next_due", F.greatest(last, F.col("pause_until").try_cast("timestamp")))
 
 
-def _step(name, value, state) -> Column:
-    return F.struct((F.lit(name)).alias("step"), (value if isinstance(value, Column) else F.lit(value)).alias("value"),
-                    (state if isinstance(state, Column) else F.lit(state)).alias("state"))
+# Steps of the way from the source to the search: kind of source, step, what is counted as (counter, one, many), rule of its state.
+# Counters that start with "run:" are sums of the run log. Rules: "loaded" if anything is there, "list" for lists that may be
+# unfinished, "queue" for open detail pages, "sample", or the name of a counter that must not be zero.
+PATH_STEPS = (
+    ("oparl", "Abruf", (), "loaded"),
+    ("oparl", "Listen", (("committees", "Gremium", "Gremien"), ("records", "Vorlage", "Vorlagen"), ("meetings", "Sitzung", "Sitzungen")), "list"),
+    ("oparl", "Objekte", (("agenda_items", "Tagesordnungspunkt", "Tagesordnungspunkte"), ("consultations", "Beratung", "Beratungen")), "loaded"),
+    ("bauleitplanung", "Abruf", (), "loaded"),
+    ("bauleitplanung", "Verfahrensliste", (("records", "Verfahren", "Verfahren"),), "list"),
+    ("bauleitplanung", "Detailseiten", (("n_open", "Seite offen", "Seiten offen"),), "queue"),
+    ("feed", "Abruf", (), "loaded"),
+    ("feed", "Hinweise", (("hints", "Hinweis", "Hinweise"),), "hints"),
+    ("bekanntmachungen", "Abruf", (), "loaded"),
+    ("bekanntmachungen", "Listen", (("notices", "Bekanntmachung", "Bekanntmachungen"),), "list"),
+    ("bekanntmachungen", "Verweise", (("documents", "Original", "Originale"),), "documents"),
+    ("opendata", "Abruf", (), "loaded"),
+    ("opendata", "Datensätze", (("run:opendata:datensaetze", "Datensatz", "Datensätze"), ("run:opendata:uebersprungen_lizenz", "nicht offener", "nicht offene")), "list"),
+    ("opendata", "Lizenzen", (), "loaded"),
+    ("opendata", "Zeilen", (("run:opendata:neu", "neue Zeile", "neue Zeilen"), ("run:opendata:aktualisiert", "geänderte Zeile", "geänderte Zeilen")), "run:opendata:neu"),
+    ("beteiligung", "Abruf", (), "loaded"),
+    ("beteiligung", "Projekte", (("participations", "Projekt", "Projekte"), ("documents", "Verweis", "Verweise")), "participations"),
+    ("beteiligung", "Beiträge", (), "loaded"),
+    ("other", "Abruf", (), "sample"),
+    ("other", "Beispieldaten", (("records", "Vorgang", "Vorgänge"),), "sample"),
+)
+PATH_END = (
+    ("Dokumente", (("documents", "Verweis", "Verweise"),), "documents"),
+    ("Suche", (("records", "Vorgang", "Vorgänge"), ("plans", "Planverfahren", "Planverfahren")), "records"),
+)
+FEED_TYPES = ("ris-rss", "presse-rss")
 
 
 def load_path(sources: DataFrame, counts: DataFrame, open_lists: DataFrame, queue: DataFrame, run_counters: DataFrame) -> DataFrame:
@@ -165,65 +192,30 @@ def load_path(sources: DataFrame, counts: DataFrame, open_lists: DataFrame, queu
     ``open_lists``: source_id (with a pending next page); ``queue``: source_id, n_open;
     ``run_counters``: source_id, counters (sums of the run log, for open data).
     """
-    zero = {c: 0 for c in COUNTERS}
-    df = (sources.join(counts.withColumnRenamed("source_id", "id"), "id", "left").fillna(zero)
+    df = (sources.join(counts.withColumnRenamed("source_id", "id"), "id", "left").fillna({c: 0 for c in COUNTERS})
           .join(open_lists.select(F.col("source_id").alias("id")).distinct().withColumn("_open", F.lit(True)), "id", "left")
           .join(queue.select(F.col("source_id").alias("id"), "n_open"), "id", "left").fillna(0, ["n_open"])
           .join(run_counters.select(F.col("source_id").alias("id"), F.col("counters").alias("_rc")), "id", "left"))
-    c = F.col
-    course = (c("records") > 0) | (c("meetings") > 0) | (c("documents") > 0) | (c("hints") > 0)
-    ok = F.when(course, "ok").otherwise("wartet")
-    listed = F.when(c("_open"), "offen").otherwise(ok)
-    pause = F.when(c("_open"), " · Abrufreihe unterbrochen, wird fortgesetzt").otherwise("")
-
-    def n(key):
-        return F.coalesce(F.try_element_at(c("_rc"), F.lit(key)), F.lit(0))
-
-    def txt(*parts):
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-    near = "Mindestabstand laut Stadtkonfiguration"
-    paths = {
-        "oparl": [_step("Zugriff", f"robots.txt geprüft · {near}", ok),
-                  _step("Listen", txt("Gremien ", c("committees"), " · Vorlagen ", c("records"), " · Sitzungen ", c("meetings")), listed),
-                  _step("Objekte", txt("Tagesordnungspunkte ", c("agenda_items"), " · Beratungen ", c("consultations")), ok)],
-        "bauleitplanung": [_step("Zugriff", f"öffentliche Verfahrenssuche · {near}", ok),
-                           _step("Verfahrensliste", txt(with_unit("records", "Verfahren", "Verfahren"), " gelistet"), listed),
-                           _step("Detailseiten", F.when(c("n_open") > 0, txt(with_unit("n_open", "Detailabruf", "Detailabrufe"), " in der Warteschlange"))
-                                 .otherwise("Warteschlange leer"), F.when(c("n_open") > 0, "offen").otherwise(ok))],
-        "feed": [_step("Zugriff", f"ein Feed-Abruf je Lauf · {near}", ok),
-                 _step("Hinweise", txt(with_unit("hints", "Hinweis", "Hinweise"), " (Titel, Datum, Link, Kurztext) – nicht Teil der Suche"),
-                       F.when(c("hints") > 0, "ok").when(course, "leer").otherwise("wartet"))],
-        "bekanntmachungen": [_step("Zugriff", f"öffentliche Jahreslisten · {near}", ok),
-                             _step("Listen", txt(with_unit("notices", "Bekanntmachung", "Bekanntmachungen"), " gelistet", pause), listed),
-                             _step("Originale", "verlinkt; das PDF wird nicht geladen und nicht ausgewertet",
-                                   F.when(c("documents") > 0, "ok").otherwise("leer"))],
-        "opendata": [_step("Zugriff", f"Katalog und Tabellenspeicher des offenen Datenportals · {near}", ok),
-                     _step("Datensätze", txt(with_unit(n("opendata:datensaetze"), "Datensatz", "Datensätze"), " übernommen",
-                                             F.when(n("opendata:uebersprungen_lizenz") > 0, txt(" · ", n("opendata:uebersprungen_lizenz"),
-                                                    " ohne offene Lizenz übersprungen")).otherwise(""), pause), listed),
-                     _step("Lizenz", "nur DL-DE-Zero-2.0 und DL-DE-BY-2.0 je Datensatz; BY mit Namensnennung", ok),
-                     _step("Tabellenzeilen", txt(with_unit(n("opendata:neu"), "Zeile", "Zeilen"), " neu · ",
-                                                 with_unit(n("opendata:aktualisiert"), "Zeile", "Zeilen"),
-                                                 " aktualisiert · Originaldatei verlinkt, nicht geladen"),
-                           F.when((n("opendata:neu") > 0) | (n("opendata:aktualisiert") > 0), "ok").otherwise("leer"))],
-        "beteiligung": [_step("Zugriff", f"eine öffentliche Projektliste je Lauf · {near}", ok),
-                        _step("Projekte", txt(with_unit("participations", "Beteiligungsangebot", "Beteiligungsangebote"), " · ",
-                                              with_unit("documents", "Dokumentverweis", "Dokumentverweise")),
-                              F.when(c("participations") > 0, "ok").when(course, "leer").otherwise("wartet")),
-                        _step("Beiträge Dritter", "nicht übernommen (keine Kommentare, Namen oder Fotos)", ok)],
-        "other": [_step("Zugriff", "Offline-Auszug, kein Netzabruf", "beispiel"),
-                  _step("Beispieldaten", txt(c("records"), " Vorgänge aus Fixtures"), "beispiel")],
-    }
-    tail = [_step("Dokumente", txt(with_unit("documents", "Dokumentverweis", "Dokumentverweise"), " (nur verlinkt)"),
-                  F.when(c("documents") > 0, "ok").otherwise("leer")),
-            _step("Suchbestand", txt(with_unit("records", "Vorgang", "Vorgänge"), " · ", with_unit("plans", "Planverfahren", "Planverfahren")),
-                  F.when(c("records") > 0, "ok").otherwise("leer"))]
-    kind = F.when(c("type").isin("ris-rss", "presse-rss"), "feed").when(c("type").isin(*[k for k in paths if k not in ("feed", "other")]), c("type")).otherwise("other")
-    choice = F.array(*paths["other"], *tail)
-    for name, steps in paths.items():
-        if name != "other":
-            choice = F.when(kind == name, F.array(*steps, *tail)).otherwise(choice)
+
+    def number(counter: str) -> Column:
+        return F.coalesce(F.try_element_at("_rc", F.lit(counter[4:])), F.lit(0)) if counter.startswith("run:") else F.col(counter)
+
+    loaded = F.when(F.greatest(*[F.col(c) for c in ("records", "meetings", "documents", "hints")]) > 0, "ok").otherwise("wartet")
+    named = {"loaded": loaded, "list": F.when(F.col("_open"), "offen").otherwise(loaded), "queue": F.when(F.col("n_open") > 0, "offen").otherwise(loaded),
+             "sample": F.lit("beispiel")}
+
+    def step(name: str, counted, rule: str) -> Column:
+        value = F.concat_ws(" · ", *[with_unit(number(c), one, many) for c, one, many in counted])
+        state = named[rule] if rule in named else F.when(number(rule) > 0, "ok").otherwise("leer")
+        return F.struct(F.lit(name).alias("step"), value.alias("value"), state.alias("state"))
+
+    end = [step(*row) for row in PATH_END]
+    kinds = list(dict.fromkeys(k for k, *_ in PATH_STEPS))
+    paths = {k: F.array(*[step(*row) for kind, *row in PATH_STEPS if kind == k], *end) for k in kinds}
+    kind = F.when(F.col("type").isin(*FEED_TYPES), "feed").otherwise(F.col("type"))
+    choice = paths.pop("other")
+    for k, path in paths.items():
+        choice = F.when(kind == k, path).otherwise(choice)
     return df.select("id", choice.alias("path"))
 
 
@@ -284,10 +276,10 @@ def report_totals(report: DataFrame) -> DataFrame:
         F.min(F.col("state") == "beispiel").alias("_samples_only"), F.max(F.col("state") == "pause").alias("_paused"),
         F.max(F.col("runs").isNotNull()).alias("_any_run"))
     hints = F.array_compact(F.array(
-        F.when(F.col("_samples_only"), "Es sind nur Offline-Beispieldaten geladen."),
-        F.when(~F.col("_any_run"), "Es ist noch kein Abruflauf protokolliert."),
-        F.when(F.col("_paused"), "Mindestens eine Quelle ist in Abkühlzeit."),
-        F.lit("Angezeigt werden nur bereits abgerufene Daten; Dokumente bleiben verlinkt.")))
+        F.when(F.col("_samples_only"), "Bisher gibt es nur Beispiele."),
+        F.when(~F.col("_any_run"), "Bisher ist nichts geladen worden."),
+        F.when(F.col("_paused"), "Eine Quelle oder mehrere pausieren."),
+        F.lit("Gezeigt wird, was geladen ist; Dokumente sind Verweise.")))
     return agg.withColumn("hints", hints).drop("_samples_only", "_paused", "_any_run")
 
 

@@ -204,15 +204,15 @@ def dataset_rows_to_entries(rows: DataFrame, meta: DataFrame, today, city_label:
     df = df.withColumn("_b", begin).withColumn("_e", end).withColumn("_n", name).withColumn("_ref", reference)
     span = F.concat_ws(" – ", F.nullif("_b", F.lit("")), F.nullif("_e", F.lit("")))
     changed = F.substring(blank("modified"), 1, 10)
-    told = F.concat_ws(" ", F.concat(F.lit("Eintrag aus dem offenen Datensatz „"), F.col("_n"), F.lit("“ (Zeile "), F.col("number").cast("string"), F.lit(").")),
-                       F.when(span != "", F.concat(F.lit("Zeitraum laut Quelle: "), span, F.lit("."))),
-                       F.when(changed != "", F.concat(F.lit("Datensatz zuletzt geändert: "), changed, F.lit("."))),
+    told = F.concat_ws(" ", F.concat(F.lit("Zeile aus dem Datensatz „"), F.col("_n"), F.lit("“ (Nummer "), F.col("number").cast("string"), F.lit(").")),
+                       F.when(span != "", F.concat(F.lit("Zeitraum: "), span, F.lit("."))),
+                       F.when(changed != "", F.concat(F.lit("Datensatz vom "), changed, F.lit("."))),
                        F.when(blank("licence_text") != "", F.concat(F.lit("Lizenz: "), F.col("licence_text"), F.lit("."))))
-    note = F.trim(F.concat(F.lit("Auskunft des offenen Datensatzes der Stadt; keine amtliche Bekanntmachung. "), blank("licence_text")))
+    note = F.trim(F.concat(F.lit("Angabe aus offenen Daten, nicht amtlich. "), blank("licence_text")))
     return df.select("dataset_id", F.concat_ws(":", F.lit("opendata"), F.col("dataset_id"), row_key(F.col("_all"), F.col("_ref"))).alias("id"),
                      F.concat(F.lit("Datensatz: "), F.substring("_n", 1, 120)).alias("kind"), title.alias("title"), F.col("_ref").alias("reference"),
                      F.col("_b").alias("date"), blank("original_url").alias("web"), F.col("_n").alias("category"), F.lit("").alias("step"),
-                     F.lit("Im offenen Datensatz geführt").alias("short_status"), told.alias("status_text"),
+                     F.lit("Zeile eines Datensatzes").alias("short_status"), told.alias("status_text"),
                      ((F.col("_e") != "") & (F.col("_e") >= F.lit(today))).alias("open"), F.substring(shown, 1, MAX_TEXT).alias("short_text"), note.alias("extra"),
                      F.col("_e").alias("deadline"), F.array_join(F.transform("_all", lambda c: c["value"]), " ").alias("hidden_text"))
 
