@@ -34,6 +34,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as a compressed table in the shared folder and read again; survives the loss of executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case, every other character unchanged; null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -65,4 +72,4 @@ def has_rows(df: DataFrame) -> bool:
     return len(df.limit(1).take(1)) > 0
 
 
-__all__ = ["SPACE", "WORD", "UPPER", "LOWER", "prepare", "scratch", "lower_ascii", "split_words", "id_filter", "flag_ids", "has_rows", "cut_lineage"]
+__all__ = ["SPACE", "WORD", "UPPER", "LOWER", "prepare", "scratch", "stored", "lower_ascii", "split_words", "id_filter", "flag_ids", "has_rows", "cut_lineage"]

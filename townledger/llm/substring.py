@@ -2,11 +2,12 @@
 
 1. Every window has an anchor, its least run of 16 words by hash. Anchors of all documents are counted; a window can recur only
    if its anchor does.
-2. Such windows are counted by two 64-bit hashes, their own and their anchor's; a recurring one gets one home document.
+2. Such windows are counted by a 64-bit hash; a recurring one gets one home document.
 3. The anchors of recurring windows are the phrases of the automata, sharded by their hash; a phrase knows the recurring
    windows around it.
-4. All documents stream by; where an anchor may be a phrase, the words around it go to its shard, whose automaton finds the
-   phrases; the windows around them that recur are marked.
+4. All documents stream by; where windows around an anchor may recur, their words go to the anchor's shard, whose automaton
+   finds the phrases; the windows around them that recur are marked. A window of another text with the same 64-bit hash and
+   anchor phrase would be needed for a wrong hit.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut_lineage, flag_ids, id_filter
+from .common import SPACE, WORD, cut_lineage, flag_ids, id_filter, stored
 from .shingles import window_hashes, word_hashes
 
 WINDOW = 35
@@ -99,7 +100,7 @@ def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, share, window: int) -> DataFrame:
-    """(w, g, key) of the windows whose anchor recurs: hash of the window, of its anchor, key of the document."""
+    """(w, key) of the windows whose anchor recurs: hash of the window, key of the document."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
@@ -108,12 +109,12 @@ def _candidates(rows: DataFrame, share, window: int) -> DataFrame:
                 _, least, _ = anchors(h, window)
                 pos = np.flatnonzero(_inside(share.value, least))
                 if len(pos):
-                    out.append((window_hashes(h, window, 1)[pos], least[pos], np.full(len(pos), key, np.int64)))
+                    out.append((window_hashes(h, window, 1)[pos], np.full(len(pos), key, np.int64)))
             if out:
-                w, g, key = (np.concatenate(x) for x in zip(*out))
-                yield pd.DataFrame({"w": w.view(np.int64), "g": g.view(np.int64), "key": key})
+                w, key = (np.concatenate(x) for x in zip(*out))
+                yield pd.DataFrame({"w": w.view(np.int64), "key": key})
 
-    return rows.select("key", "text").mapInPandas(run, "w long, g long, key long")
+    return rows.select("key", "text").mapInPandas(run, "w long, key long")
 
 
 def _phrases(rows: DataFrame, homes: DataFrame, window: int) -> DataFrame:
@@ -143,20 +144,26 @@ def _phrases(rows: DataFrame, homes: DataFrame, window: int) -> DataFrame:
 
 
 def _segments(rows: DataFrame, share, window: int) -> DataFrame:
-    """(g, key, key2, start, context): the words around every anchor that may be a phrase, as far as windows over it reach."""
-    side = window - _gram(window)
-
+    """(g, key, key2, start, context): per anchor the words of its windows that may recur; share holds the filters of anchors and windows."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of_anchors, of_windows = share.value
         for pdf in parts:
             out = []
             for i, t in enumerate(pdf["text"]):
-                g, _, places = anchors(_hashes(t), window)
-                places = places[_inside(share.value, g[places])]
-                if len(places):
-                    words = split(t)
-                    for p, x in zip(places.tolist(), g[places].view(np.int64).tolist()):
-                        lo = max(0, p - side)
-                        out.append((x, i, lo, " ".join(words[lo:p + window])))
+                h = _hashes(t)
+                g, least, places = anchors(h, window)
+                pos = np.flatnonzero(_inside(of_anchors, least))
+                pos = pos[_inside(of_windows, window_hashes(h, window, 1)[pos])]
+                if not len(pos):
+                    continue
+                k = np.searchsorted(places, pos)
+                while len(off := np.flatnonzero(g[places[k]] != least[pos])):
+                    k[off] += 1
+                words = split(t)
+                p, first = np.unique(places[k], return_index=True)
+                last = np.append(first[1:], len(pos)) - 1
+                for x, a, b in zip(g[p].view(np.int64).tolist(), pos[first].tolist(), pos[last].tolist()):
+                    out.append((x, i, a, " ".join(words[a:b + window])))
             if out:
                 x, row, lo, context = zip(*out)
                 row = list(row)
@@ -235,9 +242,9 @@ def recurring_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     share = spark.sparkContext.broadcast(_bitmap(cut_lineage(_recurring_anchors(rows, window))))
-    homes = cut_lineage(_candidates(rows, share, window).groupBy("w", "g").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n > 1").select("w", "g", "key"))
-    phrases = cut_lineage(_phrases(rows, homes, window))
-    ours = spark.sparkContext.broadcast(_bitmap(cut_lineage(phrases.select(F.col("g").alias("h")).distinct())))
+    homes = stored(_candidates(rows, share, window).groupBy("w").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n > 1").select("w", "key"), "homes")
+    phrases = stored(_phrases(rows, homes, window), "phrases")
+    ours = spark.sparkContext.broadcast((_bitmap(phrases.select(F.col("g").alias("h")).distinct()), _bitmap(homes.select(F.col("w").alias("h")))))
     found = _locate(phrases, _segments(rows, ours, window), window)
     return cut_lineage(found.groupBy("key", "key2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
 
