@@ -181,6 +181,7 @@ class Shard:
         self.automaton = None
 
     def add(self, phrase: str, windows) -> None:
+        self.automaton = None
         self.windows.setdefault(f" {phrase} ", set()).update(windows)
 
     def _compiled(self):
@@ -193,7 +194,7 @@ class Shard:
 
     def locate(self, contexts: list[str]) -> Iterator[tuple[int, int, int]]:
         """(piece, start, stop): spans of words covered by recurring windows around the phrases in pieces of text."""
-        if not self.windows:
+        if not self.windows or not contexts:
             return
         automaton, side = self._compiled(), self.window - self.gram
         # windows of all pieces in one go; those across a border are never asked for
