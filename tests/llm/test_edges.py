@@ -22,7 +22,7 @@ def words(rng, n):
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(5)
-    a, b, long = words(rng, 80), words(rng, 60), words(rng, 30000)
+    a, b, long = words(rng, 80), words(rng, 60), words(rng, 6000)
     near_a = a.split()
     near_a[3] = "other"
     rows = [(1, a), (2, a.upper()), (2, a.upper()), (3, a.replace(" ", "\n")), (4, " ".join(near_a)), (5, None), (6, ""), (6, ""), (7, " \t\n"), (None, a), (None, None),
@@ -66,9 +66,10 @@ def test_substring_small_window(docs, texts):
 
 
 def test_exact(docs, none, texts):
-    want = duck(exact.SQL, texts)
-    for how in ({}, {"chunk": 100}, {"chunk": 7, "prime": 3}):  # a tiny prime makes different texts collide
-        got = rows(exact.exact_dedup(docs, **how))
+    few = docs.filter("length(text) < 4000 OR text IS NULL")
+    for df, how in ((docs, {}), (few, {"chunk": 100, "prime": 1})):  # with the modulus one all texts of a length collide
+        want = duck(exact.SQL, [(r.doc_id, r.text) for r in df.collect()])
+        got = rows(exact.exact_dedup(df, **how))
         assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and sum(r[3] for r in got) == sum(r[3] for r in want)
     assert exact.exact_dedup(none).count() == 0
     kept = exact.drop_copies(docs)

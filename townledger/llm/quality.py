@@ -79,15 +79,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
         F.array_join(F.transform(kept, lambda x: x.line), "\n").alias("clean_text"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost = 100 * (F.col("n_words") - F.col("n_kept_words")) > max_lost * F.col("n_words")
-    return df.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~lost)
+    # a row number is never negative; being no constant it keeps filters on the verdict above this projection, where every
+    # figure is worked out once instead of once per mention
+    here = F.monotonically_increasing_id() >= 0
+    return df.withColumn("base_failed", base_failed & here).withColumn("kept", ~base_failed & ~lost & here)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document is kept, all columns and whole texts unchanged, without a join."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", F.col(f"_row.`{text_col}`").alias("_t"))
-    verdict = judge(rows, "_row", "_t").select("doc_id", "kept", F.monotonically_increasing_id().alias("_n"))
-    # the row number keeps the condition above the projection; pushed below, every figure would be worked out several times
-    return verdict.filter("kept AND _n >= 0").select("doc_id.*")
+    return judge(rows, "_row", "_t").filter("kept").select("doc_id.*")
 
 
 # The same figures in SQL; word and line rules are stated once more, by unnesting.
