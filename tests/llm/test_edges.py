@@ -171,3 +171,24 @@ def test_mixing(spark, docs, none):
     for a, b in ((docs, labels.limit(0)), (docs, labels), (none, labels), (none, labels.limit(0))):
         assert mixing.rates(a, b).count() == a.count() and mixing.mix(a, b).columns == a.columns
         mixing.mix(a, b).count()
+
+
+def test_components_over_several_partitions(spark, monkeypatch):
+    prepare(spark)
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(180)]
+    group = {}
+
+    def top(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        group[max(a, b)] = min(a, b)
+    want = {(x, top(x)) for x in group if any(x in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    for size in (1_000_000, 40):
+        monkeypatch.setattr(near, "EDGES", size)
+        assert {tuple(r) for r in near.components(df).collect()} == want

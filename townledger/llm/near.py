@@ -24,6 +24,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 SMALL_BUCKET = 48
 BLOCK = 256
+EDGES = 500_000
 ELEMENTS = 4096
 
 
@@ -100,23 +101,46 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", "common", (F.col("both") - F.col("common")).alias("either")))
 
 
+def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over the edges (u, v) of one partition; gives every node of it with the smallest node it reaches there."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[y]
+        return x
+
+    for pdf in parts:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            p, q = top(u), top(v)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    out = [(top(x), x) for x in list(parent) if top(x) != x]
+    yield pd.DataFrame(out, columns=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that can be reached.
 
-    Alternating large-star and small-star steps; every step leaves at most as many edges as before.
+    Edges are contracted by union-find inside partitions of about EDGES edges, then between them by a large-star and a small-star
+    step, until nothing changes; every step leaves at most as many edges as before. Where one partition holds all edges the
+    first contraction is the answer.
     """
     cur = cut_lineage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(low, "v")
-        small = joined.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(joined.select(F.col("m").alias("u"), "v")).filter("u <> v").distinct()
-        cur = cut_lineage(small)
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        size = cur.count() // EDGES + 1
+        cur = cut_lineage(cur.coalesce(size).mapInPandas(_contract, "u long, v long"))
+        if size > 1:
+            both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
+            low = large.groupBy("v").agg(F.min("u").alias("m"))
+            joined = large.join(low, "v")
+            small = joined.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(joined.select(F.col("m").alias("u"), "v")).filter("u <> v").distinct()
+            cur = cut_lineage(small)
+            state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if size == 1 or state == before:
             return (cur.select(F.col("v").alias("node"), F.col("u").alias("root"))
                     .unionByName(cur.select(F.col("u").alias("node"), F.col("u").alias("root"))).distinct())
         before = state
