@@ -142,7 +142,7 @@ def test_open_data(spark):
     assert (k.id, k.reference, k.date, k.deadline, k.open) == ("opendata:id1:A-1", "A 1", "2026-02-01", "2026-12-01", True)
     assert k.short_text == "beginn datum: 1.2.2026 · ende: 2026-12-01 · ja: ja" and out["Brücke"].id == "opendata:id1:7"
     import hashlib
-    assert out["Baustellen im Stadtgebiet – Zeile 2"].id == "opendata:id1:z" + hashlib.sha1("hinweis=nur|tief=".encode()).hexdigest()[:12]
+    assert out["Baustellen im Stadtgebiet – Zeile 2"].id == "opendata:id1:z" + hashlib.sha256("7:hinweis3:nur4:tief0:".encode()).hexdigest()
 
 
 def test_registers(spark, tmp_path):
