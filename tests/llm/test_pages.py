@@ -102,3 +102,29 @@ def test_nearest_pages_without_article(spark):
         want[i] = " ".join(body)
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+
+
+def test_lines_outside_articles_are_compared_and_copies_are_not_neighbours(spark):
+    """Lines outside an article go only where the nearest page has them; groups of copies over many ranges keep their text."""
+    prepare(spark)
+    rows, want = [], {}
+
+    def add(host, path, parts, text):
+        rows.append((len(rows), f"https://{host}.example/{path}", "".join(parts)))
+        want[len(rows) - 1] = text
+
+    for i in range(30):
+        add("news", f"p/{i:03d}", ["<div>Top</div>", f"<div>Lead {i}</div><article><p>Body {i}</p><p>quoted</p></article>", "<p>quoted</p><div>End</div>"], f"Lead {i} Body {i} quoted")
+    for i in range(60):
+        page = i // 20  # three groups of copies
+        add("copies", f"{page}/{i:03d}", ["<div>Top</div>", f"<p>Text {page}</p>", "<div>End</div>"], f"Text {page}")
+    for i in range(3):
+        add("only", f"{i}", ["<div>Top</div><article>A</article>"], "Top A")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

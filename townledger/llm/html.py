@@ -1,9 +1,11 @@
 """Main text of web pages: what a page shares with the page of the nearest URL is template, the rest is text.
 
 Pages are put in order of host and path; each is compared with the neighbour whose path is closer, by the longest common
-subsequence of text lines, and shared lines are deleted. Two things the comparison alone gets wrong are settled by the markup:
-lines inside navigation, forms, adverts and the like are never text, also where the neighbour has others, and lines inside an
-article are always text, also where the neighbour is a copy or quotes the same passage.
+subsequence of text lines, and shared lines are deleted. Neighbours are the nearest pages on either side whose lines differ, so
+copies of a page do not delete each other. Two things the comparison alone gets wrong are settled by the markup: lines inside
+navigation, forms, adverts and the like are never text, also where the neighbour has others, and lines inside an article are
+always text and no template, also where the neighbour quotes the same passage. All other lines go by the comparison, on pages
+with an article as well.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import html as entities
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import count
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -183,77 +186,92 @@ def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(key, key2, shared): places of the lines that a page shares with the page of the nearest URL, for pages without an article.
+    """(key, key2, shared): places, among a page's lines outside articles, of those it shares with the page of the nearest URL.
 
-    Only hashes of lines are sorted by URL, in ranges, so that a large host is spread over many tasks; the outermost row of
-    each range goes to the neighbouring one.
+    Only hashes of lines are sorted by URL, in ranges, so that a large host is spread over many tasks. Pages of one host that
+    follow each other with equal lines are one run, and a run's neighbours are the page before and the page after it; the outer
+    two runs at each end of a range are shown to the other ranges by one page each.
     """
-    @F.pandas_udf("host string, path string, article boolean, hashes array<long>")
+    @F.pandas_udf("host string, path string, whole long, hashes array<long>")
     def view(urls: pd.Series, texts: pd.Series) -> pd.DataFrame:
         out = []
         for u, t in zip(urls, texts):
             found = lines(t)
-            out.append((*_place(u), any(z == 1 for _, z in found), [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in found]))
-        return pd.DataFrame(out, columns=["host", "path", "article", "hashes"])
+            whole = xxhash.xxh3_64_intdigest("\n".join(f"{z}{x}" for x, z in found)) - (1 << 63)
+            out.append((*_place(u), whole, [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, z in found if z == 0]))
+        return pd.DataFrame(out, columns=["host", "path", "whole", "hashes"])
 
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select("key", "key2", view("url", "html").alias("v")).select("key", "key2", "v.*")
     rows = cut_lineage(rows.repartitionByRange(n, "host", "path", "key", "key2").sortWithinPartitions("host", "path", "key", "key2"))
 
     def outer(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = None
+        first: list[tuple] = []  # first page of the first and of the second run
+        last: list[tuple] = []  # last page of the last run but one and of the last
         for pdf in parts:
-            if len(pdf):
-                first = pdf.iloc[:1] if first is None else first
-                last = pdf.iloc[-1:]
-        if first is not None:
-            yield pd.concat([first, last]).assign(part=TaskContext.get().partitionId(), end=[0, 1])[["part", "end", "host", "path", "hashes"]]
-
-    # two rows per range
-    ends = rows.mapInPandas(outer, "part int, end int, host string, path string, hashes array<long>").collect()
-    ends = sorted((r.part, r.end, r.host, r.path, list(r.hashes)) for r in ends)
+            for row in pdf[["host", "path", "whole", "hashes"]].itertuples(index=False, name=None):
+                if len(first) < 2 and (not first or not _same(first[-1], row)):
+                    first.append(row)
+                last = [*last[-1:], row] if last and not _same(last[-1], row) else [*last[:-1], row]
+        me = TaskContext.get().partitionId()
+        out = [(me, end, at, *row) for end, side in ((0, first), (1, last)) for at, row in enumerate(side)]
+        yield pd.DataFrame(out, columns=["part", "end", "at", "host", "path", "whole", "hashes"])
+
+    # four rows per range at most
+    ends = rows.mapInPandas(outer, "part int, end int, at int, host string, path string, whole long, hashes array<long>").collect()
+    ends = sorted((r.part, r.end, r.at, r.host, r.path, r.whole, list(r.hashes)) for r in ends)
     share = pages.sparkSession.sparkContext.broadcast(ends)
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         me = TaskContext.get().partitionId()
-        before = max((x for x in share.value if x[0] < me and x[1] == 1), default=None)
-        after = min((x for x in share.value if x[0] > me and x[1] == 0), default=None)
-        last = before and (before[2], before[3], before[4])
-        row = None
-        out = []
-
-        def work(last, row, following):
-            _, _, host, path, article, hashes = row
-            a = last if last and last[0] == host else None
-            b = following if following and following[0] == host else None
-            side = _near(path, a and a[1], b and b[1])
-            if side and not article:
-                common = common_lines(list(hashes), list((a if side < 0 else b)[2]))
-                if common:
-                    out.append((row[0], row[1], common))
+        before = [x[3:] for x in share.value if x[0] < me and x[1] == 1]
+        after = [x[3:] for x in share.value if x[0] > me and x[1] == 0]
+        last = run = None  # page before the run; a page of the run
+        held: list[tuple] = []  # keys and path of the run's pages
+        out: list[tuple] = []
+
+        def work(following):
+            a = last if last and last[0] == run[0] else None
+            b = following if following and following[0] == run[0] else None
+            common: dict[int, list[int]] = {}
+            for key, key2, path in held:
+                side = _near(path, a and a[1], b and b[1])
+                if side and side not in common:
+                    common[side] = common_lines(list(run[3]), list((a if side < 0 else b)[3]))
+                if side and common[side]:
+                    out.append((key, key2, common[side]))
 
         for pdf in parts:
-            for here in pdf.itertuples(index=False, name=None):
-                if row is not None:
-                    work(last, row, (here[2], here[3], here[5]))
-                    last = (row[2], row[3], row[5])
-                row = here
+            for key, key2, *row in pdf[["key", "key2", "host", "path", "whole", "hashes"]].itertuples(index=False, name=None):
+                if run is None:
+                    last = next((x for x in reversed(before) if not _same(x, row)), None)
+                elif not _same(run, row):
+                    work(row)
+                    last, held = run, []
+                run = row
+                held.append((key, key2, row[1]))
             yield pd.DataFrame(out, columns=["key", "key2", "shared"])
-            out = []
-        if row is not None:
-            work(last, row, after and (after[2], after[3], after[4]))
+            out.clear()
+        if run is not None:
+            work(next((x for x in after if not _same(x, run)), None))
             yield pd.DataFrame(out, columns=["key", "key2", "shared"])
 
     return cut_lineage(rows.mapInPandas(compare, "key long, key2 int, shared array<int>").dropDuplicates(["key", "key2"]))
 
 
+def _same(a: tuple, b: tuple) -> bool:
+    """Whether two (host, path, hash of all lines, ...) are of one host and have equal lines."""
+    return a[0] == b[0] and a[2] == b[2]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    With an article, its lines are the text; without one, the lines that the nearest page does not share. A null page is empty
-    and has the empty text; a null url counts as a host of its own kind. Repeated rows each give a row. Broken markup is read as
-    far as it goes; whole pages of any length are read. Extra columns are not read; an empty table gives no rows. Only pages
-    with deleted lines are joined, all others are worked on where they are read.
+    The text is the lines of articles and, of the lines outside, those that the nearest page with other lines does not share;
+    where a host has no such page all of them stay. A null page is empty and has the empty text; a null url counts as a host of
+    its own kind. Repeated rows each give a row. Broken markup is read as far as it goes; whole pages of any length are read.
+    Extra columns are not read; an empty table gives no rows. Only pages with deleted lines are joined, all others are worked on
+    where they are read.
     """
     rows = _keyed(pages, id_col, url_col, html_col)
     masks = shared_lines(rows)
@@ -262,12 +280,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def text(texts: pd.Series, shared: pd.Series) -> pd.Series:
         out = []
         for t, gone in zip(texts, shared):
-            found = lines(t)
-            if any(z == 1 for _, z in found):
-                out.append(" ".join(x for x, z in found if z == 1))
-            else:
-                gone = set() if gone is None else set(np.asarray(gone).tolist())
-                out.append(" ".join(x for i, (x, _) in enumerate(found) if i not in gone))
+            gone = set() if gone is None else set(np.asarray(gone).tolist())
+            outside = count()
+            out.append(" ".join([x for x, z in lines(t) if z == 1 or next(outside) not in gone]))
         return pd.Series(out, dtype=object)
 
     rows = flag_ids(rows, id_filter(masks, F.col("key")), F.col("key"))
