@@ -128,3 +128,19 @@ def test_lines_outside_articles_are_compared_and_copies_are_not_neighbours(spark
             assert {r.page_id: r.text for r in html.extract(df).collect()} == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='content has-sidebar'><article>kept</article></div>", "kept"),
+    ("<div id='layout-no-sidebar'><article>kept</article></div>", "kept"),
+    ("<article class='post category-social tag-search'>kept</article>", "kept"),
+    ("<article><section class='share-enabled'>kept</section></article>", "kept"),
+    ("<div class='sidebar'>side<article class='promo'>kept<div class='ad'>buy</div></article>side</div>", "kept"),
+    ("<div class='page-header'><main>kept</main>top</div>", "kept"),
+    ("<article>kept<section id='comments'><article class='comment'>c</article></section><article class='comment'>c</article></article>", "kept"),
+    ("<article>kept<div class='Social_Share'>x</div><ul class='share-buttons'><li>x</ul><div id='ad-728x90'>x</div><p id=comment-12>x</p></article>", "kept"),
+    ("<div class='wp-block-ad'>x</div><div role=banner>x</div><div id='site-navigation'>x</div><p>kept", "kept"),
+    ("<div hidden=''><article>x</article></div><nav><main>x</main></nav><p>kept", "kept"),
+])
+def test_class_names_count_as_a_whole(page, text):
+    assert " ".join(x for x, _ in html.lines(page)) == text

@@ -38,27 +38,47 @@ SKIPPED_WORDS = ("ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "pagination", "pager", "popup", "promo", "promotion", "recommended", "related", "responses", "share", "sharing", "sidebar", "social",
                  "sponsor", "sponsored", "subscribe", "toc", "toolbar", "widget", "complementary", "contentinfo", "search", "login", "signup")
 HEADER_WORDS = ("header", "masthead")
+MAIN_WORDS = ("main", "main-content", "content-main", "main-article", "main-body", "main-text", "main-column")
+# A class, id or role counts as a whole: one of the words above, or one of them between these.
+BEFORE = ("site", "page", "main", "global", "primary", "secondary", "top", "bottom", "post", "article", "entry", "user", "mobile", "sticky", "floating", "google", "wp-block",
+          "block")
+AFTER = ("area", "bar", "block", "box", "button", "buttons", "container", "form", "icons", "inner", "item", "items", "label", "links", "list", "overlay", "panel",
+         "placeholder", "posts", "section", "slot", "title", "top", "unit", "wrap", "wrapper")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z0-9]+")
+_NUMBER = re.compile(r"(?:-?[0-9]+(?:x[0-9]+)?)+$")
+
+
+def _compounds(words: tuple[str, ...], ends: tuple[str, ...]) -> frozenset[str]:
+    return frozenset("-".join(filter(None, (x, w, y))) for x in ("", *BEFORE) for w in words for y in ("", *ends))
+
+
+_SKIPPED_NAMES = _compounds(SKIPPED_WORDS, (*AFTER, *SKIPPED_WORDS))
+_HEADER_NAMES = _compounds(HEADER_WORDS, AFTER)
 
 
 def _zone(tag: str, attributes: str, inside: int) -> int:
-    """0 page, 1 article, 2 never text; ``inside`` is the zone around the element."""
+    """0 page, 1 article, 2 never text, 3 no text but for articles in it; ``inside`` is the zone around the element."""
     if inside == 2:
         return 2
     names = set()
     if "=" in attributes:
         for m in _NAMES.finditer(attributes):
-            names.update(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+            names.update(_NUMBER.sub("", x) for x in (m[1] or m[2] or m[3] or "").lower().replace("_", "-").split())
         if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes, re.I) and "aria-hidden" not in attributes:
             return 2
-    if tag in SKIPPED or (tag not in ("html", "body", "main") and not names.isdisjoint(SKIPPED_WORDS)):
+    if tag in SKIPPED:
         return 2
-    if inside == 0 and tag != "html" and tag != "body" and (tag == "header" or not names.isdisjoint(HEADER_WORDS)):
+    if tag in MAIN and inside != 1:  # a name around or on an article does not make it less of one
+        return 1
+    if tag not in ("html", "body", "main") and not names.isdisjoint(_SKIPPED_NAMES):
+        return 2 if inside == 1 else 3
+    if inside == 0 and tag == "header":
         return 2
-    return 1 if tag in MAIN or "main" in names and tag != "body" else inside
+    if inside == 0 and tag != "html" and tag != "body" and not names.isdisjoint(_HEADER_NAMES):
+        return 3
+    return 1 if inside == 0 and tag != "body" and not names.isdisjoint(MAIN_WORDS) else inside
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
@@ -72,7 +92,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     def flush():
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if text and zone != 2:
+            if text and zone < 2:
                 out.append((text, zone))
             parts.clear()
 
