@@ -51,3 +51,56 @@ def test_table(spark):
     by = {r.doc_id: [(n.licence, n.line) for n in r.notices] for r in got}
     assert by == {1: [("mit", 1)], 2: [], None: [], 3: [("all-rights-reserved", 1)]}
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_find(matcher, text):
+    """All stretches of words against all templates, best first."""
+    rows = [licences.words(x) for x in text.split("\n")]
+    w, at = sum(rows, []), [i for i, x in enumerate(rows) for _ in x]
+    found = []
+    for i in range(len(w)):
+        for j in range(i + 2, len(w) + 1):
+            best = plain_best(matcher, w[i:j])
+            if best:
+                found.append((best[0], j - i, i, best[1]))
+    out, used = [], set()
+    for score, n, i, name in sorted(found):
+        if not used & set(range(i, i + n)):
+            used |= set(range(i, i + n))
+            out.append((i, (name, at[i], at[i + n - 1] - at[i] + 1, round(-score, 6))))
+    return [x for _, x in sorted(out)]
+
+
+def test_stretches_of_words_against_brute_force():
+    rng = random.Random(4)
+    few = {"a": ("All rights reserved.", "one two three one two four"), "b": ("Released under the MIT License.",), "c": ("This work is licensed under the licence of this work and the work.",)}
+    m, notices = licences.Matcher(templates=few), [t for ts in few.values() for t in ts]
+    n = 0
+    for _ in range(400):
+        w = []
+        for _ in range(rng.randint(1, 6)):
+            part = rng.choice(notices).split() if rng.random() < 0.7 else [rng.choice("the of work licensed all rights one two".split()) for _ in range(rng.randint(0, 8))]
+            if part and rng.random() < 0.5:
+                part[rng.randrange(len(part))] = rng.choice(["x", "the", "work"])
+            w += part[rng.randint(0, 1):]
+        text = "".join(x + rng.choice([" ", " ", "\n", "\n\n"]) for x in w)
+        assert m.find(text) == plain_find(m, text)
+        n += len(m.find(text))
+    assert n > 400
+
+
+def test_notices_in_long_lines_narrow_columns_and_whole_texts(spark):
+    prepare(spark)
+    texts = licences.whole_texts()
+    grant = licences.TEMPLATES["mit"][1]
+    rows = [(1, "Some long paragraph of other words. " * 40 + "Released under the MIT License. " + "And it goes on without a break. " * 40),
+            (2, "\n\n".join(grant.split())), (3, "x\n" + "\n".join(" ".join(grant.split()[i:i + 3]) for i in range(0, 90, 3)))]
+    rows += [(10 + i, "Foreword of ours. " + texts[x].replace("\n", " ") + " And after it.") for i, x in enumerate(licences.WHOLE)]
+    got = {r.doc_id: [(n.licence, n.line, n.dice) for n in r.notices] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [x[:2] for x in got[1] + got[2] + got[3]] == [("mit", 0), ("mit", 0), ("mit", 1)]
+    assert [got[10 + i] for i in range(len(licences.WHOLE))] == [[(x, 0, 1.0)] for x in licences.WHOLE]
+
+
+def test_many_adjoining_notices():
+    text = "All rights reserved. " * 20000
+    assert len(licences.Matcher().find(text)) == 20000
