@@ -106,6 +106,31 @@ def test_near(docs, none, texts):
     assert near.keep_one(none).count() == 0
 
 
+def test_near_keeps_one_row_per_group_with_null_and_shared_ids(spark):
+    prepare(spark)
+    rng = random.Random(12)
+
+    def group(n):
+        base = words(rng, 60)
+        return [base + " " + words(rng, k) for k in range(n)]
+
+    a, b, c, d, e = (group(3) for _ in range(5))
+    data = [(1, a[0]), (None, a[1]), (None, b[0]), (None, b[0]), (None, c[0]), (None, c[1]), (None, ""), (None, ""),  # null ids: one near a number, others not
+            (2, d[0]), (3, d[1]), (3, e[0]), (4, e[1]), (2, e[2]), (7, words(rng, 30)), (7, words(rng, 30)), (8, words(rng, 30))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for parts in (1, 5):
+        got = [tuple(r) for r in near.keep_one(df.repartition(parts)).collect()]
+        assert len(got) == len(set(got))
+        got = set(got)
+        assert {x for x in got if x[1] in a} == {(1, a[0])}
+        assert {x for x in got if x[1] in b} == {(None, b[0])}
+        assert len({x for x in got if x[1] in c}) == 1
+        assert {x for x in got if x[1] in d} == {(2, d[0])}
+        assert {x for x in got if x[1] in e} == {(2, e[2])}
+        assert {x for x in got if x[0] in (7, 8)} == set(data[-3:]) and (None, "") in got
+        assert len(got) == 5 + 3 + 1
+
+
 def test_near_group_of_many(spark):
     """A chain of texts of which each resembles the next only, and a large group around one text."""
     prepare(spark)

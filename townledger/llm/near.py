@@ -198,15 +198,8 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return each.groupBy("g", "i", "j").applyInPandas(links, "a long, b long, common long, either long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked when their sets of distinct five-word shingles share at least ``percent`` of their union; the
-    component's smallest id stays. A document without words is linked with nothing and its own component. Repeated rows are
-    one node; with the same id all of them count as kept. Null ids lose against any other id; a group of null ids only has
-    a null component. Extra columns are not read; an empty table gives no rows. A pair at exactly 75 % misses all common
-    buckets with a probability of 5e-6; shingles are compared by 64-bit hashes.
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
+    """What near_groups gives, with ``digest``, the name of the shingle set, and ``first``, whether it is the one set that stays of its component."""
     sig = cut_lineage(signatures(docs, id_col, text_col))
     nodes = sig.filter("node is not null").groupBy(F.col("node").alias("digest")).agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands"))
@@ -244,28 +237,57 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = cut_lineage(_linked(known, percent).withColumn("common", F.lit(1)).withColumn("either", F.lit(1)))
     root = components(_linked(known, percent))
     classes = nodes.select("node", "digest", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = cut_lineage(classes.join(least, "root").select("digest", "component_id"))
+    least = classes.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", F.col("digest").alias("set"))).alias("least"))
+    label = cut_lineage(classes.join(least, "root").select("digest", F.col("least.rep").alias("component_id"), (F.col("digest") == F.col("least.set")).alias("first")))
     out = sig.join(label, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "digest",
+                     F.coalesce("first", F.lit(True)).alias("first"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when their sets of distinct five-word shingles share at least ``percent`` of their union; the
+    component's smallest id stays. A document without words is linked with nothing and its own component. Repeated rows are
+    one node; with the same id all of them count as kept. Null ids lose against any other id; a group of null ids only has
+    a null component. Extra columns are not read; an empty table gives no rows. A pair at exactly 75 % misses all common
+    buckets with a probability of 5e-6; shingles are compared by 64-bit hashes.
+    """
+    return _groups(docs, id_col, text_col, percent, small).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose document stays, all columns unchanged; one row of repeated ones.
+    """One row of every component, all columns unchanged.
 
-    Only rows whose id occurs among the dropped ones or repeats are joined; all others pass where they are read.
+    It is a row with the component's smallest id, also where that is null; of several texts with that id the first by shingle
+    set, of rows with the same words the first in hash order. Documents without words all stay, equal rows of them once. Rows
+    are joined by their id only where it occurs once, by id and shingle set where it repeats; ids that neither repeat nor are
+    dropped pass where they are read.
     """
-    groups = cut_lineage(near_groups(docs, id_col, text_col, **how))
-    gone = cut_lineage(groups.groupBy("doc_id").agg(F.max(~F.col("kept")).alias("_gone"), F.count("*").alias("_n")).filter("_gone OR _n > 1")
-                       .select(F.col("doc_id").alias("_id"), "_gone"))
+    groups = cut_lineage(_groups(docs, id_col, text_col, **how).select("doc_id", "digest", (F.col("kept") & F.col("first")).alias("stays")))
+    some = cut_lineage(groups.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("stays").alias("_stays")).filter("_n > 1 OR NOT _stays")
+                       .select(F.col("doc_id").alias("_id"), "_n"))
+    many = some.filter("_n > 1")
+    stay = (flag_ids(groups, id_filter(many, F.col("_id")), F.col("doc_id")).filter("_maybe AND stays")
+            .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct())
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(t, SHINGLE) for t in texts)
+        return pd.Series([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], dtype=object)
+
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
-    rows = flag_ids(rows, id_filter(gone, F.col("_id")), F.col("_key"))
-    hit = rows.filter("_maybe").join(gone, F.col("_key").eqNullSafe(F.col("_id")), "left")
-    single = hit.filter("_gone IS NULL").select("_row.*")
-    # an id that occurs more than once: kept if its smallest row in hash order is
-    again = hit.filter("NOT _gone").dropDuplicates(["_row"]).select("_row.*")
-    return rows.filter(~F.col("_maybe")).select("_row.*").unionByName(single).unionByName(again)
+    rows = flag_ids(rows, id_filter(some, F.col("_id")), F.col("_key"))
+    # null ids need no look-up: one alone is worked on like repeated ones
+    hit = rows.filter("_maybe AND _key IS NOT NULL").join(some, F.col("_key") == F.col("_id"), "left")
+    single = hit.filter("_n IS NULL").select("_row.*")
+    again = hit.filter("_n > 1").select("_row", "_key").unionByName(rows.filter("_maybe AND _key IS NULL").select("_row", "_key"))
+    again = again.withColumn("_set", digest(F.col(f"_row.`{text_col}`")))
+    again = again.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & F.col("_set").eqNullSafe(F.col("_digest")), "left_semi")
+    blank = again.filter("_set IS NULL").dropDuplicates(["_row"]).select("_row.*")
+    first = again.filter("_set IS NOT NULL").groupBy("_key", "_set").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    return rows.filter(~F.col("_maybe")).select("_row.*").unionByName(single).unionByName(blank).unionByName(first)
 
 
 # Brute force: all pairs that share a shingle, full sets, closure of the links.
