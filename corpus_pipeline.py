@@ -10,7 +10,7 @@ from townledger.llm.common import prepare, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that line-first cleaning keeps."""
+    """Documents that line-first cleaning keeps, without the lines that fail."""
     prepare(spark)
     return quality.keep_good(docs)
 

@@ -85,10 +85,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
     return df.withColumn("base_failed", base_failed & here).withColumn("kept", ~base_failed & ~lost & here)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, all columns and whole texts unchanged, without a join."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", F.col(f"_row.`{text_col}`").alias("_t"))
-    return judge(rows, "_row", "_t").filter("kept").select("doc_id.*")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` whose document is kept, with their cleaned text: lines that fail and blank ones are gone, the others
+    are unchanged. ``length_col``, where there is one, is the length of the cleaned text; all other columns are unchanged. No join.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_t"))
+    kept = judge(rows, "_row", "_t").filter("kept")
+    new = {text_col: F.col("clean_text")}
+    if length_col in docs.columns:
+        new[length_col] = F.length("clean_text").cast(docs.schema[length_col].dataType)
+    return kept.select(*[new.get(c, F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])
 
 
 # The same figures in SQL; word and line rules are stated once more, by unnesting.
