@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, html, licences, mixing, near, quality, substring, warc
+from . import bpe, chat, exact, html, licences, mixing, near, quality, simhash, substring, warc
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op8_licence_scan(docs: DataFrame) -> DataFrame:
 def op10_chat_repair(turns: DataFrame) -> DataFrame:
     """Repaired role and rendered piece of every turn."""
     return chat.repair(turns)
+
+
+@query("documents")
+def op12_simhash_dedup(docs: DataFrame) -> DataFrame:
+    """Fingerprint of every document and the group of fingerprints within three bits it belongs to."""
+    return simhash.simhash_groups(docs)
