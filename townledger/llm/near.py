@@ -301,6 +301,6 @@ c AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AN
 e AS (SELECT x, y FROM c JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
 b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 z AS (SELECT r AS x, r AS y FROM t UNION SELECT z.x, b.y FROM z JOIN b ON b.x = z.y)
-SELECT t.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id, t.doc_id = min(o.doc_id) AS kept
+SELECT t.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id, t.doc_id IS NOT DISTINCT FROM min(o.doc_id) AS kept
 FROM t LEFT JOIN n USING (r) JOIN z ON z.x = t.r JOIN t o ON o.r = z.y GROUP BY t.r, t.doc_id
 """

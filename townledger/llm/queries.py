@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, html, licences, mixing, near, quality, simhash, substring, warc
+from . import bpe, chat, exact, html, licences, mixing, near, negatives, phrases, quality, simhash, substring, warc
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,15 @@ def op10_chat_repair(turns: DataFrame) -> DataFrame:
 def op12_simhash_dedup(docs: DataFrame) -> DataFrame:
     """Fingerprint of every document and the group of fingerprints within three bits it belongs to."""
     return simhash.simhash_groups(docs)
+
+
+@query("embeddings", negatives.SQL)
+def op13_hard_negatives(vectors: DataFrame) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return negatives.hard_negatives(vectors)
+
+
+@query("documents", phrases.SQL)
+def op11_phrase_mining(docs: DataFrame) -> DataFrame:
+    """The first 2,000 phrases of every language by the score of their weakest cut."""
+    return phrases.collocations(docs)
