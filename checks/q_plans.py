@@ -144,38 +144,60 @@ def answer_questions(t):
 
 # --- streams ------------------------------------------------------------------------
 
-@query("stream_upsert", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority FROM orders GROUP BY 1")
-def stream_upsert(t):
+UPSERTED = "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority FROM orders GROUP BY 1"
+
+
+def overlapping(t, df, key, parts=4):
+    """The rows as a folder of files that overlap by half, one file a batch, later rows partly first."""
+    path = t.scratch()
+    k = F.pmod(F.xxhash64(key), F.lit(2 * parts))
+    for i in (*range(1, parts), 0, parts - 1):
+        df.filter((k >= 2 * i - 1) & (k <= 2 * i + 1)).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def upserted(t, stream):
     path, ck = t.scratch(), t.scratch()
-    s = t.stream("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
-    J.stream_upsert(s, path, ["o_custkey"], ["o_orderdate", "o_orderkey"], ck).awaitTermination()
-    return t("region").sparkSession.read.parquet(path).select("o_custkey", "o_orderkey", "o_orderpriority")
+    J.stream_upsert(stream, path, ["o_custkey"], ["o_orderdate", "o_orderkey"], ck).awaitTermination()
+    return J.current_rows(t("region").sparkSession, path, ["o_custkey"]).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("stream_upsert", UPSERTED)
+def stream_upsert(t):
+    return upserted(t, t.stream("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority"))
+
+
+@query("stream_upsert_overlap", UPSERTED)
+def stream_upsert_overlap(t):
+    """The same rows in several files that overlap."""
+    return upserted(t, overlapping(t, t("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey"))
 
 
 @query("stream_changes", CHANGED)
 def stream_changes(t):
-    history, last, ck = t.scratch(), t.scratch(), t.scratch()
+    history, ck = t.scratch(), t.scratch()
     e = t.stream("events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type", (F.col("value") > 50).alias("big"), "ts")
-    J.stream_changes(T.content_hash(e, ["event_type", "big"]), history, last, ck, F.to_date("ts")).awaitTermination()
+    J.stream_changes(T.content_hash(e, ["event_type", "big"]), history, ck).awaitTermination()
     return t("region").sparkSession.read.parquet(history).select("id", "seq")
 
 
 @query("stream_closure", """WITH seen AS (SELECT user_id % 10 AS s, user_id AS id, max(strftime(ts, '%Y-%m-%d')) AS run FROM events WHERE event_type <> 'error' GROUP BY 1, 2), done AS (SELECT user_id % 10 AS s, max(strftime(ts, '%Y-%m-%d')) AS run FROM events WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY 1)
   SELECT CAST(seen.s AS VARCHAR) AS source_id, id, done.run IS NULL OR seen.run >= done.run AS listed FROM seen LEFT JOIN done USING (s)""")
 def stream_closure(t):
-    """Days are runs; an error event of every third user marks the end of its source's run."""
-    path, runs, ck = t.scratch(), t.scratch(), t.scratch()
+    """Days are runs; an error event of every third user marks the end of its source's run. The files overlap."""
+    path, ck = t.scratch(), t.scratch()
     marker = F.col("event_type") == "error"
-    s = t.stream("events").filter(~marker | (F.col("user_id") % 3 == 0)).select((F.col("user_id") % 10).cast("string").alias("source_id"), F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("run_id"), marker.alias("marker"))
-    J.stream_closure(s, path, runs, ck).awaitTermination()
-    spark = t("region").sparkSession
-    return J.listed_state(spark.read.parquet(path), spark.read.parquet(runs)).select("source_id", "id", "listed")
+    rows = t("events").filter(~marker | (F.col("user_id") % 3 == 0)).select((F.col("user_id") % 10).cast("string").alias("source_id"), F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("run_id"), marker.alias("marker"), "event_id")
+    J.stream_closure(overlapping(t, rows, "event_id"), path, ck).awaitTermination()
+    return J.listed_state(t("region").sparkSession.read.parquet(path)).select("source_id", "id", "listed")
 
 
 @query("stream_demand", DEMAND.format(gap=600))
 def stream_demand(t):
+    """The events in files that overlap and do not follow their time."""
     path, ck = t.scratch(), t.scratch()
-    J.stream_demand(t.stream("events").select(F.col("user_id").cast("string").alias("city"), F.col("ts").alias("at")), path, ck).awaitTermination()
+    rows = t("events").select(F.col("user_id").cast("string").alias("city"), F.col("ts").alias("at"), "event_id")
+    J.stream_demand(overlapping(t, rows, "event_id"), path, ck).awaitTermination()
     return shown(J.demand_state(t("region").sparkSession, path))
 
 
@@ -184,4 +206,4 @@ def stream_annotate(t):
     path, ck = t.scratch(), t.scratch()
     s = t.stream("documents").filter("doc_id % 29 <> 0").select(F.lit(B.CITY).alias("city"), F.col("doc_id").cast("string").alias("id"), "text")
     J.stream_annotate(s, B.dims(t), path, ck, ("text", "beschreibung")).awaitTermination()
-    return t("region").sparkSession.read.parquet(path).select("id", "type", "key")
+    return J.annotated(t("region").sparkSession, path).select("id", "type", "key")

@@ -103,9 +103,7 @@ def uncapped_totals(t):
 
 @query("score_rank", with_ctes("scored", body="SELECT request_id, id, CAST(score AS INTEGER) AS score, total FROM scored"))
 def score_rank(t):
-    d = B.dims(t)
-    r, q = B.live_records(t), B.requests(t)
-    return S.score(S.candidates(S.match_pairs(q, r, B.places(t, d), d)), q, r, d, status(t), B.TODAY).select("request_id", "id", "score", "total")
+    return S.score(S.candidates(pairs(t)), status(t), B.TODAY).select("request_id", "id", "score", "total")
 
 
 @query("search_theme", with_ctes("theme_hit", body="SELECT request_id, id FROM theme_hit"))
@@ -121,7 +119,7 @@ def search_range(t):
     """Requests that constrain nothing but the date."""
     d = B.dims(t)
     q = B.requests(t).filter("size(words) = 0 and size(places) = 0 and plz is null and size(themes) = 0")
-    return S.uncapped_totals(S.match_pairs(q, B.live_records(t), B.places(t, d), d)).withColumnRenamed("matches", "n")
+    return S.range_totals(q, B.live_records(t), d).select("request_id", F.col("matches").alias("n"))
 
 
 @query("many_terms", f"SELECT term, count(*) AS n, min(id) AS first_id FROM (SELECT DISTINCT unnest({s_tokens(s_norm('text'))}) AS term FROM benchmark) JOIN "

@@ -1,13 +1,16 @@
 """Scalar rules against small value tables and plain-Python formulations."""
 
+import html
+import random
 import re
 import unicodedata
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from townledger.functions import dates, rules, text, urls
-from townledger.functions.html import html_to_text
+from townledger.functions.html import anchors, html_to_text, unescape
 from townledger.functions.registry import register_functions
 
 
@@ -110,9 +113,56 @@ def test_urls(spark):
     assert scoped == ["", "https://h.de/e/f"] + [""] * 9
 
 
+class _Reader(HTMLParser):
+    """Text outside script and style with a blank at every tag, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.muted = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.muted += tag in ("script", "style")
+        self.out.append("" if self.muted else " ")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.muted = max(self.muted - 1, 0)
+        elif not self.muted:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        self.out.append("" if self.muted else data)
+
+
+def read_text(page):
+    reader = _Reader()
+    reader.feed(page)
+    reader.close()
+    return " ".join("".join(reader.out).split())
+
+
+def test_html_equals_a_parser(spark):
+    rng = random.Random(1)
+    refs = ["&amp;", "&auml;", "&notit;", "&ampx", "&#8364;", "&#x20ac;", "&#128;", "&#0;", "&#xD800;", "&#99999999999999999;", "&#9;", "&;", "&", "&unknown;", "&hellip;", "&lt;b&gt;", "&amp;lt;",
+            "&CounterClockwiseContourIntegral;", "&#1;", "&#xFFFF;", "&nbsp;", "&eacute", "&NotEqualTilde;"]
+    tags = ['<p class="a>b">', "</p >", "<br/>", "<!-- c <b> & -->", '<script>x<y && "</b>"</script>', "<style type=x>p{}</STYLE>", "<!DOCTYPE html>", "<a href='x\"y'>", "</a>", '<IMG alt=">">',
+            " x ", "\u00a0", "&amp;", "text", "<?xml v?>", "<3"]
+    texts = ["a " + "".join(rng.choice(refs) + rng.choice(" z") for _ in range(4)) for _ in range(150)]
+    pages = ["".join(rng.choice(tags) for _ in range(rng.randint(1, 12))) + " end" for _ in range(200)]
+    assert column(spark, texts, unescape("v")) == [html.unescape(t) for t in texts]
+    assert column(spark, texts + pages, html_to_text("v")) == [read_text(t) for t in texts + pages]
+
+
+def test_anchors_of_a_page(spark):
+    page = ('<a href="/x?a=1&amp;b=2" title=\'T "q"\'>One <b>two</b>&nbsp;&lt;3</a><!-- <a href="/no">n</a> --><script>"<a href=\\"/s\\">s</a>"</script>'
+            '<a class=k href=/y>open <a data-href="z" HREF=\'/z\'>Z</A ><A>bare</A><abbr>a</abbr><a href="/end">never closed')
+    got = [tuple(a) for a in column(spark, [page], anchors("v"))[0]]
+    assert got == [("/x?a=1&b=2", 'T "q"', "One two <3"), ("/z", "", "Z"), ("", "", "bare")]
+
+
 def test_html_and_sql_registration(spark):
-    html = "<p>A&amp;B</p><script>x<y</script>C<br>D &uuml;"
-    assert column(spark, [html, None], html_to_text("v")) == ["A&B C D ü", ""]
+    page = "<p>A&amp;B</p><script>x<y</script>C<br>D &uuml;"
+    assert column(spark, [page, None], html_to_text("v")) == ["A&B C D ü", ""]
     register_functions(spark)
     row = spark.sql("SELECT town_norm('Köln ½ é') a, town_street_key('Adlerstr.') b, town_stem('planungen') c, "
                     "town_html_to_text('<b>x</b>y') d").first()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from townledger.operators import reports as R
 from townledger.operators import tables as T
 from townledger.plans import ingest as I
-from townledger.plans.store import apply_batch
+from townledger.streaming import deltas as D
 from townledger.streaming import jobs as J
 
 
@@ -23,27 +23,32 @@ def arriving(spark, tmp_path, df, parts):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
-def test_bucketed_upsert_is_idempotent(spark, tmp_path):
+def test_deltas_are_idempotent_and_compact(spark, tmp_path):
     path = str(tmp_path / "t")
     first = spark.createDataFrame([(i, f"a{i}") for i in range(50)], "id int, v string")
     second = spark.createDataFrame([(i, f"b{i}") for i in range(40, 60)], "id int, v string")
-    for batch in (first, second, second):
-        apply_batch(path, batch, ["id"], buckets=4)
+    for number, batch in ((0, first), (1, second), (1, second)):
+        D.write_delta(batch, path, number)
     expected = {i: f"a{i}" for i in range(40)} | {i: f"b{i}" for i in range(40, 60)}
-    assert {r.id: r.v for r in spark.read.parquet(path).collect()} == expected
+    assert {r.id: r.v for r in J.current_rows(spark, path, ["id"]).collect()} == expected and D.deltas(spark, path).count() == 70
+    D.compact(spark, path, ["id"], str(tmp_path / "c"))
+    assert {r.id: r.v for r in J.current_rows(spark, str(tmp_path / "c"), ["id"]).collect()} == expected and D.deltas(spark, str(tmp_path / "c")).count() == 60
+    assert D.deltas(spark, str(tmp_path / "none"), "id int").count() == 0
 
 
 def test_stream_upsert_keeps_latest_of_overlapping_batches(spark, tmp_path):
     df = spark.createDataFrame([(k, n, f"{k}{n}") for k in "abc" for n in range(5)], "id string, n int, v string")
     s = arriving(spark, tmp_path, df, ["n = 4 and id = 'a'", "n <= 2", "n >= 2"])
     J.stream_upsert(s, str(tmp_path / "out"), ["id"], ["n"], str(tmp_path / "ck")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "v") == [("a", "a4"), ("b", "b4"), ("c", "c4")]
+    assert rows(J.current_rows(spark, str(tmp_path / "out"), ["id"]), "id", "v") == [("a", "a4"), ("b", "b4"), ("c", "c4")]
+    written = {r.batch: r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert sum(written.values()) <= 1 + 3 + 3  # a batch writes the keys it touches
 
 
 def test_stream_changes_equal_batch(spark, tmp_path):
     df = spark.createDataFrame([(k, i, h) for k in "pq" for i, h in enumerate("AABBAAAC")], "id string, seq int, content_hash string")
     s = arriving(spark, tmp_path, df, ["seq < 3", "seq >= 3 and seq < 6", "seq >= 5"])
-    J.stream_changes(s, str(tmp_path / "h"), str(tmp_path / "l"), str(tmp_path / "ck"), F.floor(F.col("seq") / 2)).awaitTermination()
+    J.stream_changes(s, str(tmp_path / "h"), str(tmp_path / "ck")).awaitTermination()
     batch = T.changed_only(df, ["id"], "seq", F.floor(F.col("seq") / 2))
     assert rows(spark.read.parquet(str(tmp_path / "h")), "id", "seq") == rows(batch, "id", "seq")
 
@@ -54,19 +59,20 @@ def test_stream_closure_waits_for_the_marker(spark, tmp_path):
     df = spark.createDataFrame(data, schema)
 
     def state():
-        return rows(J.listed_state(spark.read.parquet(str(tmp_path / "e")), spark.read.parquet(str(tmp_path / "r"))), "id", "listed")
+        return rows(J.listed_state(spark.read.parquet(str(tmp_path / "e"))), "id", "listed")
 
     s = arriving(spark, tmp_path, df, ["run_id = 'r1'", "run_id = 'r2'"])
-    J.stream_closure(s, str(tmp_path / "e"), str(tmp_path / "r"), str(tmp_path / "ck")).awaitTermination()
+    J.stream_closure(s, str(tmp_path / "e"), str(tmp_path / "ck")).awaitTermination()
     assert state() == [("a", True), ("b", True)]
     s = arriving(spark, tmp_path, spark.createDataFrame([("s", "", "r2", True)], schema), ["true"])
-    J.stream_closure(s, str(tmp_path / "e"), str(tmp_path / "r"), str(tmp_path / "ck")).awaitTermination()
+    J.stream_closure(s, str(tmp_path / "e"), str(tmp_path / "ck")).awaitTermination()
     assert state() == [("a", True), ("b", False)]
 
 
 def test_stream_demand_equals_batch(spark, tmp_path):
-    df = spark.createDataFrame([(c, 1_700_000_000 + 97 * i) for c in "xy" for i in range(60)], "city string, s long").select("city", F.timestamp_seconds("s").alias("at"))
-    s = arriving(spark, tmp_path, df, ["city = 'x'", "city = 'y'"])
+    df = spark.createDataFrame([(c, 1_700_000_000 + 97 * i + (3_000_000 if i > 40 else 0)) for c in "xy" for i in range(60)], "city string, s long")
+    df = df.select("city", F.timestamp_seconds("s").alias("at"), "s")
+    s = arriving(spark, tmp_path, df, ["city = 'x' AND s % 2 = 1", "city = 'y'", "city = 'x'"])
     J.stream_demand(s, str(tmp_path / "d"), str(tmp_path / "ck")).awaitTermination()
     assert rows(J.demand_state(spark, str(tmp_path / "d"))) == rows(R.demand(df))
 
@@ -75,7 +81,7 @@ def test_stream_annotate_replaces_earlier_places(spark, tmp_path):
     df = spark.createDataFrame([(CITY, "1", "Radweg in Niehl"), (CITY, "2", "Nichts"), (CITY, "1", "Radweg in Bickendorf")], "city string, id string, title string")
     s = arriving(spark, tmp_path, df, ["title like '%Niehl%' or id = '2'", "title like '%Bickendorf%'"])
     J.stream_annotate(s, dims(spark), str(tmp_path / "p"), str(tmp_path / "ck"), ("title", "betreff")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "p")), "id", "type", "key") == [("1", "bezirk", "4"), ("1", "stadtteil", "403")]
+    assert rows(J.annotated(spark, str(tmp_path / "p")), "id", "type", "key") == [("1", "bezirk", "4"), ("1", "stadtteil", "403")]
 
 
 def test_council_load_and_recompute(spark):

@@ -1,57 +1,131 @@
-"""HTML fragments to plain text, in Arrow batches; entities need a real tokenizer."""
+"""HTML fragments to plain text, as SQL over the whole fragment: tags to blanks, then character references.
+
+The text is cut at every '&' and each piece decodes the one reference it starts with, so nothing is decoded twice.
+"""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import json
+from html.entities import html5
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-SILENT = ("script", "style")
+from .text import WHITESPACE, _c
+
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+SILENT = r"(?is)<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
+DECLARATION = r"<(?:[!?]|/[^a-zA-Z])[^>]*>"
+# A tag ends at the first '>' outside quotes; with unbalanced quotes at the first of all.
+TAG = r"""</?[a-zA-Z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
+LOOSE_TAG = r"</?[a-zA-Z][^>]*>"
+ANCHOR_START = r"(?i)(?=<a[\s>])"
+REPLACED = "\ufffd"
+
+
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _replace(x: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({x}, {sql_string(pattern)}, {sql_string(by)})"
+
+
+def _character(n: str) -> str:
+    """Character of a number as the HTML rules read it: C1 numbers are those of code page 1252, impossible ones are replaced."""
+    c1 = ", ".join(sql_string(bytes([i]).decode("cp1252", "replace") if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(i)) for i in range(128, 160))
+    silent = f"{n} BETWEEN 1 AND 8 OR {n} = 11 OR {n} BETWEEN 14 AND 31 OR {n} BETWEEN 127 AND 127 OR {n} BETWEEN 64976 AND 65007 OR {n} % 65536 >= 65534"
+    return (f"CASE WHEN {n} IS NULL OR {n} = 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343 THEN {sql_string(REPLACED)} "
+            f"WHEN {n} BETWEEN 128 AND 159 THEN element_at(array({c1}), cast({n} - 127 AS int)) WHEN {silent} THEN '' "
+            f"ELSE decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32') END")
+
+
+def _table(names: dict[str, str]) -> str:
+    return f"from_json({sql_string(json.dumps(names))}, 'map<string,string>')"
+
+
+def unescape_sql(x: str) -> str:
+    """Text with its character references decoded once."""
+    short = {k: v for k, v in html5.items() if not k.endswith(";")}
+    few, all_ = _table(short | {k + ";": v for k, v in short.items()}), _table({k: v for k, v in html5.items() if k.endswith(";")})
+    prefix = "^(" + "|".join(sorted(short, key=lambda k: (-len(k), k))) + ")"
+    full = r"^([A-Za-z][A-Za-z0-9]*;)"
+
+    def take(pattern):
+        return f"regexp_extract(p, {sql_string(pattern)}, 1)"
+
+    def numbered(pattern, base):
+        n = f"try_cast(conv(nullif({take(pattern)}, ''), {base}, 10) AS decimal(20, 0))"
+        # longer numbers than any character has are impossible ones
+        code = f"IF(length({take(pattern)}) > 12, NULL, cast({n} AS bigint))"
+        return f"concat({_character(code)}, {_replace('p', pattern + ';?', '')})"
+
+    def named(pattern, table):
+        return f"try_element_at({table}, {take(pattern)})"
+
+    decimal, hexadecimal = r"^#([0-9]+)", r"^#[xX]([0-9a-fA-F]+)"
+    one = (f"CASE WHEN p RLIKE {sql_string(decimal)} THEN {numbered(decimal, 10)} WHEN p RLIKE {sql_string(hexadecimal)} THEN {numbered(hexadecimal, 16)} "
+           f"ELSE coalesce(concat(coalesce({named(full, few)}, {named(full, all_)}), {_replace('p', full, '')}), "
+           f"concat({named(prefix, few)}, {_replace('p', prefix, '')}), concat('&', p)) END")
+    pieces = f"split({x}, '&')"
+    return (f"IF(contains({x}, '&'), concat(element_at({pieces}, 1), array_join(transform(slice({pieces}, 2, greatest(size({pieces}) - 1, 0)), p -> {one}), '')), {x})")
+
+
+def without_markup_sql(x: str) -> str:
+    bare = _replace(_replace(_replace(_replace(_replace(x, COMMENT, ""), SILENT, ""), DECLARATION, ""), TAG, " "), LOOSE_TAG, " ")
+    return f"IF(contains({x}, '<'), {bare}, {x})"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``value`` worked out once under a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def text_sql(x: str) -> str:
+    """Plain text of a fragment: a blank for every tag, no comments, scripts or styles, single blanks; null gives ''."""
+    bare = _let("h", f"coalesce({x}, '')", without_markup_sql("h"))
+    return _let("t", bare, f"trim({_replace(unescape_sql('t'), WHITESPACE, ' ')})")
+
+
+def _apply(col: Column, sql: str) -> Column:
+    """An SQL text over the variable ``v`` applied to a column."""
+    return F.get(F.call_function("transform", F.array(col), F.expr(f"v -> {sql}")), 0)
+
+
+def html_to_text(col) -> Column:
+    """Plain text of a fragment; null gives the empty text."""
+    return _apply(_c(col).cast("string"), text_sql("v"))
 
 
-class _Plain(HTMLParser):
-    """Collects text outside script and style, with a blank at every tag."""
+def html_to_text_array(parts) -> Column:
+    """The same for a list of fragments; a null list stays null."""
+    return F.call_function("transform", _c(parts), F.expr(f"v -> {text_sql('v')}"))
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.muted = [], 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
-            self.muted += 1
-        elif self.muted == 0:
-            self.out.append(" ")
+def unescape(col) -> Column:
+    return _apply(_c(col), unescape_sql("v"))
 
-    def handle_endtag(self, tag):
-        if tag in SILENT:
-            self.muted = max(self.muted - 1, 0)
-        elif self.muted == 0:
-            self.out.append(" ")
 
-    def handle_data(self, data):
-        if self.muted == 0:
-            self.out.append(data)
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a start tag's attribute, '' if it has none."""
+    found = rf"""(?is)^<[a-z][^\s>/]*(?:"[^"]*+"|'[^']*+'|[^"'>])*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return unescape(F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)]))
 
 
-def plain_text(html) -> str:
-    if not html:
-        return ""
-    if "<" not in html and "&" not in html:
-        return " ".join(html.split())
-    reader = _Plain()
-    reader.feed(html)
-    return " ".join("".join(reader.out).split())
+def live_markup(html) -> Column:
+    """The markup without comments, scripts and styles."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(_c(html), F.lit("")), COMMENT, ""), SILENT, "")
 
 
-@F.pandas_udf(StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
-    """Plain text of each fragment; null gives the empty text."""
-    return html.map(plain_text)
+def anchors(html) -> Column:
+    """Anchors of a page in order, as structs of href, title and text; one that is not closed before the next one is left out."""
+    pieces = F.filter(F.split(live_markup(html), ANCHOR_START), lambda p: p.rlike(r"(?is)^<a[\s>].*</a\s*>"))
 
+    def read(p: Column) -> Column:
+        tag = F.regexp_extract(p, r"""(?is)^(<a(?:"[^"]*+"|'[^']*+'|[^"'>])*+>)""", 1)
+        inner = F.regexp_extract(F.substring(p, F.length(tag) + 1, F.length(p)), r"(?is)^(.*?)</a\s*>", 1)
+        return F.struct(attribute(tag, "href").alias("href"), attribute(tag, "title").alias("title"), inner.alias("inner"))
 
-@F.pandas_udf(ArrayType(StringType()))
-def html_to_text_array(parts: pd.Series) -> pd.Series:
-    """The same for a list of fragments per row."""
-    return parts.map(lambda row: None if row is None else [plain_text(p) for p in row])
+    found = F.transform(pieces, read)
+    texts = html_to_text_array(F.transform(found, lambda a: a["inner"]))
+    return F.zip_with(found, texts, lambda a, t: F.struct(a["href"].alias("href"), a["title"].alias("title"), t.alias("text")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from . import text
-from .html import html_to_text
+from .html import text_sql
 
 ENDING_SQL = " ".join(
     f"WHEN endswith(w, '{e}') AND length(w) >= {len(e) + text.STEM_MIN} THEN left(w, length(w) - {len(e)})"
@@ -30,5 +30,5 @@ def register_functions(spark: SparkSession) -> list[str]:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION town_street_key(t STRING) RETURNS STRING RETURN "
               r"regexp_replace(town_norm(t), '\\b([0-9a-z]{2,}|)str\\b', '$1strasse')")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION town_stem(w STRING) RETURNS STRING RETURN CASE {ENDING_SQL} ELSE w END")
-    spark.udf.register("town_html_to_text", html_to_text)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION town_html_to_text(html STRING) RETURNS STRING RETURN " + text_sql("html"))
     return ["town_norm", "town_street_key", "town_stem", "town_html_to_text"]

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _c, blank, collapse_ws, norm, raw_words, street_key, street_key_of_norm, tokens
-from ..session import small_side
+from ..session import BROADCAST_ROWS, settled, small_side
 from .dims import CityDims
+from .names import NameFilter
 
 SHORT_NAME = 4  # one-word names up to this length count only when written with a capital
 STREET_MIN = 6  # shortest one-word street name that is told apart from everyday words
@@ -119,13 +120,22 @@ def leftmost_longest(found: Column) -> Column:
     return F.aggregate(found, zero, step, lambda acc: acc["kept"])
 
 
-def match_streets(texts: DataFrame, streets: DataFrame, spelling: bool = False) -> DataFrame:
-    """Street names of each text, left to right, longest first; optionally as the text writes them."""
+def match_streets(texts: DataFrame, streets: DataFrame, spelling: bool = False, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Street names of each text, left to right, longest first; optionally as the text writes them.
+
+    A register of up to ``rows`` names is sent to all tasks. With a larger one a Bloom filter of its names drops the word runs
+    that are no name where they arise, so that the shuffle of the exact join carries little more than the hits.
+    """
     lengths = _lengths(streets, "name") or [1]
-    by_name = small_side(streets.select("city", "name").distinct())
+    names = streets.select("city", "name").distinct()
     df = texts.withColumn("_toks", tokens(street_key("text")))
-    hits = (df.select(*TEXT_KEY, "provenance", F.explode(street_candidates(F.col("_toks"), lengths)).alias("c"))
-            .select(*TEXT_KEY, "provenance", "c.pos", "c.len", "c.name").join(by_name, ["city", "name"]))
+    runs = (df.select(*TEXT_KEY, "provenance", F.explode(street_candidates(F.col("_toks"), lengths)).alias("c"))
+            .select(*TEXT_KEY, "provenance", "c.pos", "c.len", "c.name"))
+    by_name = settled(names, rows)
+    if by_name is names:
+        hits = NameFilter(names, ["city", "name"]).keep(runs).join(names, ["city", "name"])
+    else:
+        hits = runs.join(F.broadcast(by_name), ["city", "name"])
     chosen = (hits.groupBy(*TEXT_KEY, "provenance")
               .agg(F.array_sort(F.collect_set(F.struct("pos", (-F.col("len")).alias("neg"), "len", "name"))).alias("found"))
               .select(*TEXT_KEY, "provenance", F.explode(leftmost_longest(F.col("found"))).alias("h"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import REPORT_ROLES, SOURCE_LABELS, STATE_LABELS, counter_label, lookup, rank_in, role_label, with_unit
 from ..functions.text import blank
+from ..session import cut_lineage, left_join
 from .topk import top_per_group
 
 FAILED = ("gesperrt", "nicht erreichbar")
@@ -35,49 +36,61 @@ def document_sources(documents: DataFrame, records: DataFrame, meetings: DataFra
     r = records.select(F.col("id").alias("record_id"), F.col("source_id").alias("_rs"))
     m = meetings.select(F.col("id").alias("meeting_id"), F.col("source_id").alias("_ms"))
     source = F.coalesce(F.nullif("_rs", F.lit("")), F.nullif("_ms", F.lit("")))
-    return (live(documents).join(r, "record_id", "left").join(m, "meeting_id", "left")
-            .withColumn("source_id", source).drop("_rs", "_ms"))
+    return left_join(left_join(live(documents), r, "record_id", "id"), m, "meeting_id", "id").withColumn("source_id", source).drop("_rs", "_ms")
 
 
 COUNTERS = ("records", "meetings", "committees", "agenda_items", "consultations", "documents", "plans", "snapshots",
             "hints", "entries", "notices", "participations")
 
 
-def counts_by_source(t: dict[str, DataFrame]) -> DataFrame:
-    """Twelve counters per source from one grouped pass over narrow rows.
+def counts_by_source(t: dict[str, DataFrame], docs: DataFrame | None = None) -> DataFrame:
+    """Twelve counters per source. Every table is read once: of records and meetings narrow rows are kept, and rows that refer to them
+    are counted together with them by id, so that no frequent or blank id is ever joined.
 
-    Agenda items do not look at their meeting's flag, snapshots ignore deletion, hints have none.
+    Agenda items do not look at their meeting's flag, snapshots ignore deletion, hints have none. ``docs`` are the documents
+    with their source, if they are there already.
     """
-    rec = t["records"].select(F.col("id").alias("_rid"), "source_id", F.col("kind").alias("_kind"),
-                              F.coalesce("deleted", F.lit(False)).alias("_gone"))
-    mtg = t["meetings"].select(F.col("id").alias("meeting_id"), "source_id")
-
-    def rows(df, counter):
-        return df.select("source_id", (counter if isinstance(counter, Column) else F.lit(counter)).alias("counter"))
-
-    entries = t["entries"].select(F.col("id").alias("_rid")).join(rec, "_rid").filter("not _gone")
-    parts = [
-        rows(live(t["records"]), "records"), rows(live(t["meetings"]), "meetings"), rows(live(t["committees"]), "committees"),
-        rows(live(t["agenda_items"]).join(mtg, "meeting_id"), "agenda_items"),
-        rows(live(t["consultations"]).join(rec, F.col("record_id") == F.col("_rid")), "consultations"),
-        rows(document_sources(t["documents"], t["records"], t["meetings"]), "documents"),
-        rows(t["plans"].select(F.col("id").alias("_rid")).join(rec, "_rid").filter("not _gone"), "plans"),
-        rows(t["snapshots"].select(F.col("id").alias("_rid")).join(rec, "_rid"), "snapshots"),
-        rows(t["hints"], "hints"), rows(entries, "entries"),
-        rows(entries.filter("_kind = 'Bekanntmachung'"), "notices"), rows(entries.filter("_kind = 'Beteiligungsangebot'"), "participations")]
-    allrows = parts[0]
-    for p in parts[1:]:
-        allrows = allrows.unionByName(p)
-    counted = allrows.filter("source_id is not null").groupBy("source_id").agg(
-        *[F.count_if(F.col("counter") == c).alias(c) for c in COUNTERS])
-    return counted
+    gone = F.coalesce("deleted", F.lit(False)).alias("gone")
+    rec = cut_lineage(t["records"].select("id", "source_id", "kind", gone))
+    mtg = cut_lineage(t["meetings"].select("id", "source_id", gone))
+    if docs is None:
+        docs = document_sources(t["documents"], rec, mtg)
+
+    def by_id(parents: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
+        """One row per parent with the number of its children of each kind."""
+        rows = parents.withColumn("child", F.lit(None).cast("string"))
+        for name, ids in children.items():
+            rows = rows.unionByName(ids.withColumn("child", F.lit(name)), allowMissingColumns=True)
+        own = [F.max(c).alias(c) for c in parents.columns if c != "id"]
+        found = rows.groupBy("id").agg(F.max(F.col("child").isNull()).alias("_known"), *own, *[F.count_if(F.col("child") == n).alias(n) for n in children])
+        return found.filter("_known").drop("_known")
+
+    def counted(df: DataFrame, **counters: Column) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(name).alias("counter"), n.cast("long").alias("n")) for name, n in counters.items()])
+        return df.select("source_id", F.explode(each).alias("x")).select("source_id", "x.*")
+
+    records = by_id(rec, {"consultations": live(t["consultations"]).select(F.col("record_id").alias("id")), "plans": t["plans"].select("id"),
+                          "snapshots": t["snapshots"].select("id"), "entries": t["entries"].select("id")})
+    meetings = by_id(mtg, {"agenda_items": live(t["agenda_items"]).select(F.col("meeting_id").alias("id"))})
+    there = lambda n: F.when(~F.col("gone"), n).otherwise(0)
+    of_kind = lambda k: F.when(F.col("kind") == k, there(F.col("entries"))).otherwise(0)
+    rows = counted(records, records=there(F.lit(1)), consultations=F.col("consultations"), plans=there(F.col("plans")), snapshots=F.col("snapshots"),
+                   entries=there(F.col("entries")), notices=of_kind("Bekanntmachung"), participations=of_kind("Beteiligungsangebot"))
+    rows = rows.unionByName(counted(meetings, meetings=there(F.lit(1)), agenda_items=F.col("agenda_items")))
+    for name, df in (("committees", live(t["committees"])), ("documents", docs), ("hints", t["hints"])):
+        rows = rows.unionByName(df.select("source_id", F.lit(name).alias("counter"), F.lit(1).cast("long").alias("n")))
+    return (rows.filter("source_id is not null AND n > 0").groupBy("source_id")
+            .agg(*[F.coalesce(F.sum(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).alias(c) for c in COUNTERS]))
 
 
 def documents_by_role(documents: DataFrame, records: DataFrame, meetings: DataFrame) -> DataFrame:
     """Documents per source and role with the role's place in the report."""
+    return roles_of(document_sources(documents, records, meetings))
+
+
+def roles_of(docs: DataFrame) -> DataFrame:
     role = F.coalesce(F.nullif("role", F.lit("")), F.lit("dokument"))
-    return (document_sources(documents, records, meetings)
-            .groupBy(F.coalesce("source_id", F.lit("")).alias("source_id"), role.alias("role"))
+    return (docs.groupBy(F.coalesce("source_id", F.lit("")).alias("source_id"), role.alias("role"))
             .agg(F.count(F.lit(1)).alias("n")).withColumn("role_rank", rank_in("role", REPORT_ROLES))
             .withColumn("role_text", role_label("role")))
 
@@ -88,9 +101,12 @@ def roles_overall(by_role: DataFrame) -> DataFrame:
 
 def newest_documents(documents: DataFrame, records: DataFrame, meetings: DataFrame, limit: int = 25) -> DataFrame:
     """Newest document links per source; no task sorts a whole source."""
-    d = document_sources(documents, records, meetings).filter("source_id is not null")
+    return newest_of(document_sources(documents, records, meetings), limit)
+
+
+def newest_of(docs: DataFrame, limit: int = 25) -> DataFrame:
     order = [F.col("date").desc(), F.col("name"), F.col("id"), F.col("record_id"), F.col("meeting_id")]
-    return top_per_group(d, ["source_id"], order, limit, salt_by=["id"], rank="position")
+    return top_per_group(docs.filter("source_id is not null"), ["source_id"], order, limit, salt_by=["id"], rank="position")
 
 
 def records_by_source(records: DataFrame, sources: DataFrame) -> DataFrame:
@@ -114,7 +130,7 @@ def load_state(sources: DataFrame, counts: DataFrame, now) -> DataFrame:
 def latest_runs(runs: DataFrame, n: int = 8, source: str | None = None) -> DataFrame:
     """Newest runs per source, newest first."""
     df = runs if source is None else runs.filter(F.col("source_id") == source)
-    return top_per_group(df, ["source_id"], [F.col("id").desc()], n, rank="position")
+    return top_per_group(df, ["source_id"], [F.col("id").desc()], n, salt_by=["id"], rank="position")
 
 
 def run_log(runs: DataFrame) -> DataFrame:
@@ -242,16 +258,17 @@ def configured_and_stored(configured: DataFrame, stored: DataFrame) -> DataFrame
 
 def load_report(t: dict[str, DataFrame], configured: DataFrame, now, interval_s: int = 21_600, active: bool = True, n_runs: int = 8) -> DataFrame:
     """One row per source of the configured cities: state, counters, roles, cursors, path, runs, documents."""
-    counts = counts_by_source(t).cache()
+    docs = cut_lineage(document_sources(t["documents"], t["records"], t["meetings"]))
+    counts = cut_lineage(counts_by_source(t, docs))
     base = configured_and_stored(configured, t["sources"])
     state = next_due(load_state(base, counts, now), interval_s)
-    roles = (documents_by_role(t["documents"], t["records"], t["meetings"]).groupBy(F.col("source_id").alias("id"))
+    roles = (roles_of(docs).groupBy(F.col("source_id").alias("id"))
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("role_rank", (-F.col("n")).alias("neg"), "role", "n"))),
                               lambda r: F.struct(r["role"].alias("role"), r["n"].alias("n"))).alias("documents_by_role")))
     runs = (run_log(latest_runs(t["runs"], n_runs)).groupBy(F.col("source_id").alias("id"))
             .agg(F.array_sort(F.collect_list(F.struct("position", F.col("id").alias("run_id"), "started", "ended", "status", "seconds", "requests",
                                                       "counter_list", F.col("error")))).alias("runs")))
-    docs = (newest_documents(t["documents"], t["records"], t["meetings"]).groupBy(F.col("source_id").alias("id"))
+    newest = (newest_of(docs).groupBy(F.col("source_id").alias("id"))
             .agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce(F.nullif("name", F.lit("")), F.lit("Dokument")).alias("name"),
                                                       "role", "date", "url"))).alias("newest_documents")))
     cursors = (t["cursors"].groupBy(F.col("source_id").alias("id"))
@@ -260,7 +277,7 @@ def load_report(t: dict[str, DataFrame], configured: DataFrame, now, interval_s:
     queue = t["detail_queue"].groupBy("source_id").agg(F.count(F.lit(1)).alias("n_open"))
     path = load_path(base, counts, t["cursors"].filter(blank("next_url") != ""), queue, run_counter_sums(t["runs"]))
     df = state.join(counts.withColumnRenamed("source_id", "id"), "id", "left").fillna({c: 0 for c in COUNTERS})
-    for part in (roles, runs, docs, cursors, path, queue.withColumnRenamed("source_id", "id")):
+    for part in (roles, runs, newest, cursors, path, queue.withColumnRenamed("source_id", "id")):
         df = df.join(part, "id", "left")
     due = F.when(F.lit(active) & ~F.col("sample"), F.col("next_due"))
     return (df.fillna(0, ["n_open"]).withColumn("next_due", due)
@@ -308,25 +325,34 @@ def demand(requests: DataFrame, gap_s: int = DEMAND_GAP_S) -> DataFrame:
     """
     secs = requests.select("city", F.unix_timestamp("at").alias("s")).groupBy("city", "s").agg(F.count(F.lit(1)).alias("_n"))
     spans = secs.select("city", F.floor(F.col("s") / SPAN_S).cast("long").alias("span"), "s")
-    endless = np.iinfo(np.int64).max
 
     def per_span(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seconds = np.sort(pdf["s"].to_numpy())
-        start = int(key[1]) * SPAN_S
-        first = np.arange(min(np.searchsorted(seconds, start + gap_s) + 1, len(seconds)))
-        count, last = _chains(seconds, first, gap_s)
-        before = np.concatenate([[-endless], seconds[first[:-1]] - gap_s + 1])
-        rows = {"lo": before, "hi": seconds[first] - gap_s, "n": count, "first_s": seconds[first], "last_s": last}
-        if len(first) == len(seconds):  # the last pick may lie too close before all of them
-            extra = {"lo": seconds[-1] - gap_s + 1, "hi": endless, "n": 0, "first_s": -1, "last_s": -1}
-            rows = {c: np.append(v, extra[c]) for c, v in rows.items()}
-        return pd.DataFrame({"city": key[0], "span": key[1], **rows})
-
-    cases = spans.groupBy("city", "span").applyInPandas(per_span, "city string, span long, lo long, hi long, n long, first_s long, last_s long")
-
-    # Walk over the spans in order: of each, the one case that holds for the last pick before it.
+        return pd.DataFrame({"city": key[0], "span": key[1], **span_cases(np.sort(pdf["s"].to_numpy()), int(key[1]), gap_s)})
+
+    return walk_spans(spans.groupBy("city", "span").applyInPandas(per_span, f"city string, {SPAN_CASES}"))
+
+
+SPAN_CASES = "span long, lo long, hi long, n long, first_s long, last_s long"
+ENDLESS = np.iinfo(np.int64).max
+
+
+def span_cases(seconds: np.ndarray, span: int, gap_s: int = DEMAND_GAP_S) -> dict[str, np.ndarray]:
+    """What a span of sorted seconds notes, for every range (lo to hi) of the last pick before it that makes a difference."""
+    start = span * SPAN_S
+    first = np.arange(min(np.searchsorted(seconds, start + gap_s) + 1, len(seconds)))
+    count, last = _chains(seconds, first, gap_s)
+    before = np.concatenate([[-ENDLESS], seconds[first[:-1]] - gap_s + 1])
+    rows = {"lo": before, "hi": seconds[first] - gap_s, "n": count, "first_s": seconds[first], "last_s": last}
+    if len(first) == len(seconds):  # the last pick may lie too close before all of them
+        extra = {"lo": seconds[-1] - gap_s + 1, "hi": ENDLESS, "n": 0, "first_s": -1, "last_s": -1}
+        rows = {c: np.append(v, extra[c]) for c, v in rows.items()}
+    return rows
+
+
+def walk_spans(cases: DataFrame) -> DataFrame:
+    """Demand per city from the cases of its spans: of each span, in order, the one that holds for the last pick before it."""
     case = F.struct("span", "lo", "hi", "n", "first_s", "last_s")
-    zero = F.struct(F.lit(-1).cast("long").alias("done"), F.lit(-endless).cast("long").alias("last"), F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
+    zero = F.struct(F.lit(-1).cast("long").alias("done"), F.lit(-ENDLESS).cast("long").alias("last"), F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
 
     def step(acc, c):
         holds = (c["span"] != acc["done"]) & (c["lo"] <= acc["last"]) & (acc["last"] <= c["hi"])

@@ -8,11 +8,14 @@ Places: id, type, key, provenance.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, norm, variants_of_norm
-from ..session import settled, small_side
+from ..session import cut_lineage, settled, small_side
+from .days import DayLists, Status, status_of
 from .dims import CityDims
 from .places import DISTRICT, POSTCODE, QUARTER, expand_area
 from .terms import match_terms
@@ -87,45 +90,67 @@ def in_range(date, date_from, date_to):
     return ((F.col(date_from) == "") | (d >= F.col(date_from))) & ((F.col(date_to) == "") | (d < F.col(date_to)))
 
 
-def match_pairs(requests: DataFrame, records: DataFrame, places: DataFrame, dims: CityDims) -> DataFrame:
-    """Request-record pairs with the stages they satisfy; each stage row carries its score parts.
+@dataclass(frozen=True)
+class Asked:
+    """Requests with what they ask for, as small frames."""
 
-    Place rows and term hits meet in one aggregation per pair, so the records' texts never travel.
-    """
+    area: DataFrame
+    terms: DataFrame
+    shapes: DataFrame
+
+
+def ask(requests: DataFrame, dims: CityDims) -> Asked:
     requests = settled(requests.withColumn("plz", F.nullif(blank("plz"), F.lit(""))))
     area, terms = settled(expand_area(requests, dims)), settled(request_terms(requests, dims))
-    shapes = settled(request_shapes(requests, terms, area))
-    parts = ("place", "theme", "word_no", "full_no", "any_word", "points")
+    return Asked(area, terms, settled(request_shapes(requests, terms, area)))
+
+
+def pair_rows(asked: Asked, records: DataFrame, places: DataFrame, scans: bool = True) -> DataFrame:
+    """Request-record pairs with a bit for each stage they satisfy (1, 2, 4) and their score parts.
+
+    City and date are known on the record's side, so that only hits inside a request's range meet in the one aggregation
+    per pair; the records' texts never travel. Without ``scans`` the requests that constrain nothing but the date have no
+    pairs of their own, see ``DayLists``.
+    """
+    ranges = asked.shapes.select("request_id", "plz", "date_from", "date_to")
+    parts = ("place", "theme", "in_title", "word_no", "full_no", "any_word", "points")
 
     def hits(df, **given):
-        return df.select(*PAIR, *[given.get(p, F.lit(None)).cast("int").alias(p) for p in parts])
+        return df.filter(in_range("date", "date_from", "date_to")).select(*PAIR, "date", *[given.get(p, F.lit(None)).cast("int").alias(p) for p in parts])
 
-    plz = requests.select("request_id", "plz")
-    placed = (places.select("id", "type", "key", "provenance")
-              .join(small_side(area.select("request_id", "type", "key").join(plz, "request_id")), ["type", "key"]))
-    by_place = hits(placed, place=F.lit(1), points=place_points())
-    found = match_terms(records.select("id", "city", F.col("search_text").alias("text")), terms, keep=["city"])
+    narrow = records.select("id", "city", "date")
+    placed = (places.select("id", "type", "key", "provenance").join(narrow, "id")
+              .join(small_side(asked.area.join(ranges, "request_id")), ["city", "type", "key"]))
+    terms = asked.terms.join(ranges, "request_id")
+    found = match_terms(records.select("id", "city", "date", F.col("search_text").alias("text")), asked.terms, keep=["city", "date"])
     termed = found.join(small_side(terms), ["city", "term"])
+    themes = terms.filter("kind = 'theme'")
+    titled = match_terms(records.select("id", "city", "date", norm("title").alias("text")), asked.terms.filter("kind = 'theme'"), keep=["city", "date"])
     is_word = F.col("kind") == "word"
-    by_term = hits(termed, theme=F.when(~is_word, 1), word_no=F.when(is_word, F.col("no")),
-                   full_no=F.when(is_word & F.col("full_form"), F.col("no")), any_word=F.when(F.col("any_word"), 1))
-    narrow = records.select("id", "city", "date")
-    scans = small_side(shapes.filter("scan").select("request_id", "city", "date_from", "date_to"))
-    scanned = narrow.join(scans, "city").filter(in_range("date", "date_from", "date_to"))
-    pairs = (by_place.unionByName(by_term).unionByName(hits(scanned, points=F.lit(0))).groupBy(*PAIR)
-             .agg(F.coalesce(F.max("place"), F.lit(0)).alias("place"), F.coalesce(F.max("theme"), F.lit(0)).alias("theme"),
-                  F.size(F.collect_set("word_no")).alias("n_matched"), F.size(F.collect_set("full_no")).alias("n_full"),
-                  F.coalesce(F.max("any_word"), F.lit(0)).alias("any_word"), F.coalesce(F.sum("points"), F.lit(0)).alias("points")))
-    full = (pairs.join(shapes, "request_id").join(narrow.withColumnRenamed("city", "record_city"), "id")
-            .filter(F.col("city") == F.col("record_city")).filter(in_range("date", "date_from", "date_to")))
+    rows = hits(placed, place=F.lit(1), points=place_points()).unionByName(
+        hits(termed, theme=F.when(~is_word, 1), word_no=F.when(is_word, F.col("no")),
+             full_no=F.when(is_word & F.col("full_form"), F.col("no")), any_word=F.when(F.col("any_word"), 1)))
+    rows = rows.unionByName(hits(titled.join(small_side(themes), ["city", "term"]), in_title=F.lit(1)))
+    if scans:
+        listed = small_side(asked.shapes.filter("scan").select("request_id", "city", "date_from", "date_to"))
+        rows = rows.unionByName(hits(narrow.join(listed, "city"), points=F.lit(0)))
+    some = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(c)
+    pairs = (rows.groupBy(*PAIR).agg(
+        F.max("date").alias("date"), some("place"), some("theme"), some("in_title"), some("any_word"), F.size(F.collect_set("word_no")).alias("n_matched"),
+        F.size(F.collect_set("full_no")).alias("n_full"), F.coalesce(F.sum("points"), F.lit(0)).alias("points")))
+    shapes = small_side(asked.shapes.select("request_id", "city", "n_words", "n_real", "carried", "has_area", "has_theme", F.col("open").alias("open_asked")))
     base = (~F.col("has_area") | (F.col("place") == 1)) & (~F.col("has_theme") | (F.col("theme") == 1))
-    stages = F.array_compact(F.array(
-        F.when(F.col("n_matched") == F.col("n_real"), ALL_WORDS),
-        F.when((F.col("n_words") > 0) & F.col("carried"), WITHOUT_WORDS),
-        F.when((F.col("n_words") >= 2) & (F.col("any_word") == 1), ANY_WORD)))
-    return (full.filter(base)
+    bits = (F.when(F.col("n_matched") == F.col("n_real"), 1).otherwise(0) + F.when((F.col("n_words") > 0) & F.col("carried"), 2).otherwise(0)
+            + F.when((F.col("n_words") >= 2) & (F.col("any_word") == 1), 4).otherwise(0))
+    return (pairs.join(shapes, "request_id").filter(base).withColumn("stages", bits).filter("stages > 0")
             .select(*PAIR, "city", "date", "points", (F.col("n_full") + F.col("n_words") - F.col("n_real")).alias("word_points"),
-                    F.explode(stages).alias("stage")))
+                    F.when(~F.col("has_theme"), 0).when(F.col("in_title") == 1, 4).otherwise(2).alias("theme_points"), "open_asked", "stages"))
+
+
+def match_pairs(requests: DataFrame, records: DataFrame, places: DataFrame, dims: CityDims) -> DataFrame:
+    """All request-record pairs, a row for each stage they satisfy."""
+    each = F.array_compact(F.array(*[F.when(F.col("stages").bitwiseAND(F.lit(1 << n)) > 0, n + 1) for n in range(3)]))
+    return pair_rows(ask(requests, dims), records, places).withColumn("stage", F.explode(each)).drop("stages")
 
 
 def candidates(pairs: DataFrame, cap: int | None = None) -> DataFrame:
@@ -143,6 +168,10 @@ def candidates(pairs: DataFrame, cap: int | None = None) -> DataFrame:
         per_request = Window.partitionBy("request_id")
         df = (picked.withColumn("_first", F.min("stage").over(per_request)).filter("stage = _first").drop("_first")
               .withColumn("total", F.count(F.lit(1)).over(per_request)).withColumn("capped", F.col("total") >= cap))
+    return with_stage_flags(df)
+
+
+def with_stage_flags(df: DataFrame) -> DataFrame:
     return df.withColumn("words_dropped", F.col("stage") == WITHOUT_WORDS).withColumn("any_word_used", F.col("stage") == ANY_WORD)
 
 
@@ -152,25 +181,27 @@ def uncapped_totals(pairs: DataFrame) -> DataFrame:
     return counts.groupBy("request_id").agg(F.min_by("n", "stage").alias("matches"))
 
 
-def score(cands: DataFrame, requests: DataFrame, records: DataFrame, dims: CityDims, status: DataFrame | None, today) -> DataFrame:
-    """Points of each candidate: places, theme in title or text, words, open status, recency."""
-    terms = request_terms(requests, dims).filter("kind = 'theme'")
-    themes = terms.groupBy("request_id").agg(F.collect_set("term").alias("theme_terms"))
-    asked = requests.select("request_id", F.coalesce("open", F.lit(False)).alias("open_asked")).join(themes, "request_id", "left")
-    asked = settled(asked)
-    df = cands.join(asked, "request_id").join(records.select("id", "title"), "id")
+def range_totals(requests: DataFrame, records: DataFrame, dims: CityDims) -> DataFrame:
+    """Number of matches of the requests that constrain nothing but the date, from counts per day."""
+    return DayLists(records, ask(requests, dims).shapes.filter("scan")).totals().filter("matches > 0")
+
+
+def score(cands: DataFrame, status: Status | None, today) -> DataFrame:
+    """Points of each candidate: places, theme in title or text, words, open status, recency.
+
+    Only candidates of requests that ask for open records look at the status; ``is_open`` of a candidate may be given.
+    """
+    df = cands if "is_open" in cands.columns else cands.withColumn("is_open", F.lit(None).cast("boolean"))
     if status is not None:
-        df = df.join(status.select("id", F.col("open").alias("is_open")), "id", "left")
-    else:
-        df = df.withColumn("is_open", F.lit(None).cast("boolean"))
-    title = norm("title")
-    in_title = F.coalesce(F.exists("theme_terms", lambda t: F.contains(title, t)), F.lit(False))
-    theme = F.when(F.col("theme_terms").isNull(), 0).when(in_title, 4).otherwise(2)
+        unknown = F.col("open_asked") & F.col("is_open").isNull()
+        states = status_of(status, df.filter(unknown)).select("id", F.col("open").alias("_open"))
+        df = (df.filter(unknown).join(states, "id", "left").withColumn("is_open", F.col("_open")).drop("_open")
+              .unionByName(df.filter(~unknown)))
     recent_from = F.date_format(F.date_sub(F.lit(today).cast("date"), RECENT_DAYS), "yyyy-MM-dd")
-    points = (F.col("points") + F.col("word_points") + theme
+    points = (F.col("points") + F.col("word_points") + F.col("theme_points")
               + F.when(F.col("open_asked") & F.coalesce("is_open", F.lit(True)), 3).otherwise(0)
               + F.when((F.col("date") != "") & (F.col("date") >= recent_from), 1).otherwise(0))
-    return df.withColumn("score", points.cast("int")).drop("theme_terms", "open_asked", "is_open", "title")
+    return df.withColumn("score", points.cast("int")).drop("open_asked", "is_open", "theme_points")
 
 
 def page(scored: DataFrame, requests: DataFrame) -> DataFrame:
@@ -190,8 +221,35 @@ def page(scored: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def search(requests: DataFrame, records: DataFrame, places: DataFrame, dims: CityDims, today,
-           status: DataFrame | None = None, cap: int | None = None) -> DataFrame:
-    """Staged, filtered, ranked pages for all requests: request_id, id, rank, score, stage, total and flags."""
+           status: Status | None = None, cap: int | None = None) -> DataFrame:
+    """Staged, filtered, ranked pages for all requests: request_id, id, rank, score, stage, total and flags.
+
+    ``status`` has id and open, or is a function from a frame of ids to such a frame, which then sees candidates only.
+
+    The pairs are worked out once and kept as narrow rows. Requests that constrain nothing but the date have no pairs: their
+    totals come from counts per day, their pages from the first rows of the days they reach.
+    """
     requests, dims = settled(requests), dims.settled()
-    cands = candidates(match_pairs(requests, records, places, dims), cap)
-    return page(score(cands, requests, records, dims, status, today), requests)
+    if cap is not None:
+        return page(score(candidates(match_pairs(requests, records, places, dims), cap), status, today), requests)
+    asked = ask(requests, dims)
+    pairs = cut_lineage(pair_rows(asked, records, places, scans=False))
+    days = DayLists(records, asked.shapes.filter("scan"), status)
+    of_bit = lambda n: F.sum(F.when(F.col("stages").bitwiseAND(F.lit(1 << n)) > 0, 1).otherwise(0))
+    counts = pairs.groupBy("request_id").agg(*[of_bit(n).alias(f"n{n + 1}") for n in range(3)])
+    # what a scan finds are all records of the range: in the first stage without words, else in the one that drops them
+    ranged = days.totals().select("request_id", "matches", F.when(F.col("n_real") == 0, ALL_WORDS).otherwise(WITHOUT_WORDS).alias("scan_stage"))
+    each = asked.shapes.select("request_id").join(counts, "request_id", "left").join(ranged, "request_id", "left")
+    n = [F.greatest(F.coalesce(f"n{k}", F.lit(0)), F.when(F.col("scan_stage") == k, F.col("matches")).otherwise(0)) for k in (1, 2, 3)]
+    stage = F.when(n[0] > 0, ALL_WORDS).when(n[1] > 0, WITHOUT_WORDS).when(n[2] > 0, ANY_WORD)
+    total = F.when(n[0] > 0, n[0]).when(n[1] > 0, n[1]).otherwise(n[2]).cast("long")
+    first = settled(each.select("request_id", "scan_stage", stage.alias("stage"), total.alias("total")).filter("stage IS NOT NULL"))
+    chosen = small_side(first.select("request_id", "stage", "total"))
+    found = (pairs.join(chosen, "request_id").filter(F.col("stages").bitwiseAND(F.expr("shiftleft(1, stage - 1)")) > 0)
+             .drop("stages", "city").withColumn("is_open", F.lit(None).cast("boolean")))
+    # a hit that is listed too keeps its row with points for words
+    listed = days.pages().join(small_side(first.filter("stage = scan_stage").select("request_id", "stage", "total")), "request_id")
+    listed = listed.join(pairs.select(*PAIR), PAIR, "left_anti").select(
+        *PAIR, "date", F.lit(0).alias("points"), "word_points", F.lit(0).alias("theme_points"), "open_asked", "is_open", "stage", "total")
+    cands = with_stage_flags(found.unionByName(listed).withColumn("capped", F.lit(False)))
+    return page(score(cands, status, today), requests)

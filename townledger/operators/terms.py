@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import fits, small_side
+from ..session import BROADCAST_ROWS, cut_lineage, fits, settled, small_side
 
 FEW_TERMS = 256  # up to here the terms travel inside the expression
 ANCHOR = 5       # letters of a term looked up among the words
+HEAVY = 256      # a word in more than one of so many rows is joined without a shuffle
 
 
 def _anchor(piece: Column) -> Column:
@@ -40,21 +41,45 @@ def match_terms(texts: DataFrame, terms: DataFrame, keep=(), few: int = FEW_TERM
     return match_many_terms(texts, terms, keep)
 
 
-def match_many_terms(texts: DataFrame, terms: DataFrame, keep=()) -> DataFrame:
+def words_with(vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Rows of ``vocabulary`` (word, …) beside every piece (piece) that lies in the word, by way of the piece's first letters."""
+    keyed = pieces.select("piece").filter("piece <> ''").distinct().withColumn("gram", _anchor(F.col("piece")))
+    lengths = sorted(r[0] for r in keyed.select(F.length("gram").alias("n")).distinct().collect())
+    if not lengths:
+        return vocabulary.withColumn("piece", F.lit("")).limit(0)
+    grams = F.array_distinct(F.concat(*[letter_runs(F.col("word"), n) for n in lengths]))
+    return vocabulary.withColumn("gram", F.explode(grams)).join(small_side(keyed), "gram").drop("gram").filter(F.contains("word", F.col("piece")))
+
+
+def join_words(words: DataFrame, by_word: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``words`` (word, …) joined with ``by_word`` (word, n, …), n being how many rows of ``words`` hold the word.
+
+    A small ``by_word`` is sent to all tasks. Of a larger one only the words that hold more than one in ``HEAVY`` rows are, of
+    which there are ``HEAVY`` at most; the others go through a shuffle, in which no key is large.
+    """
+    small = settled(by_word.drop("n"), rows)
+    if rows and small.count() <= rows:
+        return words.join(F.broadcast(small), "word")
+    total = by_word.select("word", "n").distinct().agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY > total
+    often = by_word.filter(heavy).drop("n")
+    rest = words.join(F.broadcast(often.select("word").distinct()), "word", "left_anti")
+    return words.join(F.broadcast(often), "word").unionByName(rest.join(by_word.filter(~heavy).drop("n"), "word"))
+
+
+def match_many_terms(texts: DataFrame, terms: DataFrame, keep=(), rows: int = BROADCAST_ROWS) -> DataFrame:
     """The general way: a term lies in a text exactly if its longest piece lies in one of the words.
 
-    Terms of several words are checked against the whole text afterwards.
+    The words of all texts are counted once; those with a term in them join the texts again, frequent ones apart from rare
+    ones. Terms of several words are checked against the whole text afterwards.
     """
     pieces = F.split("term", " ")
     longest = F.aggregate(pieces, F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
-    keyed = terms.select("term", longest.alias("piece")).withColumn("gram", _anchor(F.col("piece")))
-    lengths = sorted(r[0] for r in keyed.select(F.length("gram").alias("n")).distinct().collect())
+    keyed = terms.select("term", longest.alias("piece"))
     words = texts.select("id", *keep, F.explode(F.array_distinct(tokens("text"))).alias("word"))
-    grams = F.array_distinct(F.concat(*[letter_runs(F.col("word"), n) for n in lengths]))
-    vocabulary = words.select("word").distinct().select("word", F.explode(grams).alias("gram"))
-    by_word = (vocabulary.join(small_side(keyed), "gram").filter(F.contains("word", F.col("piece")))
-               .select("word", "term").distinct())
-    pairs = words.join(by_word, "word").select("id", *keep, "term").distinct()
+    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    by_word = cut_lineage(words_with(vocabulary, keyed).join(small_side(keyed), "piece").select("word", "term", "n").distinct())
+    pairs = join_words(words, by_word, rows).select("id", *keep, "term").distinct()
     phrase = F.contains("term", F.lit(" "))
     several = (pairs.filter(phrase).join(texts.select("id", "text"), "id")
                .filter(F.contains("text", F.col("term"))).select("id", *keep, "term"))

@@ -79,6 +79,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return df if out is df else F.broadcast(out)
 
 
+def left_join(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 4096) -> DataFrame:
+    """Left join on a reference that many rows leave blank or null.
+
+    Such rows find nothing; so that they do not meet in one task, each takes one of ``salts`` names that no row of ``right``
+    has, chosen by its column ``by``. Keys of ``right`` that are blank are never found.
+    """
+    blank_ = F.coalesce(F.col(key), F.lit("")) == ""
+    name = F.when(blank_, F.concat(F.lit("\0"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("string"))).otherwise(F.col(key))
+    return left.withColumn("_key", name).join(right.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows spread over all cores by key if the scan yields fewer partitions than that.
 

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
-from ..functions.text import _c, blank, collapse_ws, norm
+from ..functions.text import _c, blank, collapse_ws, norm, tokens
+from ..operators.terms import words_with
 from ..operators.topk import first_per_key
-from ..session import small_side
+from ..session import cut_lineage, small_side
 from .council import as_list, is_object
 
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -79,15 +80,36 @@ def select_datasets(catalogue: DataFrame, wanted: DataFrame) -> tuple[DataFrame,
 
     catalogue: position, dataset_id, title (per source); wanted: source_id, entry_no, entry. An id matches
     exactly; else the first title with the phrase; else the first title sharing a word of four letters.
+
+    Titles are looked up through an index of their words that keeps the first title of each word. A phrase of several words
+    meets only the titles with a word around its rarest piece.
     """
     w = wanted.withColumn("_id", F.trim("entry").rlike(UUID)).withColumn("_n", norm("entry"))
-    c = catalogue.select("source_id", "position", "dataset_id", "title").withColumn("_tn", norm("title"))
-    words = F.filter(F.split("_n", " "), lambda x: F.length(x) >= 4)
-    kind = (F.when(F.col("_id"), F.when(F.lower("dataset_id") == F.lower(F.trim("entry")), 0))
-            .when((F.col("_n") != "") & F.contains("_tn", F.col("_n")), 1)
-            .when(F.arrays_overlap(words, F.split("_tn", " ")), 2))
-    hits = w.join(c, "source_id").withColumn("kind", kind).filter("kind is not null")
-    best = first_per_key(hits, ["source_id", "entry_no"], [F.col("kind"), F.col("position"), F.col("dataset_id")])
+    entries = w.select("source_id", "entry_no", "entry", "_id", "_n")
+    c = catalogue.select("source_id", F.struct("position", "dataset_id", "title").alias("hit"), norm("title").alias("_tn"))
+    by_id = c.groupBy("source_id", F.lower("hit.dataset_id").alias("key")).agg(F.min("hit").alias("hit"))
+    same_id = entries.filter("_id").withColumn("key", F.lower(F.trim("entry"))).join(by_id, ["source_id", "key"]).select("source_id", "entry_no", F.lit(0).alias("kind"), "hit")
+
+    titled = c.select("source_id", "hit", "_tn", F.explode(F.array_distinct(tokens("_tn"))).alias("word"))
+    index = cut_lineage(titled.groupBy("source_id", "word").agg(F.min("hit").alias("hit"), F.count(F.lit(1)).alias("n")))
+    phrases = entries.filter("NOT _id AND _n <> ''").select("source_id", "entry_no", "_n", F.split("_n", " ").alias("pieces"))
+    shared = (phrases.select("source_id", "entry_no", F.explode(F.array_distinct(F.filter("pieces", lambda x: F.length(x) >= 4))).alias("word"))
+              .join(index.select("source_id", "word", "hit"), ["source_id", "word"]).select("source_id", "entry_no", F.lit(2).alias("kind"), "hit"))
+
+    pieces = phrases.select("source_id", "_n", F.explode(F.array_distinct("pieces")).alias("piece")).distinct()
+    around = cut_lineage(words_with(index, pieces).join(pieces.select("source_id", "piece").distinct(), ["source_id", "piece"]))
+    single = (phrases.filter(F.size("pieces") == 1).join(around.select("source_id", F.col("piece").alias("_n"), "hit"), ["source_id", "_n"])
+              .select("source_id", "entry_no", F.lit(1).alias("kind"), "hit"))
+    # every piece of a phrase lies in a word of the title; the piece with the fewest titles leads to them
+    several = pieces.join(phrases.filter(F.size("pieces") > 1).select("source_id", "_n").distinct(), ["source_id", "_n"])
+    cost = around.groupBy("source_id", "piece").agg(F.sum("n").alias("cost"))
+    rarest = several.join(cost, ["source_id", "piece"], "left").groupBy("source_id", "_n").agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "piece")).alias("r"))
+    leads = rarest.filter("r.cost > 0").select("source_id", "_n", F.col("r.piece").alias("piece")).join(around.select("source_id", "piece", "word"), ["source_id", "piece"])
+    held = (leads.join(titled, ["source_id", "word"]).filter(F.contains("_tn", F.col("_n"))).groupBy("source_id", "_n").agg(F.min("hit").alias("hit")))
+    phrase = phrases.join(held, ["source_id", "_n"]).select("source_id", "entry_no", F.lit(1).alias("kind"), "hit")
+
+    hits = same_id.unionByName(single).unionByName(phrase).unionByName(shared)
+    best = cut_lineage(hits.groupBy("source_id", "entry_no").agg(F.min(F.struct("kind", "hit")).alias("b")).select("source_id", "entry_no", "b.kind", "b.hit.*"))
     chosen = first_per_key(best.filter("dataset_id <> ''"), ["source_id", "dataset_id"], [F.col("entry_no")])
     found = best.select("source_id", "entry_no", "kind")
     counters = (wanted.join(found, ["source_id", "entry_no"], "left").groupBy("source_id")

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..functions.dates import moment
-from ..functions.html import html_to_text_array
+from ..functions.html import anchors, html_to_text_array, live_markup
 from ..functions.rules import phase_label
 from ..functions.text import blank, norm
 from ..functions.urls import resolve_url
@@ -101,44 +97,9 @@ def next_list_page(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.when(blank(link) == "", "").when(same, target).alias("next_url"))
 
 
-class _Detail(HTMLParser):
-    """Anchors of a detail page, and whether it is public or asks for a login."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.links, self.open_link, self.public, self.login = [], None, False, False
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        self.public |= a.get("id") in ("infolistContentMetaDescription", "helpPublicDetailTimelimit")
-        self.login |= tag == "input" and (a.get("type") or "").lower() == "password"
-        if tag == "a":
-            self.open_link = [a.get("href") or "", a.get("title") or "", []]
-
-    def handle_data(self, data):
-        if self.open_link:
-            self.open_link[2].append(data)
-
-    def handle_endtag(self, tag):
-        if tag == "a" and self.open_link:
-            href, title, text = self.open_link
-            self.links.append({"href": href, "title": title, "text": " ".join(" ".join(text).split())})
-            self.open_link = None
-
-
-_LINK = StructType([StructField(n, StringType()) for n in ("href", "title", "text")])
-DETAIL = StructType([StructField("public", BooleanType()), StructField("login", BooleanType()), StructField("links", ArrayType(_LINK))])
-
-
-@F.pandas_udf(DETAIL)
-def read_detail(html: pd.Series) -> pd.DataFrame:
-    """Anchors and page kind of stored detail pages."""
-    rows = []
-    for page in html:
-        d = _Detail()
-        d.feed(page or "")
-        rows.append((d.public, d.login, d.links))
-    return pd.DataFrame(rows, columns=["public", "login", "links"])
+# Marks of a public detail page, and of a login form.
+PUBLIC_MARK = r"""(?is)<[a-z][^>]*\sid\s*=\s*["']?(?:infolistContentMetaDescription|helpPublicDetailTimelimit)(?=["'\s>])"""
+LOGIN_MARK = r"""(?is)<input\s[^>]*?type\s*=\s*["']?password(?=["'\s/>])"""
 
 
 def page_document_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,8 +107,9 @@ def page_document_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The last named anchor per address counts; a generic one never replaces it.
     """
-    df = pages.withColumn("d", read_detail("html"))
-    status = df.select("record_id", F.when(F.col("d.public"), "ok").when(F.col("d.login"), "login").otherwise("unknown").alias("status"))
+    marks = pages.withColumn("_m", live_markup("html"))
+    public = F.col("_m").rlike(PUBLIC_MARK)
+    status = marks.select("record_id", F.when(public, "ok").when(F.col("_m").rlike(LOGIN_MARK), "login").otherwise("unknown").alias("status"))
     link = F.col("l.href")
     target = resolve_url(link, F.col("url"))
     root = r"^([^:]+://[^/?#]*).*$"
@@ -156,7 +118,7 @@ def page_document_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = F.trim(F.regexp_replace(F.col("l.text"), r"(?i)^Herunterladen\s*", ""))
     name = F.trim(F.regexp_replace(name, r"(?i)\s*\((?:pdf|docx?|zip)[^)]*\)\s*$", ""))
     name = F.coalesce(F.nullif(name, F.lit("")), F.nullif(F.col("l.title"), F.lit("")), F.lit("Planungsdokument"))
-    each = (df.filter("d.public").select("record_id", "url", F.posexplode("d.links").alias("pos", "l"))
+    each = (marks.filter(public).select("record_id", "url", F.posexplode(anchors("html")).alias("pos", "l"))
             .select("record_id", "pos", target.alias("id"), name.alias("name"), F.when(F.contains(F.lower("l.text"), F.lit("pdf")), "application/pdf").otherwise("").alias("mime"),
                     (same & path.rlike(r"^/file/[^/?#]+/[^/?#]+$")).alias("ok")).filter("ok"))
     best = first_per_key(each, ["record_id", "id"], [(F.col("name") == "Planungsdokument").asc(), F.col("pos").desc()])

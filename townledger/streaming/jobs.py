@@ -1,123 +1,130 @@
 """The incremental loads as Structured Streaming jobs.
 
-Batches are merged with idempotent upserts, so a repeated or overlapping delivery changes nothing;
-no late object is ever dropped. State that must outlive a batch lies in bucketed tables, which
-survive the loss of executors and restarts from the checkpoint.
+State that must outlive a batch lies in Spark's state store, partitioned by key and restored from the checkpoint; results are
+appended (see ``deltas``). Repeated or overlapping deliveries change nothing, and no late object is ever dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import places as P
 from ..operators import reports as R
-from ..operators import tables as T
 from ..operators.dims import CityDims
-from ..plans.store import apply_batch, exists
-from ..session import cut_lineage
+from .deltas import current, deltas, write_delta
 
 
-def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start the stream over everything that has arrived; the caller awaits or schedules it."""
-    return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def _appended(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
+    """Start the stream over everything that has arrived; what changes is appended. The caller awaits or schedules it."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_delta(batch, path, batch_id)
+
+    return (stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def stream_upsert(stream: DataFrame, path: str, keys, order, checkpoint: str):
-    """Each batch overwrites the rows of its keys; within a batch the last in ``order`` wins.
+    """The row of each key that is last in ``order``; ``current_rows`` reads the table.
 
-    ``order`` is compared with the stored row too, so an overlapping older delivery does not win.
+    The state holds that row per key, so an overlapping older delivery does not win; of rows equal in ``order`` the one with the
+    greatest hash does. A batch gives out the keys it changed.
     """
     keys, order = list(keys), list(order)
+    rest = [c for c in stream.columns if c not in keys]
+    place = F.struct(*order, F.xxhash64(*stream.columns).alias("_hash"))
+    last = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_row")).select(*keys, "_row.*")
+    return _appended(last, path, checkpoint)
 
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        return T.last_of_batch(old.unionByName(new), keys, order)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(path, T.last_of_batch(batch, keys, order), keys, merge)
 
-    return _run(stream, handle, checkpoint)
+def current_rows(spark: SparkSession, path: str, keys) -> DataFrame:
+    return current(deltas(spark, path), list(keys))
 
 
-def stream_changes(stream: DataFrame, history: str, last: str, checkpoint: str, chunk: Column, key: str = "id", seq: str = "seq"):
+def stream_changes(stream: DataFrame, history: str, checkpoint: str, key: str = "id", seq: str = "seq"):
     """Append a snapshot only where the content differs from the one before it.
 
-    A narrow table keeps the last hash per key; the history is only ever appended to, one partition
-    per batch. A batch delivered again replaces its own partition or finds nothing new.
+    The state holds the last sequence number and hash per key. A snapshot that does not come after the last one was there before.
+    Rows of a key arrive in pieces; only number, hash and place of a batch's rows are sorted.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = cut_lineage(batch.dropDuplicates([key, seq]))
-        state = batch.select(key, seq, "content_hash")
-        known = spark.read.parquet(last).drop("bucket").select(*state.columns) if exists(spark, last) else state.limit(0)
-        fresh = T.append_changed_snapshots(known, batch, key, seq, chunk).withColumn("batch", F.lit(batch_id))
-        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(history))
-        newest = batch.groupBy(key).agg(F.max_by("content_hash", seq).alias("content_hash"), F.max(seq).alias(seq)).select(*state.columns)
-        apply_batch(last, newest, [key], lambda old, new: T.last_of_batch(old.unionByName(new), [key], [seq]))
+    def changed(found: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last_seq, last_hash = state.get if state.exists else (None, None)
+        rows = pd.concat(list(pieces), ignore_index=True).drop_duplicates(seq).sort_values(seq)
+        if last_seq is not None:
+            rows = rows[rows[seq] > last_seq]
+        if len(rows):
+            before = rows["content_hash"].shift(1)
+            before.iloc[0] = last_hash
+            state.update((int(rows[seq].iloc[-1]), rows["content_hash"].iloc[-1]))
+            yield rows[(rows["content_hash"] != before).to_numpy()]
 
-    return _run(stream, handle, checkpoint)
+    shape = StructType(stream.schema.fields)
+    return _appended(stream.groupBy(key).applyInPandasWithState(changed, shape, "seq long, content_hash string", "append", "NoTimeout"), history, checkpoint, "append")
 
 
-def stream_closure(stream: DataFrame, path: str, runs_path: str, checkpoint: str):
-    """List entries and end markers of runs: unseen entries are unlisted once their run is complete.
+def stream_closure(stream: DataFrame, path: str, checkpoint: str):
+    """List entries and end markers of runs: unseen entries are unlisted once their run is complete, see ``listed_state``.
 
     Rows are source_id, id, run_id, marker; a marker row (marker true) says the run's list was read
     to its end. Runs are ordered by run_id. Partial and late runs change nothing.
     """
-    def newest(old: DataFrame, new: DataFrame) -> DataFrame:
-        return T.last_of_batch(old.unionByName(new), ["source_id", "id"], ["run_id"])
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.filter(~F.col("marker")).groupBy("source_id", "id").agg(F.max("run_id").alias("run_id"))
-        done = batch.filter("marker").groupBy("source_id").agg(F.max("run_id").alias("run_id"))
-        apply_batch(path, seen, ["source_id", "id"], newest)
-        apply_batch(runs_path, done, ["source_id"], lambda old, new: T.last_of_batch(old.unionByName(new), ["source_id"], ["run_id"]))
-
-    return _run(stream, handle, checkpoint)
+    item = F.when(~F.col("marker"), F.col("id")).alias("id")
+    newest = stream.groupBy("source_id", item, "marker").agg(F.max("run_id").alias("run_id"))
+    return _appended(newest, path, checkpoint)
 
 
-def listed_state(entries: DataFrame, runs: DataFrame) -> DataFrame:
+def listed_state(rows: DataFrame) -> DataFrame:
     """What is listed: seen in the last complete run of the source or in a run after it."""
-    done = runs.select("source_id", F.col("run_id").alias("_done"))
-    return (entries.join(done, "source_id", "left")
+    newest = rows.groupBy("source_id", "id", "marker").agg(F.max("run_id").alias("run_id"))
+    done = newest.filter("marker").groupBy("source_id").agg(F.max("run_id").alias("_done"))
+    return (newest.filter("NOT marker").drop("marker").join(done, "source_id", "left")
             .withColumn("listed", F.col("_done").isNull() | (F.col("run_id") >= F.col("_done"))).drop("_done"))
 
 
 def stream_demand(stream: DataFrame, path: str, checkpoint: str):
-    """Requests per city and second, merged into a table; ``demand_state`` reads demand from it.
+    """Demand of (city, span of days): the state holds the distinct seconds of one span, so a busy city is bounded by time.
 
-    Repeats within one second are one row, so a busy city stays bounded by time.
+    A batch gives out the cases of the spans it adds seconds to; ``demand_state`` strings the newest ones together.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        secs = batch.select("city", F.date_trunc("second", "at").alias("at")).distinct()
-        apply_batch(path, secs.withColumn("n", F.lit(1)), ["city", "at"], lambda old, new: old.unionByName(new).dropDuplicates(["city", "at"]))
+    def fold(key: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        known = np.frombuffer(state.get[0], np.int64) if state.exists else np.zeros(0, np.int64)
+        seconds = np.unique(np.concatenate([known, *[p["s"].to_numpy(np.int64) for p in pieces]]))
+        if len(seconds) > len(known):
+            state.update((seconds.tobytes(),))
+            yield pd.DataFrame({"city": key[0], "span": key[1], **R.span_cases(seconds, int(key[1]))})
 
-    return _run(stream, handle, checkpoint)
+    s = F.unix_timestamp("at")
+    rows = stream.select("city", F.floor(s / R.SPAN_S).cast("long").alias("span"), s.alias("s"))
+    return _appended(rows.groupBy("city", "span").applyInPandasWithState(fold, f"city string, {R.SPAN_CASES}", "seconds binary", "append", "NoTimeout"), path, checkpoint, "append")
 
 
-def demand_state(spark, path: str, now=None, days: int | None = None) -> DataFrame:
+def demand_state(spark: SparkSession, path: str, now=None, days: int | None = None) -> DataFrame:
     """Demand noted so far; with ``now`` and ``days`` only what still holds."""
-    out = R.demand(spark.read.parquet(path).select("city", "at"))
+    rows = deltas(spark, path)
+    newest = rows.groupBy("city", "span").agg(F.max("batch").alias("batch"))
+    out = R.walk_spans(rows.join(newest, ["city", "span", "batch"]))
     if now is None or days is None:
         return out
     return out.filter(F.col("last_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
 
 
-def stream_annotate(stream: DataFrame, dims: CityDims, path: str, checkpoint: str, *parts: tuple):
-    """Places of each arriving record (city, id and text columns), replacing those found before."""
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        return T.replace_children(old, new.filter("type <> ''"), "id", new.select("id"))
+PLACE_LIST = "array<struct<type:string,key:string,provenance:string>>"
+
 
+def stream_annotate(stream: DataFrame, dims: CityDims, path: str, checkpoint: str, *parts: tuple):
+    """Places of each arriving record (city, id and text columns) as one row; ``annotated`` reads those of its newest batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        found = P.match_places(P.texts_of(batch, *parts), dims).drop("city")
-        none = F.lit("")
-        rows = found.unionByName(batch.select("id", none.alias("type"), none.alias("key"), none.alias("provenance")).distinct())
-        apply_batch(path, rows, ["id"], merge)
+        found = P.match_places(P.texts_of(batch, *parts), dims).groupBy("id").agg(F.collect_set(F.struct("type", "key", "provenance")).alias("places"))
+        rows = batch.select("id").distinct().join(found, "id", "left").withColumn("places", F.coalesce("places", F.array().cast(PLACE_LIST)))
+        write_delta(rows, path, batch_id)
 
-    return _run(stream, handle, checkpoint)
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def table_or_empty(spark, path: str, schema: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket") if exists(spark, path) else spark.createDataFrame([], schema)
+def annotated(spark: SparkSession, path: str) -> DataFrame:
+    """id, type, key, provenance of every record as found in its newest delivery."""
+    return current(deltas(spark, path), ["id"]).select("id", F.explode("places").alias("p")).select("id", "p.*")
