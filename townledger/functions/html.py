@@ -5,7 +5,6 @@ The text is cut at every '&' and each piece decodes the one reference it starts
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -40,35 +39,42 @@ def _character(n: str) -> str:
             f"ELSE decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32') END")
 
 
-def _table(names: dict[str, str]) -> str:
-    return f"from_json({sql_string(json.dumps(names))}, 'map<string,string>')"
+# All named references as one text, name and value between marks: a text is cheap to plan with, a map of its size is not.
+NAME, VALUE = "\x01", "\x02"
+NAMES = NAME + NAME.join(k + VALUE + v for k, v in html5.items()) + NAME
+
+
+def _named(name: str) -> str:
+    """Value of a named reference, null if there is none of that name."""
+    at = f"locate(concat({sql_string(NAME)}, {name}, {sql_string(VALUE)}), {sql_string(NAMES)})"
+    return f"IF({name} = '', NULL, {_let('i', at, f'IF(i = 0, NULL, substring_index(substring({sql_string(NAMES)}, i + length({name}) + 2), {sql_string(NAME)}, 1))')})"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``value`` worked out once under a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def unescape_sql(x: str) -> str:
     """Text with its character references decoded once."""
-    short = {k: v for k, v in html5.items() if not k.endswith(";")}
-    few, all_ = _table(short | {k + ";": v for k, v in short.items()}), _table({k: v for k, v in html5.items() if k.endswith(";")})
-    prefix = "^(" + "|".join(sorted(short, key=lambda k: (-len(k), k))) + ")"
+    prefix = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
     full = r"^([A-Za-z][A-Za-z0-9]*;)"
 
     def take(pattern):
         return f"regexp_extract(p, {sql_string(pattern)}, 1)"
 
     def numbered(pattern, base):
-        n = f"try_cast(conv(nullif({take(pattern)}, ''), {base}, 10) AS decimal(20, 0))"
         # longer numbers than any character has are impossible ones
-        code = f"IF(length({take(pattern)}) > 12, NULL, cast({n} AS bigint))"
-        return f"concat({_character(code)}, {_replace('p', pattern + ';?', '')})"
-
-    def named(pattern, table):
-        return f"try_element_at({table}, {take(pattern)})"
+        code = f"IF(length({take(pattern)}) > 12, NULL, cast(conv(nullif({take(pattern)}, ''), {base}, 10) AS bigint))"
+        return f"concat({_let('n', code, _character('n'))}, {_replace('p', pattern + ';?', '')})"
 
     decimal, hexadecimal = r"^#([0-9]+)", r"^#[xX]([0-9a-fA-F]+)"
-    one = (f"CASE WHEN p RLIKE {sql_string(decimal)} THEN {numbered(decimal, 10)} WHEN p RLIKE {sql_string(hexadecimal)} THEN {numbered(hexadecimal, 16)} "
-           f"ELSE coalesce(concat(coalesce({named(full, few)}, {named(full, all_)}), {_replace('p', full, '')}), "
-           f"concat({named(prefix, few)}, {_replace('p', prefix, '')}), concat('&', p)) END")
-    pieces = f"split({x}, '&')"
-    return (f"IF(contains({x}, '&'), concat(element_at({pieces}, 1), array_join(transform(slice({pieces}, 2, greatest(size({pieces}) - 1, 0)), p -> {one}), '')), {x})")
+    one = (f"CASE WHEN startswith(p, 'amp;') THEN concat('&', substring(p, 5)) WHEN p RLIKE {sql_string(decimal)} THEN {numbered(decimal, 10)} "
+           f"WHEN p RLIKE {sql_string(hexadecimal)} THEN {numbered(hexadecimal, 16)} "
+           f"ELSE coalesce(concat({_let('e', take(full), _named('e'))}, {_replace('p', full, '')}), "
+           f"concat({_let('e', take(prefix), _named('e'))}, {_replace('p', prefix, '')}), concat('&', p)) END")
+    pieces = _let("q", f"split({x}, '&')", f"concat(element_at(q, 1), array_join(transform(slice(q, 2, greatest(size(q) - 1, 0)), p -> {one}), ''))")
+    return f"IF(contains({x}, '&'), {pieces}, {x})"
 
 
 def without_markup_sql(x: str) -> str:
@@ -76,11 +82,6 @@ def without_markup_sql(x: str) -> str:
     return f"IF(contains({x}, '<'), {bare}, {x})"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """``value`` worked out once under a name."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def text_sql(x: str) -> str:
     """Plain text of a fragment: a blank for every tag, no comments, scripts or styles, single blanks; null gives ''."""
     bare = _let("h", f"coalesce({x}, '')", without_markup_sql("h"))

@@ -246,10 +246,11 @@ def search(requests: DataFrame, records: DataFrame, places: DataFrame, dims: Cit
     first = settled(each.select("request_id", "scan_stage", stage.alias("stage"), total.alias("total")).filter("stage IS NOT NULL"))
     chosen = small_side(first.select("request_id", "stage", "total"))
     found = (pairs.join(chosen, "request_id").filter(F.col("stages").bitwiseAND(F.expr("shiftleft(1, stage - 1)")) > 0)
-             .drop("stages", "city").withColumn("is_open", F.lit(None).cast("boolean")))
+             .drop("stages").withColumn("is_open", F.lit(None).cast("boolean")))
     # a hit that is listed too keeps its row with points for words
     listed = days.pages().join(small_side(first.filter("stage = scan_stage").select("request_id", "stage", "total")), "request_id")
     listed = listed.join(pairs.select(*PAIR), PAIR, "left_anti").select(
-        *PAIR, "date", F.lit(0).alias("points"), "word_points", F.lit(0).alias("theme_points"), "open_asked", "is_open", "stage", "total")
-    cands = with_stage_flags(found.unionByName(listed).withColumn("capped", F.lit(False)))
+        *PAIR, "city", "date", F.lit(0).alias("points"), "word_points", F.lit(0).alias("theme_points"), "open_asked", "is_open", "stage", "total")
+    # read by the status, the rows with a status and those without
+    cands = cut_lineage(with_stage_flags(found.unionByName(listed).withColumn("capped", F.lit(False))))
     return page(score(cands, status, today), requests)

@@ -49,18 +49,19 @@ def planning_procedures(pages: DataFrame, organisation: str, template: str) -> t
     objs = F.transform(F.coalesce("_e.data", F.array().cast("array<string>")), lambda o: F.struct(
         F.get_json_object(o, "$.type").alias("type"), F.get_json_object(o, "$.id").alias("id"),
         F.from_json(F.get_json_object(o, "$.attributes"), ATTRIBUTES).alias("a")))
-    df = df.withColumn("_o", objs)
-    texts = F.flatten(F.transform("_o", lambda o: F.array(*[F.coalesce(o["a"][f], F.lit("")) for f in TEXT_FIELDS])))
-    df = df.withColumn("_t", html_to_text_array(texts))
-    n = len(TEXT_FIELDS)
-
-    def text(i, field):
-        return F.coalesce(F.get(F.col("_t"), i * n + TEXT_FIELDS.index(field)), F.lit(""))
+    # the texts of an object stay with it, so that each is worked out once
+    read = F.transform(objs, lambda o: F.struct(o["type"].alias("type"), o["id"].alias("id"), o["a"].alias("a"),
+                                                html_to_text_array(F.array(*[F.coalesce(o["a"][f], F.lit("")) for f in TEXT_FIELDS])).alias("t")))
+    df = df.withColumn("_o", read)
 
     def row(o, i):
         a = o["a"]
+
+        def text(field):
+            return F.coalesce(F.get(o["t"], TEXT_FIELDS.index(field)), F.lit(""))
+
         permission = F.coalesce(a["externalPhasePermissionset"], F.lit(""))
-        org, title = text(i, "owningOrganisationName"), text(i, "externalName")
+        org, title = text("owningOrganisationName"), text("externalName")
         visible = permission.isin("", "read", "write")
         mine = F.lit(not organisation) | (norm(org) == norm(F.lit(organisation)))
         taken = visible & mine
@@ -74,9 +75,9 @@ def planning_procedures(pages: DataFrame, organisation: str, template: str) -> t
         return F.struct(
             i.alias("pos"), taken.alias("taken"), error.alias("error"),
             F.replace(F.lit(template), F.lit("{id}"), F.coalesce(o["id"], F.lit(""))).alias("id"), title.alias("title"),
-            phase_label(text(i, "externalPhaseDefinitionName"), text(i, "externalPhaseTranslationKey")).alias("phase"),
+            phase_label(text("externalPhaseDefinitionName"), text("externalPhaseTranslationKey")).alias("phase"),
             period_day(a["externalStartDate"]).alias("begin"), period_day(a["externalEndDate"]).alias("end"),
-            text(i, "externalDescription").alias("description"), org.alias("organisation"), permission.alias("permission"))
+            text("externalDescription").alias("description"), org.alias("organisation"), permission.alias("permission"))
 
     df = df.withColumn("_r", F.transform("_o", row))
     row_error = F.element_at(F.concat(F.filter(F.transform("_r", lambda r: r["error"]), lambda e: e.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
