@@ -97,3 +97,14 @@ def test_against_sql(spark):
 def test_numbers_in_planes():
     ids = np.array([0, 1, 255, 256, 70_000, 2 ** 31], np.int64)
     assert phrases.unpacked(phrases.packed(ids)).tolist() == ids.tolist()
+    assert phrases.unpacked(phrases.packed(ids * 1000, 6), 6).tolist() == (ids * 1000).tolist() and phrases.unpacked(b"").tolist() == []
+
+
+def test_every_run_lies_in_one_range():
+    f = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64) * np.uint64(2))
+    f[0], f[-1] = 0, np.uint64((1 << 64) - 1)
+    for parts in (1, 7, 300):
+        rows = phrases._rows(9, 2, parts, f, np.arange(5000), np.ones(5000, np.int64))
+        assert [r[0] for r in rows] == sorted({r[0] for r in rows}) and 0 <= rows[0][0] and rows[-1][0] < parts
+        assert np.concatenate([phrases.unpacked(r[4]) for r in rows]).tolist() == list(range(5000))
+        assert np.concatenate([phrases.unpacked(r[3], 6) for r in rows]).tolist() == (f >> np.uint64(16)).tolist()

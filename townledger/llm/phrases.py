@@ -3,7 +3,8 @@
 1. Texts are cut into words once and stored as chunks of about CHUNK words of one language: the chunk's own words and their
    numbers, with a mark between pieces.
 2. Prefix polynomials give the fingerprint of every run of one or two words. Inside a chunk runs of one fingerprint are compared by
-   their words. Per distinct run one row goes through the shuffle: fingerprint, count, and a pointer to an occurrence (chunk, place).
+   their words. Fingerprints are dealt into ranges; per distinct run its fingerprint, count and a pointer to an occurrence (chunk,
+   place) go to the range's task, those of a chunk and range together as one row.
 3. Pointers of fingerprints that are frequent in all go back to their chunks. There runs of three and four words are counted alike, if all
    pairs of words in them are frequent; a run cannot occur more often than a part of it.
 4. Chunks turn the pointers of frequent fingerprints into text. Counts are summed by text, so phrases that share a fingerprint come apart.
@@ -26,6 +27,8 @@ from .shingles import window_hashes
 LONGEST = 4
 LEAST = 30
 CHUNK = 1_000_000
+# Words per range of fingerprints; a task counts one range.
+RANGE = 1_000_000
 TOP = 2000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # A byte that UTF-8 never holds marks the end of a piece.
@@ -49,13 +52,15 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(_CUT).replace(MARK, b" \xff ").split() if text else []
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """Numbers as four planes of bytes, which compress well."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def packed(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers as planes of bytes, low ones first; planes of small or sorted numbers compress well."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<i8").ravel()
 
 
 def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = CHUNK) -> DataFrame:
@@ -119,78 +124,98 @@ def distinct_runs(ids: np.ndarray, fp: np.ndarray, at: np.ndarray, k: int) -> tu
     return f[starts], at[starts], np.diff(np.append(starts, len(at)))
 
 
-_POINTERS = "fp long, k byte, count int, chunk long, place int"
+_RUNS = "part int, k int, chunk long, fps binary, places binary, counts binary"
+_PLACES = "chunk long, k int, places binary, counts binary"
 
 
-def _pointers(chunk: int, k: int, ids: np.ndarray, fp: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    f, place, count = distinct_runs(ids, fp, at, k)
-    return pd.DataFrame({"fp": f.view(np.int64), "k": np.int8(k), "count": count.astype(np.int32), "chunk": chunk, "place": place.astype(np.int32)})
+def _rows(chunk: int, k: int, parts: int, f: np.ndarray, place: np.ndarray, count: np.ndarray) -> list[tuple]:
+    """One row per range of fingerprints: the runs of a chunk in the range, as planes of bytes. Of a fingerprint 48 bits are kept."""
+    part = (((f >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+    return [(int(part[lo]), k, chunk, packed(f[lo:hi] >> np.uint64(16), 6), packed(place[lo:hi]), packed(count[lo:hi])) for lo, hi in zip(edges[:-1], edges[1:])]
 
 
-def _short_runs(all_chunks: DataFrame) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")])
+
+
+def _short_runs(all_chunks: DataFrame, parts: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
             for chunk, lang, words, data in zip(pdf["chunk"].tolist(), pdf["lang"], pdf["words"], pdf["ids"]):
                 ids = unpacked(data)
                 for k in (1, 2):
                     fp, inside = run_fingerprints(ids, words, lang, k)
-                    yield _pointers(chunk, k, ids, fp, np.flatnonzero(inside))
+                    yield _frame(_rows(chunk, k, parts, *distinct_runs(ids, fp, np.flatnonzero(inside), k)), _RUNS)
+
+    return all_chunks.select("chunk", "lang", "words", "ids").mapInPandas(run, _RUNS)
 
-    return all_chunks.select("chunk", "lang", "words", "ids").mapInPandas(run, _POINTERS)
 
+def _frequent(runs: DataFrame, least: int) -> DataFrame:
+    """Places per chunk of the runs whose fingerprint occurs ``least`` times in all. A range of fingerprints holds about RANGE runs."""
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for k, mine in pdf.groupby("k"):
+            fps, places, counts = (np.concatenate([unpacked(x, n) for x in mine[c]]) for c, n in (("fps", 6), ("places", 4), ("counts", 4)))
+            owner = np.repeat(np.arange(len(mine)), [len(x) // 4 for x in mine["places"]])
+            _, which = np.unique(fps, return_inverse=True)
+            often = np.flatnonzero(np.bincount(which, weights=counts)[which] >= least)
+            edges = np.searchsorted(owner[often], np.arange(len(mine) + 1))
+            for chunk, lo, hi in zip(mine["chunk"].tolist(), edges[:-1], edges[1:]):
+                if lo < hi:
+                    out.append((chunk, int(k), packed(places[often[lo:hi]]), packed(counts[often[lo:hi]])))
+        return _frame(out, _PLACES)
 
-def _frequent(pointers: DataFrame, least: int) -> DataFrame:
-    """Pointers whose fingerprint occurs ``least`` times in all; a fingerprint has one pointer a chunk."""
-    total = F.sum("count").over(Window.partitionBy("fp"))
-    return pointers.withColumn("total", total).filter(F.col("total") >= least).drop("total")
+    return runs.groupBy("part").applyInPandas(pick, _PLACES)
 
 
-def _long_runs(all_chunks: DataFrame, short: DataFrame) -> DataFrame:
-    """Pointers of runs of three and more words whose pairs of words are all frequent."""
+def _long_runs(all_chunks: DataFrame, short: DataFrame, parts: int) -> DataFrame:
+    """Runs of three and more words whose pairs of words are all frequent."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("fp", "k", "count", "chunk", "place")})]
+        out = []
         for chunk, lang, words, data in zip(left["chunk"].tolist(), left["lang"], left["words"], left["ids"]):
             ids = unpacked(data)
             fp, inside = run_fingerprints(ids, words, lang, 2)
-            known = np.unique(fp[right["place"].to_numpy()])
+            known = np.unique(fp[np.concatenate([np.zeros(0, np.int64), *map(unpacked, right["places"])])])
             pair = inside & np.isin(fp, known)
             for k in range(3, LONGEST + 1):
                 fp, _ = run_fingerprints(ids, words, lang, k)
                 ok = np.logical_and.reduce([pair[j:j + len(fp)] for j in range(k - 1)])
-                out.append(_pointers(chunk, k, ids, fp, np.flatnonzero(ok)))
-        return pd.concat(out)
+                out += _rows(chunk, k, parts, *distinct_runs(ids, fp, np.flatnonzero(ok), k))
+        return _frame(out, _RUNS)
 
-    pairs = short.filter("k = 2").select("chunk", "place")
-    return all_chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInPandas(run, _POINTERS)
+    pairs = short.filter("k = 2").select("chunk", "places")
+    return all_chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInPandas(run, _RUNS)
 
 
-def _texts(all_chunks: DataFrame, pointers: DataFrame) -> DataFrame:
+def _texts(all_chunks: DataFrame, places: DataFrame) -> DataFrame:
     """(lang, phrase, k, count): what the pointers point to."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         langs, texts, sizes, counts = [], [], [], []
         for lang, words, data in zip(left["lang"], left["words"], left["ids"]):
             ids, names = unpacked(data), [None, *words.decode().split(" ")]
-            for k, part in right.groupby("k"):
-                at = part["place"].to_numpy()
-                columns = [[names[i] for i in ids[at + j].tolist()] for j in range(k)]
-                texts += map(" ".join, zip(*columns))
+            for k, where, count in zip(right["k"].tolist(), right["places"], right["counts"]):
+                at = unpacked(where)
+                texts += map(" ".join, zip(*([names[i] for i in ids[at + j].tolist()] for j in range(k))))
                 sizes += [k] * len(at)
-                counts += part["count"].tolist()
+                counts += unpacked(count).tolist()
             langs += [lang] * (len(texts) - len(langs))
         return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "phrase": pd.Series(texts, dtype=object), "k": sizes, "count": counts})
 
-    return (all_chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(pointers.select("chunk", "k", "place", "count").groupBy("chunk"))
+    return (all_chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(places.groupBy("chunk"))
             .applyInPandas(run, "lang string, phrase string, k int, count long"))
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f) of all runs of one to four words that occur ``least`` times, (lang, n) number of words)."""
     all_chunks = chunks(docs, lang_col, text_col, size)
-    short = stored(_frequent(_short_runs(all_chunks), least), "short")
-    long = _frequent(_long_runs(all_chunks, short), least)
+    words = all_chunks.groupBy("lang").agg(F.sum("n").alias("n"))
+    parts = (words.agg(F.sum("n")).first()[0] or 0) // RANGE + 1
+    short = stored(_frequent(_short_runs(all_chunks, parts), least), "short")
+    long = _frequent(_long_runs(all_chunks, short, parts), least)
     texts = _texts(all_chunks, short.unionByName(long))
     found = stored(texts.groupBy("lang", "phrase", "k").agg(F.sum("count").alias("f")).filter(F.col("f") >= least), "phrases")
-    return found, all_chunks.groupBy("lang").agg(F.sum("n").alias("n"))
+    return found, words
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, size: int = CHUNK) -> DataFrame:
