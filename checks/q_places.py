@@ -38,13 +38,13 @@ def district_rollup(t):
     return B.places(t).filter("type = 'bezirk'").groupBy("key", "provenance").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("committee_places", with_ctes("text_norms", "phrases", "capital_words", "number_hits", body="""SELECT DISTINCT t.id, p.key FROM text_norms t JOIN phrases p ON p.type = 'bezirk' AND contains(t.n, ' ' || p.phrase || ' ')
-  WHERE t.provenance = 'beschreibung' AND (length(p.phrase) > 4 OR EXISTS (SELECT 1 FROM capital_words c WHERE c.id = t.id AND c.provenance = t.provenance AND c.phrase = p.phrase))
-  UNION SELECT id, key FROM number_hits WHERE type = 'bezirk' AND provenance = 'beschreibung'"""))
+@query("committee_places", with_ctes("text_norms", "phrases", "capital_words", "number_hits", body="""SELECT DISTINCT t.id, p.key, t.provenance FROM text_norms t JOIN phrases p ON p.type = 'bezirk' AND contains(t.n, ' ' || p.phrase || ' ')
+  WHERE (length(p.phrase) > 4 OR EXISTS (SELECT 1 FROM capital_words c WHERE c.id = t.id AND c.provenance = t.provenance AND c.phrase = p.phrase))
+  UNION SELECT id, key, provenance FROM number_hits WHERE type = 'bezirk'"""))
 def committee_places(t):
     """District-only reading, as for committee names."""
-    texts = B.record_texts(t).filter("provenance = 'beschreibung'").withColumn("districts_only", F.lit(True))
-    return P.match_places(texts, B.dims(t)).select("id", "key")
+    texts = B.record_texts(t).withColumn("districts_only", F.lit(True))
+    return P.match_places(texts, B.dims(t)).select("id", "key", "provenance")
 
 
 @query("structured_places", with_ctes("postcodes", "quarters", body="""SELECT DISTINCT CAST(page_id AS VARCHAR) AS id, 'plz' AS type, plz AS key FROM pages JOIN postcodes ON plz = CAST(50000 + page_id % 60 AS VARCHAR)
@@ -167,10 +167,12 @@ def register_lines(t):
 
 
 @query("postcode_quarters", f"""SELECT plz, suburb AS quarter, n FROM (SELECT plz, suburb, CAST(sum(n) AS BIGINT) AS n, sum(n) / sum(sum(n)) OVER (PARTITION BY plz) AS share FROM
-  (SELECT DISTINCT name, plz FROM ({CLASSED}) WHERE reason IS NULL) p JOIN (SELECT name, suburb, count(*) AS n FROM ({CLASSED}) WHERE reason IS NULL AND suburb < 'Brand#18' GROUP BY 1, 2) q USING (name) GROUP BY plz, suburb) WHERE n >= 3 AND share >= 0.1""")
+  (SELECT DISTINCT name, plz FROM ({CLASSED}) WHERE reason IS NULL) p JOIN (SELECT name, left(suburb, 7) AS suburb, count(*) AS n FROM ({CLASSED}) WHERE reason IS NULL GROUP BY 1, 2) q USING (name) GROUP BY plz, suburb) WHERE n >= 3 AND share >= 0.1""")
 def postcode_quarters(t):
+    """Brands with the same first digit are one quarter."""
     pq, pp, _ = R.register_counts(classified(t))
-    return R.postcode_quarters(pq.filter("quarter < 'Brand#18'"), pp).select("plz", "quarter", "n")
+    pq = pq.groupBy("name", F.substring("quarter", 1, 7).alias("quarter")).agg(F.sum("n").alias("n"))
+    return R.postcode_quarters(pq, pp).select("plz", "quarter", "n")
 
 
 @query("hierarchy_majority", """SELECT CAST(d * 100 + row_number() OVER (PARTITION BY d ORDER BY replace(lower(name), '#', ' '), name) AS VARCHAR) AS nr, name, CAST(d AS VARCHAR) AS district FROM

@@ -185,12 +185,12 @@ def active_cities(t):
 
 @query("city_overview", with_ctes("quarters", "districts", "postcodes", "records", body="""SELECT city, position, name, is_default, on_demand, state, stock, level, n_quarters, n_postcodes, example_postcode FROM (
   SELECT row_number() OVER (ORDER BY r_regionkey > 0, r_name) AS position, 'stadt' || CASE WHEN r_regionkey > 0 THEN CAST(r_regionkey AS VARCHAR) ELSE '' END AS city, CASE WHEN r_regionkey = 0 THEN 'Stadt' ELSE r_name END AS name, r_regionkey = 0 AS is_default, r_regionkey > 0 AS on_demand,
-  CASE WHEN r_regionkey = 0 THEN 'aktiv' WHEN r_regionkey <= 2 THEN 'laedt' ELSE 'ruht' END AS state, CASE WHEN r_regionkey = 0 THEN (SELECT count(*) FROM records) ELSE 0 END AS stock, CASE WHEN r_regionkey = 0 THEN 'voll' ELSE 'keine' END AS level,
+  CASE WHEN r_regionkey = 0 THEN 'aktiv' WHEN (SELECT max(ts) FROM events WHERE user_id % 3 + 1 = r_regionkey) >= TIMESTAMP '2024-01-17 00:00:00' THEN 'laedt' ELSE 'ruht' END AS state, CASE WHEN r_regionkey = 0 THEN (SELECT count(*) FROM records) ELSE 0 END AS stock, CASE WHEN r_regionkey = 0 THEN 'voll' ELSE 'keine' END AS level,
   CASE WHEN r_regionkey = 0 THEN (SELECT count(*) FROM quarters) ELSE 0 END AS n_quarters, CASE WHEN r_regionkey = 0 THEN (SELECT count(DISTINCT plz) FROM postcodes) ELSE 0 END AS n_postcodes, CASE WHEN r_regionkey = 0 THEN (SELECT min(plz) FROM postcodes) ELSE '' END AS example_postcode FROM region)"""))
 def city_overview(t):
     d = B.dims(t)
     src = B.sources(t).withColumn("last_success", F.lit("x"))
-    dem = t("events").filter("user_id between 1 and 2").groupBy((F.concat(F.lit("stadt"), F.col("user_id"))).alias("city")).agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n"))
+    dem = R.demand(t("events").select(F.concat(F.lit("stadt"), F.col("user_id") % 3 + 1).alias("city"), F.col("ts").alias("at")))
     out = R.city_overview(d, src, B.all_records(t), dem, "2024-01-31 00:00:00", B.CITY, days=14, maximum=3)
     return out.select("city", F.col("position").cast("long").alias("position"), "name", "is_default", "on_demand", "state", "stock", "level", "n_quarters", "n_postcodes", "example_postcode")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c, blank
+from .text import _c, blank, let
 
 ZONE = "Europe/Berlin"
 ISO_SHAPE = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?"
@@ -25,13 +25,18 @@ def date_de(col) -> Column:
 
 def parse_date(col) -> Column:
     """Leading ISO day, else the first German date, else blank."""
-    c = blank(col)
-    iso = F.regexp_extract(F.trim(c), r"^(\d{4}-\d{2}-\d{2})", 1)
-    german = r"(?<![\p{L}\p{N}_])(\d{1,2})\.(\d{1,2})\.(\d{4})(?![\p{L}\p{N}_])"
-    day, month, year = (F.regexp_extract(c, german, i) for i in (1, 2, 3))
-    return (F.when(iso != "", iso)
-            .when(year != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
-            .otherwise(""))
+    german = r"(?<![\p{L}\p{N}_])(\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}_])"
+
+    def first_german(c: Column) -> Column:
+        # the day as written, its parts in turn; no date gives one empty part
+        day = let(F.split(F.regexp_extract(c, german, 1), r"\."), lambda d: F.when(F.size(d) < 3, "").otherwise(
+            F.concat_ws("-", F.get(d, 2), F.lpad(F.get(d, 1), 2, "0"), F.lpad(F.get(d, 0), 2, "0"))))
+        return F.when(F.contains(c, F.lit(".")), day).otherwise("")
+
+    def read(c: Column) -> Column:
+        return let(F.regexp_extract(F.trim(c), r"^(\d{4}-\d{2}-\d{2})", 1), lambda iso: F.when(iso != "", iso).otherwise(first_german(c)))
+
+    return let(blank(col), read)
 
 
 def moment(col, end: bool = False) -> Column:

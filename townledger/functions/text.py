@@ -26,6 +26,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that it uses several times and that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 @lru_cache(maxsize=1)
 def _compatibility_tables() -> tuple[str, str, str, dict[str, str]]:
     """Tables from the Unicode rule NFKD minus combining marks, for characters that end in 0-9a-z.
