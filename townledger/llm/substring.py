@@ -1,13 +1,13 @@
-"""Recurring passages: found by window hashes, compiled into sharded Aho-Corasick automata, located in all documents.
+"""Recurring passages: confirmed by window counts, compiled into sharded Aho-Corasick automata, located in all documents.
 
 1. Every window has an anchor, its least run of 16 words by hash. Anchors of all documents are counted; a window can recur only
    if its anchor does.
-2. Such windows are counted by a 64-bit hash; a recurring one gets one home document.
-3. The anchors of recurring windows are the phrases of the automata, sharded by their hash; a phrase knows the recurring
-   windows around it.
-4. All documents stream by; where windows around an anchor may recur, their words go to the anchor's shard, whose automaton
-   finds the phrases; the windows around them that recur are marked. A window of another text with the same 64-bit hash and
-   anchor phrase would be needed for a wrong hit.
+2. Such windows are counted by a 128-bit hash; a recurring one gets one home document.
+3. Around the anchors of recurring windows the home documents give pieces of text, the phrases: the anchor's words are compiled into
+   the automaton of a shard, dealt by the anchor's hash; the piece keeps the windows that recur.
+4. All documents stream by; where windows may recur, the piece around their anchor goes to the anchor's shard. The automaton finds
+   the phrases in it, and windows around a found phrase are compared word by word with the home's window.
+An anchor with more pieces than its share goes to several shards, and so do its phrases.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut_lineage, flag_ids, id_filter, stored
+from .common import SPACE, cut_lineage, flag_ids, id_filter, stored
 from .shingles import window_hashes, word_hashes
 
 WINDOW = 35
@@ -28,6 +28,9 @@ GRAM = 16
 # Bits of an anchor filter: sixteen per anchor, at most 2^27 (16 MB) whatever the input; a full filter only lets more windows be counted.
 MAX_FILTER = 27
 PHRASES_PER_SHARD = 20_000
+# Characters of text worked on in one go, and parts of a shard's share from which an anchor is dealt to several shards.
+SLICE = 2_000_000
+SHARE = 4
 
 
 def split(text: str | None) -> list[str]:
@@ -35,10 +38,6 @@ def split(text: str | None) -> list[str]:
     return [w.decode() for w in text.encode().split()] if text else []
 
 
-def _hashes(text: str | None) -> np.ndarray:
-    return word_hashes(text.encode().split()) if text else np.zeros(0, np.uint64)
-
-
 def _gram(window: int) -> int:
     return max(1, min(GRAM, window // 2))
 
@@ -51,15 +50,56 @@ def sliding(best, a: np.ndarray, width: int) -> np.ndarray:
     return best(a[:n], a[width - size:width - size + n])
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all grams, the anchor of every window, and the places of grams that are the anchor of some window."""
-    gram = _gram(window)
-    if len(h) < window:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
-    g, width = window_hashes(h, gram), window - gram + 1
-    least = sliding(np.minimum, g, width)
-    edge = np.zeros(width - 1, np.uint64)
-    return g, least, np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), width) == g)
+class Texts:
+    """Some whole texts as one run of words; windows that reach into the next text are not ``valid``."""
+
+    def __init__(self, texts: list[str | None], window: int):
+        self.words, self.window, self.gram = [], window, _gram(window)
+        size = []
+        for t in texts:
+            found = t.encode().split() if t else []
+            self.words += found
+            size.append(len(found))
+        self.start = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
+        self.of = np.repeat(np.arange(len(texts)), size)
+        self.h = word_hashes(self.words)
+        n = max(0, len(self.h) - window + 1)
+        self.valid = self.of[:n] == self.of[window - 1:]
+
+    def anchors(self) -> None:
+        """Hashes of all runs of ``gram`` words, the anchor of every window, and the places that are the anchor of some window."""
+        if not len(self.valid):
+            self.g = self.least = np.zeros(0, np.uint64)
+            self.places = np.zeros(0, np.int64)
+            return
+        width = self.window - self.gram + 1
+        self.g = window_hashes(self.h, self.gram)
+        self.least = sliding(np.minimum, self.g, width)
+        edge = np.zeros(width - 1, np.uint64)
+        best = np.concatenate([edge, np.where(self.valid, self.least, np.uint64(0)), edge])
+        self.places = np.flatnonzero((sliding(np.maximum, best, width) == self.g) & (self.g > 0))
+
+    def windows(self, salt: int = 1) -> np.ndarray:
+        return window_hashes(self.h, self.window, salt)
+
+    def pieces(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(anchor places, first and last window, index of the first one in ``pos``, text) of the pieces around the anchors of the windows ``pos``."""
+        k = np.searchsorted(self.places, pos)
+        while len(off := np.flatnonzero(self.g[self.places[k]] != self.least[pos])):
+            k[off] += 1
+        p, first = np.unique(self.places[k], return_index=True)
+        lo, hi = pos[first], pos[np.append(first[1:], len(pos)) - 1]
+        return p, lo, hi, first, [b" ".join(self.words[a:b]).decode() for a, b in zip(lo.tolist(), (hi + self.window).tolist())]
+
+
+def slices(pdf: pd.DataFrame, window: int) -> Iterator[tuple[Texts, np.ndarray]]:
+    """The texts of a batch in slices of about SLICE characters, with the places of their rows."""
+    texts = pdf["text"].tolist()
+    if not texts:
+        return
+    size = np.cumsum([len(t) if t else 0 for t in texts]) // SLICE
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1):
+        yield Texts([texts[i] for i in part], window), part
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,166 +127,201 @@ def _inside(filter_: tuple[int, bytes], h: np.ndarray) -> np.ndarray:
 
 
 def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
+    """(h, n) of the anchors that occur n times, twice at least."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            found = [np.zeros(0, np.uint64)]
-            for t in pdf["text"]:
-                g, _, places = anchors(_hashes(t), window)
-                found.append(g[places])
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+            for t, _ in slices(pdf, window):
+                t.anchors()
+                h, n = np.unique(t.g[t.places], return_counts=True)
+                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
 
-    return rows.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    return rows.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
 def _candidates(rows: DataFrame, share, window: int) -> DataFrame:
-    """(w, key) of the windows whose anchor recurs: hash of the window, key of the document."""
+    """(w, w2, key) of the windows whose anchor recurs: both hashes of the window, key of the document."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for key, t in zip(pdf["key"], pdf["text"]):
-                h = _hashes(t)
-                _, least, _ = anchors(h, window)
-                pos = np.flatnonzero(_inside(share.value, least))
+            for t, at in slices(pdf, window):
+                t.anchors()
+                pos = np.flatnonzero(t.valid & _inside(share.value, t.least))
                 if len(pos):
-                    out.append((window_hashes(h, window, 1)[pos], np.full(len(pos), key, np.int64)))
-            if out:
-                w, key = (np.concatenate(x) for x in zip(*out))
-                yield pd.DataFrame({"w": w.view(np.int64), "key": key})
+                    key = pdf["key"].to_numpy()[at][t.of[pos]]
+                    yield pd.DataFrame({"w": t.windows()[pos].view(np.int64), "w2": t.windows(2)[pos].view(np.int64), "key": key})
+
+    return rows.select("key", "text").mapInPandas(run, "w long, w2 long, key long")
 
-    return rows.select("key", "text").mapInPandas(run, "w long, key long")
 
+_PIECE = "g long, salt int, key long, key2 int, start int, context string, place int, windows array<int>"
 
-def _phrases(rows: DataFrame, homes: DataFrame, window: int) -> DataFrame:
-    """(g, context, windows): phrases with the hashes of the recurring windows around them, from the home documents' texts."""
-    gram = _gram(window)
 
+def _spread(hot, g: np.ndarray) -> np.ndarray:
+    """Number of shards that each anchor is dealt to."""
+    known, parts = (np.frombuffer(x, np.int64) for x in hot)
+    at = np.searchsorted(known, g)
+    at[at == len(known)] = 0
+    return np.where(known[at] == g, parts[at], 1) if len(known) else np.ones(len(g), np.int64)
+
+
+def _phrases(rows: DataFrame, homes: DataFrame, hot, window: int) -> DataFrame:
+    """Pieces of the home documents around the recurring windows; ``windows`` are the places of these in the piece, ``place`` that of the phrase."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for t, wanted in zip(pdf["text"], pdf["wanted"]):
-                words, h = split(t), _hashes(t)
-                g, least, places = anchors(h, window)
-                w = window_hashes(h, window, 1)
-                pos = np.flatnonzero(np.isin(w, np.asarray(wanted, np.int64).view(np.uint64)))
+            for t, at in slices(pdf, window):
+                t.anchors()
+                wanted = [np.asarray(x, np.int64) for x in pdf["wanted"].iloc[at]]
+                w, owner = np.concatenate(wanted), np.repeat(np.arange(len(wanted)), [len(x) for x in wanted])
+                order = np.argsort(w, kind="stable")
+                w, owner = w[order], owner[order]
+                mine = t.windows().view(np.int64)
+                here = np.searchsorted(w, mine)
+                # a hash may be wanted by two documents of the batch, for different windows
+                ok = np.zeros(len(mine), bool)
+                for step in (0, 1):
+                    x = np.minimum(here + step, len(w) - 1)
+                    ok |= (w[x] == mine) & (owner[x] == t.of[:len(mine)])
+                pos = np.flatnonzero(ok & t.valid)
                 if not len(pos):
                     continue
-                order = pos[np.argsort(least[pos], kind="stable")]
-                at = dict(zip(g[places].tolist()[::-1], places.tolist()[::-1]))  # first place of each anchor
-                for part in np.split(order, np.flatnonzero(np.diff(least[order])) + 1):
-                    p = at[int(least[part[0]])]
-                    out.append((int(least[part[0]].view(np.int64)), " ".join(words[p:p + gram]), w[part].view(np.int64)))
-            yield pd.DataFrame(out, columns=["g", "context", "windows"])
+                p, lo, _, first, texts = t.pieces(pos)
+                g = t.g[p].view(np.int64)
+                out = []
+                for x, a, place, text, inner, n in zip(g.tolist(), lo.tolist(), p.tolist(), texts, np.split(pos, first[1:]), _spread(hot.value, g).tolist()):
+                    out += [(x, salt, 0, 0, 0, text, place - a, (inner - a).astype(np.int32)) for salt in range(n)]
+                yield pd.DataFrame(out, columns=["g", "salt", "key", "key2", "start", "context", "place", "windows"])
 
     texts = flag_ids(rows, id_filter(homes, F.col("key")), F.col("key")).filter("_maybe").select("key", "text")
     lists = homes.groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    return texts.join(lists, "key").select("text", "wanted").mapInPandas(run, "g long, context string, windows array<long>")
+    return texts.join(lists, "key").select("text", "wanted").mapInPandas(run, _PIECE)
 
 
 def _segments(rows: DataFrame, share, window: int) -> DataFrame:
-    """(g, key, key2, start, context): per anchor the words of its windows that may recur; share holds the filters of anchors and windows."""
+    """Pieces around the anchors of windows that may recur; share holds the filters of anchors and windows and the spread of hot anchors."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_anchors, of_windows = share.value
+        of_anchors, of_windows, hot = share.value
         for pdf in parts:
-            out = []
-            for i, t in enumerate(pdf["text"]):
-                h = _hashes(t)
-                g, least, places = anchors(h, window)
-                pos = np.flatnonzero(_inside(of_anchors, least))
-                pos = pos[_inside(of_windows, window_hashes(h, window, 1)[pos])]
-                if not len(pos):
-                    continue
-                k = np.searchsorted(places, pos)
-                while len(off := np.flatnonzero(g[places[k]] != least[pos])):
-                    k[off] += 1
-                words = split(t)
-                p, first = np.unique(places[k], return_index=True)
-                last = np.append(first[1:], len(pos)) - 1
-                for x, a, b in zip(g[p].view(np.int64).tolist(), pos[first].tolist(), pos[last].tolist()):
-                    out.append((x, i, a, " ".join(words[a:b + window])))
-            if out:
-                x, row, lo, context = zip(*out)
-                row = list(row)
-                yield pd.DataFrame({"g": x, "key": pdf["key"].to_numpy()[row], "key2": pdf["key2"].to_numpy()[row], "start": lo, "context": context})
-
-    return rows.select("key", "key2", "text").mapInPandas(run, "g long, key long, key2 int, start int, context string")
+            for t, at in slices(pdf, window):
+                t.anchors()
+                pos = np.flatnonzero(t.valid & _inside(of_anchors, t.least))
+                pos = pos[_inside(of_windows, t.windows()[pos])]
+                if len(pos):
+                    p, lo, _, _, texts = t.pieces(pos)
+                    doc, g = t.of[lo], t.g[p].view(np.int64)
+                    key = pdf["key"].to_numpy()[at][doc]
+                    salt = (key.view(np.uint64) >> np.uint64(17)) % _spread(hot, g).astype(np.uint64)
+                    yield pd.DataFrame({"g": g, "salt": salt.astype(np.int32), "key": key, "key2": pdf["key2"].to_numpy()[at][doc], "start": (lo - t.start[doc]).astype(np.int32),
+                                        "context": texts, "place": np.int32(0), "windows": None})
+
+    return rows.select("key", "key2", "text").mapInPandas(run, _PIECE)
 
 
 class Shard:
-    """Automaton over the phrases of one shard; every phrase knows the recurring windows around it."""
+    """Automaton over the phrases of one shard, with the recurring windows around them as their words' hashes."""
 
     def __init__(self, window: int):
         self.window, self.gram = window, _gram(window)
-        self.windows: dict[str, set[int]] = {}
-        self.automaton = None
-
-    def add(self, phrase: str, windows) -> None:
+        self.numbers: dict[str, int] = {}
+        self.lists: list[tuple[np.ndarray, ...]] = []
+        self.size, self.automaton = 0, None
+
+    def add(self, context: str, place: int, windows: np.ndarray) -> None:
+        """A piece with its phrase at word ``place`` and recurring windows at the words ``windows``."""
+        words = context.split(" ")
+        number = self.numbers.setdefault(f" {' '.join(words[place:place + self.gram])} ", len(self.numbers))
+        h = word_hashes([w.encode() for w in words])
+        self.lists.append((h, window_hashes(h, self.window, 1)[windows], np.full(len(windows), number), windows.astype(np.int64) + self.size))
+        self.size += len(h)
         self.automaton = None
-        self.windows.setdefault(f" {phrase} ", set()).update(windows)
 
-    def _compiled(self):
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            for phrase, known in self.windows.items():
-                self.automaton.add_word(phrase, (len(phrase), known))
-            self.automaton.make_automaton()
-        return self.automaton
-
-    def locate(self, contexts: list[str]) -> Iterator[tuple[int, int, int]]:
+    def _compile(self) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for phrase, number in self.numbers.items():
+            self.automaton.add_word(phrase, (len(phrase), number))
+        self.automaton.make_automaton()
+        self.words, hashes, number, at = (np.concatenate(x) for x in zip(*self.lists))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.number, self.at = hashes[order], number[order], at[order]
+        self.lists = [(self.words, hashes, number, at)]
+
+    def locate(self, contexts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece, start, stop): spans of words covered by recurring windows around the phrases in pieces of text."""
-        if not self.windows or not contexts:
-            return
-        automaton, side = self._compiled(), self.window - self.gram
-        # windows of all pieces in one go; those across a border are never asked for
-        words = [c.encode().split(b" ") for c in contexts]
-        hashes = window_hashes(word_hashes([w for x in words for w in x]), self.window, 1).view(np.int64).tolist()
-        base = 0
-        for i, text in enumerate(contexts):
-            text, n, spans = f" {text} ", len(words[i]), []
-            for end, (size, known) in automaton.iter(text):
-                s = text.count(" ", 0, end - size + 2) - 1
-                for x in range(max(0, s - side), min(s, n - self.window) + 1):
-                    if hashes[base + x] in known:
-                        if spans and spans[-1][0] <= x <= spans[-1][1]:
-                            spans[-1] = (spans[-1][0], max(spans[-1][1], x + self.window))
-                        else:
-                            spans.append((x, x + self.window))
-            yield from ((i, a, b) for a, b in spans)
-            base += n
-
-
-def _locate(phrases: DataFrame, segments: DataFrame, window: int) -> DataFrame:
+        none = (np.zeros(0, np.int64),) * 3
+        if not self.numbers or not contexts:
+            return none
+        if self.automaton is None:
+            self._compile()
+        joined = "\n".join(f" {c} " for c in contexts)
+        found = list(self.automaton.iter(joined))
+        if not found:
+            return none
+        t = Texts(contexts, self.window)
+        h = t.windows()
+        near = np.searchsorted(self.hashes, h)
+        near[near == len(self.hashes)] = 0
+        x = np.flatnonzero((self.hashes[near] == h) & t.valid)
+        entry = near[x]
+        # places of the phrases found, as words
+        letters = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        blank = (letters == 32) | (letters == 10)
+        word = np.cumsum(blank[:-1] & ~blank[1:])
+        end, what = zip(*found)
+        size, number = (np.array(v) for v in zip(*what))
+        n = len(t.h) + 1
+        hits = np.sort(number * n + word[np.array(end) - size + 1] - 1)
+        # the window's own phrase must lie in it
+        asked = self.number[entry] * n + x
+        at = np.searchsorted(hits, asked)
+        ok = at < len(hits)
+        ok[ok] = hits[at[ok]] <= asked[ok] + self.window - self.gram
+        x, entry = x[ok], entry[ok]
+        same = np.ones(len(x), bool)
+        for k in range(self.window):
+            same &= t.h[x + k] == self.words[self.at[entry] + k]
+        x = x[same]
+        if not len(x):
+            return none
+        # windows one after another that overlap are one span
+        new = np.append(True, (t.of[x[1:]] != t.of[x[:-1]]) | (x[1:] > x[:-1] + self.window))
+        first, last = x[new], x[np.append(np.flatnonzero(new)[1:], len(x)) - 1]
+        piece = t.of[first]
+        return piece, first - t.start[piece], last + self.window - t.start[piece]
+
+
+def _locate(phrases: DataFrame, segments: DataFrame, shards: int, window: int) -> DataFrame:
     """(key, key2, start, stop): shards get their phrases first, then the segments stream by; nothing else is kept in memory."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = Shard(window)
         for pdf in parts:
-            for phrase, windows in zip(pdf["context"], pdf["windows"]):
-                if windows is None:
-                    break  # from here on segments only
-                shard.add(phrase, np.asarray(windows).tolist())
-            pdf = pdf[pdf["windows"].isna()]
-            found = list(shard.locate(pdf["context"].tolist()))
-            if found:
-                row, start, stop = (np.array(x) for x in zip(*found))
+            segment = pdf["windows"].isna().to_numpy()
+            for context, place, windows in zip(*(pdf[c][~segment] for c in ("context", "place", "windows"))):
+                shard.add(context, place, np.asarray(windows))
+            pdf = pdf[segment]
+            row, start, stop = shard.locate(pdf["context"].tolist())
+            if len(row):
                 at = pdf["start"].to_numpy()[row]
                 yield pd.DataFrame({"key": pdf["key"].to_numpy()[row], "key2": pdf["key2"].to_numpy()[row], "start": at + start, "stop": at + stop})
 
-    both = (phrases.select("g", F.lit(0).cast("long").alias("key"), F.lit(0).alias("key2"), F.lit(0).alias("start"), "context", "windows")
-            .unionByName(segments.withColumn("windows", F.lit(None).cast("array<long>"))))
-    shards = max(int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions")), phrases.count() // PHRASES_PER_SHARD + 1)
-    both = both.repartition(shards, "g").sortWithinPartitions(F.col("windows").isNull()).select("key", "key2", "start", "context", "windows")
-    return both.mapInPandas(run, "key long, key2 int, start int, stop int")
+    both = phrases.unionByName(segments).repartition(shards, "g", "salt").sortWithinPartitions(F.col("windows").isNull())
+    return both.select("key", "key2", "start", "context", "place", "windows").mapInPandas(run, "key long, key2 int, start int, stop int")
 
 
 def recurring_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, key2, spans): word spans that recurring windows cover, for the documents that have some."""
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
-    share = spark.sparkContext.broadcast(_bitmap(cut_lineage(_recurring_anchors(rows, window))))
-    homes = stored(_candidates(rows, share, window).groupBy("w").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n > 1").select("w", "key"), "homes")
-    phrases = stored(_phrases(rows, homes, window), "phrases")
-    ours = spark.sparkContext.broadcast((_bitmap(phrases.select(F.col("g").alias("h")).distinct()), _bitmap(homes.select(F.col("w").alias("h")))))
-    found = _locate(phrases, _segments(rows, ours, window), window)
+    anchors = cut_lineage(_recurring_anchors(rows, window))
+    share = spark.sparkContext.broadcast(_bitmap(anchors))
+    counted = _candidates(rows, share, window).groupBy("w", "w2").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    homes = stored(counted.filter("n > 1").select("w", "key"), "homes")
+    total = anchors.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("pieces")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["anchors"] // PHRASES_PER_SHARD + 1)
+    # at most SHARE x shards anchors have more than such a part of all pieces
+    often = anchors.filter(F.col("n") * SHARE * shards > total["pieces"]).orderBy("h").toArrow()
+    parts = -(-often["n"].to_numpy() * SHARE * shards // max(total["pieces"], 1))
+    hot = (often["h"].to_numpy().tobytes(), np.minimum(parts, shards).astype(np.int64).tobytes())
+    phrases = stored(_phrases(rows, homes, spark.sparkContext.broadcast(hot), window), "phrases")
+    ours = spark.sparkContext.broadcast((_bitmap(phrases.select(F.col("g").alias("h")).distinct()), _bitmap(homes.select(F.col("w").alias("h"))), hot))
+    found = _locate(phrases, _segments(rows, ours, window), shards, window)
     return cut_lineage(found.groupBy("key", "key2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
 
 
@@ -260,26 +335,24 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     """
     spans = recurring_spans(docs, window, id_col, text_col)
 
-    @F.pandas_udf("n_removed long, kept_text string")
+    @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for t, found in zip(texts, spans):
-            words = split(t)
-            if found is None:
-                out.append((0, " ".join(words)))
-                continue
+            words = t.encode().split() if t else []
             gone = np.zeros(len(words), bool)
-            for x in found:
+            for x in found if found is not None else ():
                 gone[x["start"]:x["stop"]] = True
-            out.append((int(gone.sum()), " ".join(w for w, g in zip(words, gone) if not g)))
-        return pd.DataFrame(out, columns=["n_removed", "kept_text"])
+            out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
 
     rows = flag_ids(_rows(docs, id_col, text_col), id_filter(spans, F.col("key")), F.col("key"))
-    count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")
-    plain = rows.filter(~F.col("_maybe")).select("doc_id", count, F.lit(0).cast("long").alias("n_removed"),
-                                                 F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")).alias("kept_text"))
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
+    plain = rows.filter(~F.col("_maybe")).select("doc_id", text.alias("kept_text"))
+    blanks = F.length("kept_text") - F.length(F.replace("kept_text", F.lit(" "), F.lit("")))
+    plain = plain.select("doc_id", F.when(F.col("kept_text") == "", 0).otherwise(blanks + 1).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "kept_text")
     hit = rows.filter("_maybe").join(spans, ["key", "key2"], "left")
-    hit = hit.select("doc_id", count, cut("text", "spans").alias("x")).select("doc_id", "n_words", "x.*")
+    hit = hit.select("doc_id", cut("text", "spans").alias("x")).select("doc_id", "x.*")
     return plain.unionByName(hit)
 
 
