@@ -243,6 +243,19 @@ class Shard:
         self.hashes, self.number, self.at = hashes[order], number[order], at[order]
         self.lists = [(self.words, hashes, number, at)]
 
+    def _same_words(self, h: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the windows at ``x`` have the words of the homes' windows at ``at``; runs of windows are compared once."""
+        if not len(x):
+            return np.zeros(0, bool)
+        first = np.flatnonzero(np.append(True, (x[1:] != x[:-1] + 1) | (at[1:] != at[:-1] + 1)))
+        size = np.diff(np.append(first, len(x))) + self.window - 1
+        begin = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(begin, size)
+        other = h[np.repeat(x[first], size) + step] != self.words[np.repeat(at[first], size) + step]
+        before = np.append(0, np.cumsum(other))
+        place = np.arange(len(x)) - np.repeat(first, size - self.window + 1) + np.repeat(begin, size - self.window + 1)
+        return before[place + self.window] == before[place]
+
     def locate(self, contexts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece, start, stop): spans of words covered by recurring windows around the phrases in pieces of text."""
         none = (np.zeros(0, np.int64),) * 3
@@ -274,10 +287,7 @@ class Shard:
         ok = at < len(hits)
         ok[ok] = hits[at[ok]] <= asked[ok] + self.window - self.gram
         x, entry = x[ok], entry[ok]
-        same = np.ones(len(x), bool)
-        for k in range(self.window):
-            same &= t.h[x + k] == self.words[self.at[entry] + k]
-        x = x[same]
+        x = x[self._same_words(t.h, x, self.at[entry])]
         if not len(x):
             return none
         # windows one after another that overlap are one span
