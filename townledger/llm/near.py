@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, Window
 
 from .common import cut_lineage, flag_ids, has_rows, id_filter
-from .shingles import GOLD, mix, shingle_set, step
+from .shingles import GOLD, forget_words, mix, shingle_set, step
 
 SHINGLE = 5
 PERCENT = 75
@@ -65,24 +65,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame({"n_shingles": [len(s) for s in sets],
                                 "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                                 "bands": [band_hashes(s) if len(s) else None for s in sets]})
+        forget_words()
 
     return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("s")).select("doc_id", "s.*")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, items) of the given representatives (node, digest, rep); only texts that may be needed are read into Python."""
-    @F.pandas_udf("array<long>")
-    def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series([shingle_set(t, SHINGLE).view(np.int64) for t in s], dtype=object)
-
-    @F.pandas_udf("binary")
-    def name(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series([xxhash.xxh3_128_digest(np.asarray(x, np.int64).tobytes()) for x in s], dtype=object)
+    @F.pandas_udf("items array<long>, name binary")
+    def read(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            sets = [shingle_set(t, SHINGLE) for t in texts]
+            yield pd.DataFrame({"items": [s.view(np.int64) for s in sets], "name": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
+        forget_words()
 
     texts = flag_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_filter(reps, F.col("rep")), F.col("id")).filter("_maybe")
-    texts = texts.select("id", items("text").alias("items")).withColumn("name", name("items"))
+    texts = texts.select("id", read("text").alias("s")).select("id", "s.items", "s.name")
     # joined on the name alone, so that repeated rows meet in the same partition
     return texts.join(reps, (F.col("name") == F.col("digest")) & F.col("id").eqNullSafe(F.col("rep"))).groupBy("node").agg(F.first("items").alias("items"))
 
@@ -273,9 +271,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct())
 
     @F.pandas_udf("binary")
-    def digest(texts: pd.Series) -> pd.Series:
-        sets = (shingle_set(t, SHINGLE) for t in texts)
-        return pd.Series([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], dtype=object)
+    def digest(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            sets = (shingle_set(t, SHINGLE) for t in texts)
+            yield pd.Series([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], dtype=object)
+        forget_words()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
     rows = flag_ids(rows, id_filter(some, F.col("_id")), F.col("_key"))

@@ -8,7 +8,8 @@ import xxhash
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
-CACHED_WORDS = 300_000
+# Hashes of words that a worker remembers, at most; about 20 MB.
+CACHED_WORDS = 100_000
 
 
 def step(n: int) -> np.uint64:
@@ -34,6 +35,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget_words() -> None:
+    """Give the memory back at the end of a task; the worker lives on for other stages."""
+    _words.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
