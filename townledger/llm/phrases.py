@@ -1,6 +1,6 @@
 """Phrase collocations from Rabin-Karp fingerprints of all word runs.
 
-1. Texts are cut into words once and stored as chunks of about CHUNK words of one language: the chunk's own words and their
+1. Texts are cut into words once and stored as chunks of at most about CHUNK words of one language: the chunk's own words and their
    numbers, with a mark between pieces.
 2. Prefix polynomials give the fingerprint of every run of one or two words. Inside a chunk runs of one fingerprint are compared by
    their words. Fingerprints are dealt into ranges; per distinct run its fingerprint, count and a pointer to an occurrence (chunk,
@@ -26,7 +26,7 @@ from .shingles import window_hashes
 
 LONGEST = 4
 LEAST = 30
-CHUNK = 1_000_000
+CHUNK = 600_000
 # Words per range of fingerprints; a task counts one range.
 RANGE = 1_000_000
 TOP = 2000
@@ -67,14 +67,15 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size
     """(chunk, lang, n, words, ids): words of a chunk joined by a space, and the numbers of its tokens; a text is never cut inside a piece."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
-        held = 0
+        held: dict[str, int] = {}
 
-        def done() -> pd.DataFrame:
+        def done(langs: list[str]) -> pd.DataFrame:
             rows = []
-            for lang, (numbers, lists) in open_.items():
+            for lang in langs:
+                numbers, lists = open_.pop(lang)
+                del held[lang]
                 ids = np.concatenate(lists)
                 rows.append((lang, int((ids > 0).sum()), b" ".join(list(numbers)[1:]), packed(ids)))
-            open_.clear()
             return pd.DataFrame(rows, columns=["lang", "n", "words", "ids"])
 
         for pdf in parts:
@@ -85,12 +86,11 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size
                 numbers, lists = open_.setdefault(lang, (_Numbers(), []))
                 found.append(MARK)
                 lists.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
-                held += len(found)
-                if held >= size:
-                    yield done()
-                    held = 0
+                held[lang] = held.get(lang, 0) + len(found)
+                if sum(held.values()) >= size:  # the language with the most words goes, the others gather on
+                    yield done([max(held, key=held.get)])
         if open_:
-            yield done()
+            yield done(list(open_))
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.mapInPandas(run, "lang string, n long, words binary, ids binary").filter("n > 0")
