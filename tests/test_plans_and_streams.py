@@ -84,6 +84,16 @@ def test_stream_annotate_replaces_earlier_places(spark, tmp_path):
     assert rows(J.annotated(spark, str(tmp_path / "p")), "id", "type", "key") == [("1", "bezirk", "4"), ("1", "stadtteil", "403")]
 
 
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from checks import all_queries  # noqa: F401  (registers the queries)
+    from checks.base import QUERIES
+    files = "/root/testdata/sf0.001"
+    for name in ("benchmark", "region", "nation", "part", "documents"):
+        spark.read.parquet(f"{files}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = rows(QUERIES["stream_annotate"](spark, str(tmp_path)))
+    assert got and got == rows(QUERIES["stream_annotate"](spark, files))
+
+
 def test_council_load_and_recompute(spark):
     paper = {"id": "p1", "type": "x/Paper", "name": "Radweg Feldgärtenstr.", "consultation": [{"id": "c1", "organization": ["o1"]}], "location": {"postalCode": "50823"}}
     org = {"id": "o1", "type": "x/Organization", "name": "Bezirksvertretung 4 (Ehrenfeld)"}
