@@ -141,3 +141,17 @@ def test_failures_and_demand(spark):
                 last, n = t, n + 1
                 first = t if first is None else first
         assert got[city] == (first, last, n)
+
+
+def test_report_of_a_source_without_rows_has_empty_lists(spark):
+    from checks import q_reports
+
+    def t(name):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "events":
+            df = df.unionByName(df.limit(8).withColumn("user_id", F.lit(1000).cast(df.schema["user_id"].dataType)))
+        return df
+
+    got = {r.id: (r.records, r.n_runs, r.n_documents) for r in q_reports.load_report(t).collect()}
+    assert got["1000"] == (0, 8, 0)
+    assert R.report_totals(q_reports.report(t)).first().hints[-1].startswith("Gezeigt")

@@ -279,6 +279,8 @@ def load_report(t: dict[str, DataFrame], configured: DataFrame, now, interval_s:
     df = state.join(counts.withColumnRenamed("source_id", "id"), "id", "left").fillna({c: 0 for c in COUNTERS})
     for part in (roles, runs, newest, cursors, path, queue.withColumnRenamed("source_id", "id")):
         df = df.join(part, "id", "left")
+    for c in ("documents_by_role", "runs", "newest_documents", "cursors"):  # a source without any has an empty list
+        df = df.withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
     due = F.when(F.lit(active) & ~F.col("sample"), F.col("next_due"))
     return (df.fillna(0, ["n_open"]).withColumn("next_due", due)
             .withColumn("type_text", lookup("type", SOURCE_LABELS, F.col("type"))))
@@ -291,7 +293,7 @@ def report_totals(report: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sources"), F.count_if(~F.col("sample")).alias("live_sources"),
         F.count_if((F.col("records") > 0) | (F.col("documents") > 0)).alias("stocked_sources"),
         F.min(F.col("state") == "beispiel").alias("_samples_only"), F.max(F.col("state") == "pause").alias("_paused"),
-        F.max(F.col("runs").isNotNull()).alias("_any_run"))
+        F.max(F.size("runs") > 0).alias("_any_run"))
     hints = F.array_compact(F.array(
         F.when(F.col("_samples_only"), "Bisher gibt es nur Beispiele."),
         F.when(~F.col("_any_run"), "Bisher ist nichts geladen worden."),
