@@ -169,3 +169,21 @@ def test_registers(spark, tmp_path):
                                  "city string, pos int, medium string, title string, url string, date string, keywords array<string>, references array<string>")
     good, errors = registers.load_press(refs)
     assert rows(good, "pos", "keywords") == [(0, ["radweg"])] and rows(errors, "pos") == [(1,), (2,), (3,), (4,)]
+
+
+def test_named_references_are_read_from_short_lists(spark):
+    from html.entities import html5
+
+    from townledger.functions import html as H
+    parts = H.NAMES.split(H.LIST)
+    assert len(parts) == H.LISTS and max(len(p) for p in parts) < 400  # every look-up reads one of them
+    names = list(html5)
+    got = spark.createDataFrame([(k,) for k in names], "k string").select("k", H.unescape(F.concat(F.lit("&"), "k")).alias("v")).collect()
+    assert len(got) == len(names) and all(r.v == html5[r.k] for r in got)
+
+
+def test_notice_titles_are_worked_out_once(spark):
+    from townledger.sources import notices
+    pages = spark.createDataFrame([("1", "https://stadt.example/liste", "")], "page_id string, url string, html string")
+    plan = notices.notice_entries(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<figcaption") == 1

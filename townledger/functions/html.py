@@ -6,6 +6,7 @@ The text is cut at every '&' and each piece decodes the one reference it starts
 from __future__ import annotations
 
 from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,15 +40,21 @@ def _character(n: str) -> str:
             f"ELSE decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32') END")
 
 
-# All named references as one text, name and value between marks: a text is cheap to plan with, a map of its size is not.
-NAME, VALUE = "\x01", "\x02"
-NAMES = NAME + NAME.join(k + VALUE + v for k, v in html5.items()) + NAME
+# All named references as one text, name and value between marks: a text is cheap to plan with, a map of its size is not. It is cut
+# into lists by the checksum of the name once per plan, so that a look-up reads one short list.
+NAME, VALUE, LIST, LISTS = "\x01", "\x02", "\x03", 512
+_LISTS = [[] for _ in range(LISTS)]
+for _k, _v in html5.items():
+    _LISTS[crc32(_k.encode()) % LISTS].append(_k + VALUE + _v)
+NAMES = LIST.join(NAME + NAME.join(part) + NAME for part in _LISTS)
 
 
 def _named(name: str) -> str:
     """Value of a named reference, null if there is none of that name."""
-    at = f"locate(concat({sql_string(NAME)}, {name}, {sql_string(VALUE)}), {sql_string(NAMES)})"
-    return f"IF({name} = '', NULL, {_let('i', at, f'IF(i = 0, NULL, substring_index(substring({sql_string(NAMES)}, i + length({name}) + 2), {sql_string(NAME)}, 1))')})"
+    listed = f"element_at(split({sql_string(NAMES)}, {sql_string(LIST)}), cast(crc32({name}) % {LISTS} AS int) + 1)"
+    at = f"locate(concat({sql_string(NAME)}, {name}, {sql_string(VALUE)}), b)"
+    found = _let("i", at, f"IF(i = 0, NULL, substring_index(substring(b, i + length({name}) + 2), {sql_string(NAME)}, 1))")
+    return f"IF({name} = '', NULL, {_let('b', listed, found)})"
 
 
 def _let(name: str, value: str, body: str) -> str:
