@@ -70,3 +70,19 @@ def test_structured_and_checks(spark):
     assert {(r.type, r.key, r.provenance) for r in P.structured_places(loc, d).collect()} == {
         ("plz", "50823", "oparl"), ("stadtteil", "502", "oparl"), ("bezirk", "5", "oparl")}
     assert dimension_errors(d).count() == 0
+
+
+def test_shown_places_read_the_places_once(spark):
+    d = dims(spark)
+    pl = spark.createDataFrame([(CITY, "r", "stadtteil", "999", "betreff"), (CITY, "r", "bezirk", "4", "betreff"), (CITY, "s", "stadtteil", "401", "betreff"), (CITY, "s", "bezirk", "4", "oparl")],
+                               "city string, id string, type string, key string, provenance string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def noted(rows):
+        for r in rows:
+            reads.add(1)
+            yield r
+
+    out = P.place_display(spark.createDataFrame(pl.rdd.mapPartitions(noted), pl.schema), d)
+    assert sorted((r.id, r.rank, r.name) for r in out.collect()) == [("r", 2, "Stadtbezirk Ehrenfeld"), ("s", 1, "Ehrenfeld")]
+    assert reads.value == 4
