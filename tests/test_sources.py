@@ -187,3 +187,10 @@ def test_notice_titles_are_worked_out_once(spark):
     pages = spark.createDataFrame([("1", "https://stadt.example/liste", "")], "page_id string, url string, html string")
     plan = notices.notice_entries(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<figcaption") == 1
+
+
+def test_table_rows_are_parsed_once(spark):
+    answers = spark.createDataFrame([("d", 1, 1, '{"count":2,"results":[{"a":"1"},7]}')], "dataset_id string, index int, page_no int, body string")
+    got = opendata.open_data_rows(answers)
+    assert [(r.number, [tuple(c) for c in r.cells]) for r in got.collect()] == [(1, [("a", "1")])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("map_entries(") == 1
