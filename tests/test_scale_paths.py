@@ -115,3 +115,41 @@ def test_blank_references_find_nothing_and_spread(spark):
     got = left_join(left, right, "key", "id")
     assert got.columns == ["id", "key", "v"] and got.count() == 90
     assert {(r.id, r.v) for r in got.collect()} == {(i, i % 5 if i % 3 == 2 and i % 5 < 4 else None) for i in range(90)}
+
+
+def test_few_names_equal_word_runs(spark):
+    """Names compared inside the row against all word runs that meet the names in a join."""
+    from helpers import texts
+    rng = random.Random(11)
+    bits = ["Eil", "eil", "Eil_", "_Eil", "EIL", "Eíl", "Porz", "porz", "Alte Stadt", "alte", "Stadt", "Bezirk Nord", "BEZIRK 4", "Bezirk\u00a010", "50823", "x50735",
+            "Ehrenfeld", "ehrenfeld", "Neu-Ehrenfeld", "Neuehrenfeld", "–", "und", "Mitte", "Musterstadt Mitte", "Näherung"]
+    df = texts(spark, [(str(i), rng.choice([" ", ", ", "-"]).join(rng.choice(bits) for _ in range(rng.randint(0, 9))), "betreff", i % 5 == 0) for i in range(150)])
+    d = dims(spark)
+    g = P.build_gazetteer(d)
+    got, expected = P.text_hits(df, g, d), P.text_hits(df, g, d, few=0)
+    assert rows(got) == rows(expected) and got.count() > 100
+
+
+def test_pairs_meet_as_numbers(spark):
+    """One aggregation of plain numbers per pair, however many words a request has."""
+    words = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(130)]
+    records = spark.createDataFrame([("r1", CITY, "2025-01-01", "T", " ".join(words)), ("r2", CITY, "2025-01-02", "T", " ".join(words[:-1]))],
+                                    "id string, city string, date string, title string, search_text string")
+    places = spark.createDataFrame([], "id string, type string, key string, provenance string")
+    pairs = S.match_pairs(spark.createDataFrame([req("many", words=words), req("two", words=words[-2:])], REQ), records, places, dims(spark))
+    assert rows(pairs, "request_id", "id", "stage", "word_points") == [
+        ("many", "r1", 1, 130), ("many", "r1", 3, 130), ("many", "r2", 3, 129), ("two", "r1", 1, 2), ("two", "r1", 3, 2), ("two", "r2", 3, 1)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_terms_of_one_word_leave_the_texts(spark):
+    """Texts travel to the terms only where terms of several words need the whole text."""
+    texts = spark.createDataFrame([("1", "der radweg nippes"), ("2", "die radwege"), ("3", "ab")], "id string, text string")
+
+    def found(terms):
+        df = M.match_many_terms(texts, spark.createDataFrame([(t,) for t in terms], "term string"))
+        return rows(df), df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert found(["radweg", "wege"]) == ([("1", "radweg"), ("2", "radweg"), ("2", "wege")], 1)
+    assert found(["radweg nip", "ab"])[0] == [("1", "radweg nip"), ("3", "ab")]

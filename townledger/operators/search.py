@@ -25,6 +25,7 @@ OR_WORD_MIN = 4
 RECENT_DAYS = 730
 ALL_WORDS, WITHOUT_WORDS, ANY_WORD = 1, 2, 3
 PAIR = ["request_id", "id"]
+WORD_BITS = 62
 
 
 def in_scope(records: DataFrame, sources: DataFrame) -> DataFrame:
@@ -113,10 +114,19 @@ def pair_rows(asked: Asked, records: DataFrame, places: DataFrame, scans: bool =
     pairs of their own, see ``DayLists``.
     """
     ranges = asked.shapes.select("request_id", "plz", "date_from", "date_to")
-    parts = ("place", "theme", "in_title", "word_no", "full_no", "any_word", "points")
+    # the words of a request as bits of as many numbers as its longest list of words needs, so that partial results are plain numbers
+    last = asked.terms.agg(F.max("no")).first()[0] or 0
+    blocks = range(last // WORD_BITS + 1)
+    masks = [f"{kind}_{b}" for kind in ("word", "full") for b in blocks]
+    parts = ("place", "theme", "in_title", "any_word", "points")
+
+    def bit(b, given):
+        here = given & (F.floor(F.col("no") / WORD_BITS) == b)
+        return F.when(here, F.expr(f"shiftleft(1L, CAST(no % {WORD_BITS} AS INT))"))
 
     def hits(df, **given):
-        return df.filter(in_range("date", "date_from", "date_to")).select(*PAIR, "date", *[given.get(p, F.lit(None)).cast("int").alias(p) for p in parts])
+        return df.filter(in_range("date", "date_from", "date_to")).select(
+            *PAIR, "date", *[given.get(p, F.lit(None)).cast("int").alias(p) for p in parts], *[given.get(m, F.lit(None)).cast("long").alias(m) for m in masks])
 
     narrow = records.select("id", "city", "date")
     placed = (places.select("id", "type", "key", "provenance").join(narrow, "id")
@@ -128,16 +138,19 @@ def pair_rows(asked: Asked, records: DataFrame, places: DataFrame, scans: bool =
     titled = match_terms(records.select("id", "city", "date", norm("title").alias("text")), asked.terms.filter("kind = 'theme'"), keep=["city", "date"])
     is_word = F.col("kind") == "word"
     rows = hits(placed, place=F.lit(1), points=place_points()).unionByName(
-        hits(termed, theme=F.when(~is_word, 1), word_no=F.when(is_word, F.col("no")),
-             full_no=F.when(is_word & F.col("full_form"), F.col("no")), any_word=F.when(F.col("any_word"), 1)))
+        hits(termed, theme=F.when(~is_word, 1), any_word=F.when(F.col("any_word"), 1), **{f"word_{b}": bit(b, is_word) for b in blocks},
+             **{f"full_{b}": bit(b, is_word & F.col("full_form")) for b in blocks}))
     rows = rows.unionByName(hits(titled.join(small_side(themes), ["city", "term"]), in_title=F.lit(1)))
     if scans:
         listed = small_side(asked.shapes.filter("scan").select("request_id", "city", "date_from", "date_to"))
         rows = rows.unionByName(hits(narrow.join(listed, "city"), points=F.lit(0)))
     some = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(c)
-    pairs = (rows.groupBy(*PAIR).agg(
-        F.max("date").alias("date"), some("place"), some("theme"), some("in_title"), some("any_word"), F.size(F.collect_set("word_no")).alias("n_matched"),
-        F.size(F.collect_set("full_no")).alias("n_full"), F.coalesce(F.sum("points"), F.lit(0)).alias("points")))
+    number = lambda kind: sum((F.bit_count(f"{kind}_{b}") for b in blocks), F.lit(0)).alias(f"n_{kind}")
+    # a record has one date; as a key it leaves numbers only to aggregate, which needs no sort
+    pairs = (rows.groupBy(*PAIR, "date").agg(
+        some("place"), some("theme"), some("in_title"), some("any_word"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"),
+        *[F.coalesce(F.bit_or(m), F.lit(0)).alias(m) for m in masks])
+        .select(*PAIR, "date", "place", "theme", "in_title", "any_word", "points", number("word").alias("n_matched"), number("full").alias("n_full")))
     shapes = small_side(asked.shapes.select("request_id", "city", "n_words", "n_real", "carried", "has_area", "has_theme", F.col("open").alias("open_asked")))
     base = (~F.col("has_area") | (F.col("place") == 1)) & (~F.col("has_theme") | (F.col("theme") == 1))
     bits = (F.when(F.col("n_matched") == F.col("n_real"), 1).otherwise(0) + F.when((F.col("n_words") > 0) & F.col("carried"), 2).otherwise(0)

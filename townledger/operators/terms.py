@@ -76,11 +76,16 @@ def match_many_terms(texts: DataFrame, terms: DataFrame, keep=(), rows: int = BR
     pieces = F.split("term", " ")
     longest = F.aggregate(pieces, F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
     keyed = terms.select("term", longest.alias("piece"))
-    words = texts.select("id", *keep, F.explode(F.array_distinct(tokens("text"))).alias("word"))
+    phrase = F.contains("term", F.lit(" "))
+    known = keyed.agg(F.min(F.length("piece")).alias("shortest"), F.max(phrase).alias("phrases")).first()
+    # a word shorter than every piece holds none
+    long_enough = F.filter(tokens("text"), lambda w: F.length(w) >= (known.shortest or 1))
+    words = texts.select("id", *keep, F.explode(F.array_distinct(long_enough)).alias("word"))
     vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     by_word = cut_lineage(words_with(vocabulary, keyed).join(small_side(keyed), "piece").select("word", "term", "n").distinct())
     pairs = join_words(words, by_word, rows).select("id", *keep, "term").distinct()
-    phrase = F.contains("term", F.lit(" "))
+    if not known.phrases:
+        return pairs
     several = (pairs.filter(phrase).join(texts.select("id", "text"), "id")
                .filter(F.contains("text", F.col("term"))).select("id", *keep, "term"))
     return pairs.filter(~phrase).unionByName(several)
