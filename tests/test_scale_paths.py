@@ -131,7 +131,7 @@ def test_few_names_equal_word_runs(spark):
 
 
 def test_pairs_meet_as_numbers(spark):
-    """One aggregation of plain numbers per pair, however many words a request has."""
+    """One aggregation of plain numbers per pair, however many words a request has; the candidates read them once."""
     words = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(130)]
     records = spark.createDataFrame([("r1", CITY, "2025-01-01", "T", " ".join(words)), ("r2", CITY, "2025-01-02", "T", " ".join(words[:-1]))],
                                     "id string, city string, date string, title string, search_text string")
@@ -141,6 +141,9 @@ def test_pairs_meet_as_numbers(spark):
         ("many", "r1", 1, 130), ("many", "r1", 3, 130), ("many", "r2", 3, 129), ("two", "r1", 1, 2), ("two", "r1", 3, 2), ("two", "r2", 3, 1)]
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    chosen = S.candidates(pairs)
+    assert rows(chosen, "request_id", "id", "total") == [("many", "r1", 1), ("two", "r1", 1)]
+    assert "search_text" not in chosen._jdf.queryExecution().analyzed().toString()
 
 
 def test_terms_of_one_word_leave_the_texts(spark):

@@ -172,6 +172,7 @@ def candidates(pairs: DataFrame, cap: int | None = None) -> DataFrame:
     The first stage and the total come from one count per request and stage, so that no request's pairs meet in one task.
     """
     if cap is None:
+        pairs = cut_lineage(pairs)  # read by the counts and by the choice
         counts = pairs.groupBy("request_id", "stage").agg(F.count(F.lit(1)).alias("n"))
         first = counts.groupBy("request_id").agg(F.min("stage").alias("stage"), F.min_by("n", "stage").alias("total"))
         df = pairs.join(small_side(first), ["request_id", "stage"]).withColumn("capped", F.lit(False))
