@@ -156,3 +156,19 @@ def test_terms_of_one_word_leave_the_texts(spark):
 
     assert found(["radweg", "wege"]) == ([("1", "radweg"), ("2", "radweg"), ("2", "wege")], 1)
     assert found(["radweg nip", "ab"])[0] == [("1", "radweg nip"), ("3", "ab")]
+
+
+def test_committees_of_few_lists_equal_each_consultation(spark):
+    """Lists of committees named once against names worked out per consultation; the former need no shuffle by consultation."""
+    from townledger.operators import timeline as L
+    rng = random.Random(5)
+    ids = [["g/1"], ["g/2", "g/1"], ["g/9", "x/7"], [], None, ["g/1", "g/2"], ["g/3"]]
+    cons = spark.createDataFrame([(f"c{i}", f"m{rng.randint(0, 9)}", rng.choice(ids)) for i in range(60)], "consultation_id string, meeting_id string, committee_ids array<string>")
+    meet = spark.createDataFrame([(f"m{i}", rng.choice(ids)) for i in range(8)], "meeting_id string, committee_ids array<string>")
+    com = spark.createDataFrame([("g/1", "Rat"), ("g/2", ""), ("g/3", None), ("g/4", "Bau")], "id string, name string")
+    chain = left_join(cons, meet.withColumnRenamed("committee_ids", "meeting_committee_ids"), "meeting_id", "consultation_id")
+    cols = ("consultation_id", "committee")
+    few = L.with_committees(chain, cons, meet, com)
+    assert rows(few, *cols) == rows(L.with_committees(chain, cons, meet, com, rows=0), *cols)
+    assert {r.committee for r in few.collect()} >= {"Rat", "g/2 / Rat", "Gremium 9 / Gremium 7", "Rat / g/2", "g/3", None}
+    assert few.count() == 60
