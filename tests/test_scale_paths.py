@@ -172,3 +172,17 @@ def test_committees_of_few_lists_equal_each_consultation(spark):
     assert rows(few, *cols) == rows(L.with_committees(chain, cons, meet, com, rows=0), *cols)
     assert {r.committee for r in few.collect()} >= {"Rat", "g/2 / Rat", "Gremium 9 / Gremium 7", "Rat / g/2", "g/3", None}
     assert few.count() == 60
+
+
+def test_council_pages_are_parsed_once(spark):
+    """Elements of a page come from one pass over its body; a job reads the fields it needs and no others."""
+    from townledger.sources import council as C
+    one = '{"id":"x/1","type":"a/Meeting","agendaItem":[{"id":"i/1","number":1},"i/2"]}'
+    bodies = ['{"data":[%s,{"id":"x/2","type":"Paper","name":"Ä \\"b\\""}],"links":{}}' % one, "[%s]" % one, one, '{"data":%s}' % one, '{"data":[]}', '{"data":null,"id":"x/9"}', '{"data":"x"}', "kaputt", '{"data":["u/1",3]}']
+    pages = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "url string, body string")
+    objs = C.council_objects(pages)
+    assert rows(objs, "url", "pos", "type") == [("0", 0, "Meeting"), ("0", 1, "Paper"), ("1", 0, "Meeting"), ("2", 0, "Meeting"), ("3", 0, ""), ("5", 0, ""), ("6", 0, "")]
+    items = C.agenda_items(objs)
+    assert rows(items, "id", "meeting_id", "number") == [("i/1", "x/1", "1")]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "verbatimProtocol" not in plan and plan.count("from_json(StructField(data") == 1
