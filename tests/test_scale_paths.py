@@ -186,3 +186,12 @@ def test_council_pages_are_parsed_once(spark):
     assert rows(items, "id", "meeting_id", "number") == [("i/1", "x/1", "1")]
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert "verbatimProtocol" not in plan and plan.count("from_json(StructField(data") == 1
+
+
+def test_words_without_a_term_are_not_shuffled(spark):
+    """With more words than are sent to all tasks, a Bloom filter drops the words that hold no term before the join."""
+    texts = spark.createDataFrame([(f"r{i:03d}", " ".join(f"{a}wort{i % 9}{i * 7 % 13}" for a in "abcdefgh") + (" radwege" if i % 3 == 0 else "")) for i in range(120)], "id string, text string")
+    terms = spark.createDataFrame([("radweg",), ("cwort45",), ("fehlt",)], "term string")
+    df = M.match_many_terms(texts, terms, rows=0)
+    assert rows(df) == rows(M.match_many_terms(texts, terms)) and df.filter("term = 'radweg'").count() == 40
+    assert "_mask" in df._jdf.queryExecution().analyzed().toString()

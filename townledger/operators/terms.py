@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import BROADCAST_ROWS, cut_lineage, fits, settled, small_side
+from .names import NameFilter
 
 FEW_TERMS = 256  # up to here the terms travel inside the expression
 ANCHOR = 5       # letters of a term looked up among the words
@@ -55,7 +56,8 @@ def join_words(words: DataFrame, by_word: DataFrame, rows: int = BROADCAST_ROWS)
     """``words`` (word, …) joined with ``by_word`` (word, n, …), n being how many rows of ``words`` hold the word.
 
     A small ``by_word`` is sent to all tasks. Of a larger one only the words that hold more than one in ``HEAVY`` rows are, of
-    which there are ``HEAVY`` at most; the others go through a shuffle, in which no key is large.
+    which there are ``HEAVY`` at most; the others go through a shuffle, in which no key is large and which a Bloom filter spares
+    the words that are not in ``by_word``.
     """
     small = settled(by_word.drop("n"), rows)
     if rows and small.count() <= rows:
@@ -64,7 +66,9 @@ def join_words(words: DataFrame, by_word: DataFrame, rows: int = BROADCAST_ROWS)
     heavy = F.col("n") * HEAVY > total
     often = by_word.filter(heavy).drop("n")
     rest = words.join(F.broadcast(often.select("word").distinct()), "word", "left_anti")
-    return words.join(F.broadcast(often), "word").unionByName(rest.join(by_word.filter(~heavy).drop("n"), "word"))
+    seldom = by_word.filter(~heavy).drop("n")
+    rest = NameFilter(seldom.select("word").distinct(), ["word"]).keep(rest)
+    return words.join(F.broadcast(often), "word").unionByName(rest.join(seldom, "word"))
 
 
 def match_many_terms(texts: DataFrame, terms: DataFrame, keep=(), rows: int = BROADCAST_ROWS) -> DataFrame:
