@@ -67,6 +67,33 @@ def test_cap_keeps_newest(spark):
     assert [x[0] for x in got["all"]] == ["r1", "r4"] and got["all"][0][3] == 2
 
 
+def test_blocks_give_the_pages_of_the_pairs(spark):
+    """Many requests against many records keep no row per pair; pages, scores and totals are those of the pairs."""
+    rng = random.Random(11)
+    words = ["schule", "schulen", "strasse", "feldstr", "feldstrasse", "radweg", "verkehr", "bau", "bauvorhaben", "platz", "abend", "am"]
+    days = ["", None, "2019-05-01", "2024-10-11", "2024-10-12", "2025-03-01", "2026-01-01"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    recs = [(f"r{i}", CITY if i % 9 else "nordhausen", rng.choice(days), some(4), some(12)) for i in range(90)]
+    kinds = [("stadtteil", "401"), ("stadtteil", "501"), ("bezirk", "4"), ("bezirk", "5"), ("plz", "50823"), ("plz", "50827")]
+    places = [(f"r{rng.randrange(90)}", *rng.choice(kinds), rng.choice(["betreff", "strasse"])) for _ in range(150)]
+    open_ = [(f"r{i}", i % 3 == 0) for i in range(0, 90, 2)]
+    asked = [req(f"q{i}", rng.sample(kinds[:4], rng.randint(0, 2)) if i % 3 == 0 else (), rng.choice(["50823", None, None, None]), ["bauen"] if i % 7 == 0 else (),
+                 [rng.choice([*words, "Feldstraße", "Schul-Platz", "xyz", "!!", "schule radweg"]) for _ in range(rng.randint(0, 4))],
+                 rng.choice([None, None, "2024-10-12"]), rng.choice([None, None, "2026-01-01"]), i % 2 == 0, rng.randint(0, 6), rng.randint(0, 2)) for i in range(120)]
+    recs = spark.createDataFrame(recs, "id string, city string, date string, title string, search_text string")
+    places = spark.createDataFrame(places, "id string, type string, key string, provenance string")
+    asked = spark.createDataFrame(asked, REQ)
+    status = spark.createDataFrame(open_, "id string, open boolean")
+    pages = [S.search(asked, recs, places, dims(spark), TODAY, status, many=n) for n in (0, 10 ** 9)]
+    got, expected = ([tuple(r) for r in p.select(*sorted(pages[1].columns)).orderBy("request_id", "rank").collect()] for p in pages)
+    assert len(expected) > 100 and got == expected
+    d, picked = dims(spark).settled(), []
+    for size, part in ((2048, 16_384), (7, 50)):
+        rows = S.best_rows(S.ask(asked, d), recs, places, TODAY, status, size, part)
+        picked.append(sorted({(r.request_id, r.stage, r.total) for r in rows.collect()}))
+    assert picked[0] == picked[1]
+
+
 def test_many_terms_equal_few_terms_and_brute_force(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(120)]
