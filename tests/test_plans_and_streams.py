@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from helpers import CITY, dims
 from pyspark.sql import functions as F
 
@@ -117,3 +118,36 @@ def test_every_query_is_registered_with_sql():
     from checks.base import QUERIES, SQL
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
     assert set(QUERIES) - set(SQL) == {"sentence_extracts", "understand_questions", "answer_questions"}
+
+
+def test_spans_of_a_batch_are_worked_out_together(spark):
+    """One call takes many spans and finds for each what the greedy rule finds from any last pick before it."""
+    rng = np.random.default_rng(3)
+    lists, spans = [], []
+    for n in (1, 2, 3, 40, 300):
+        for k in (0, 1, 700):
+            for width in (500, 5_000, R.SPAN_S):
+                lists.append(np.unique(k * R.SPAN_S + rng.integers(0, width, n)))
+                spans.append(k)
+    cases = R.span_cases(lists, np.array(spans), 600)
+    for i, (seconds, k) in enumerate(zip(lists, spans)):
+        mine = [{c: int(v[j]) for c, v in cases.items()} for j in np.flatnonzero(cases["row"] == i)]
+        for last in (-10 ** 15, *(k * R.SPAN_S - d for d in (1, 250, 599, 600, 4_000))):
+            picks, at = [], last
+            for s in seconds.tolist():
+                if s >= at + 600:
+                    picks.append(s)
+                    at = s
+            held = [c for c in mine if c["lo"] <= last <= c["hi"]]
+            assert len(held) == 1 and held[0]["n"] == len(picks)
+            assert not picks or (held[0]["first_s"], held[0]["last_s"]) == (picks[0], picks[-1])
+
+
+def test_stream_demand_calls_python_per_batch_not_per_span(spark, tmp_path):
+    df = spark.range(400).select(F.col("id").cast("string").alias("city"), F.lit(None).cast("timestamp").alias("at"))
+    df = df.unionByName(spark.range(400).select(F.col("id").cast("string").alias("city"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("at")))
+    s = arriving(spark, tmp_path, df, ["city < '3'", "city >= '2'"])
+    q = J.stream_demand(s, str(tmp_path / "d"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    assert "InPandasWithState" not in q._jsq.explainInternal(False)
+    assert J.demand_state(spark, str(tmp_path / "d")).agg(F.sum("n")).first()[0] == 400

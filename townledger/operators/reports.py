@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -304,16 +306,16 @@ def report_totals(report: DataFrame) -> DataFrame:
 
 # --- demand ------------------------------------------------------------------
 
-def _chains(seconds: np.ndarray, first: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of greedy picks and the last pick, for each index of a first pick."""
-    at, count = seconds[first], np.ones(len(first), dtype=np.int64)
-    while True:
-        idx = np.searchsorted(seconds, at + gap, side="left")
-        go = idx < len(seconds)
-        if not go.any():
-            return count, at
-        at = np.where(go, seconds[np.minimum(idx, len(seconds) - 1)], at)
-        count += go
+def _chains(seconds: np.ndarray, first: np.ndarray, gap: int, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of greedy picks and the place of the last one, for each place of a first pick; a chain ends before ``stop``."""
+    at, count, live = first.copy(), np.ones(len(first), dtype=np.int64), np.arange(len(first))
+    while len(live):
+        idx = np.searchsorted(seconds, seconds[at[live]] + gap, side="left")
+        go = idx < stop[live]
+        live = live[go]
+        at[live] = idx[go]
+        count[live] += 1
+    return count, at
 
 
 def demand(requests: DataFrame, gap_s: int = DEMAND_GAP_S) -> DataFrame:
@@ -325,30 +327,46 @@ def demand(requests: DataFrame, gap_s: int = DEMAND_GAP_S) -> DataFrame:
     first pick. A walk over the spans then strings them together. No task sees more than the seconds
     of one span, or a city's few cases per span.
     """
-    secs = requests.select("city", F.unix_timestamp("at").alias("s")).groupBy("city", "s").agg(F.count(F.lit(1)).alias("_n"))
-    spans = secs.select("city", F.floor(F.col("s") / SPAN_S).cast("long").alias("span"), "s")
-
-    def per_span(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"city": key[0], "span": key[1], **span_cases(np.sort(pdf["s"].to_numpy()), int(key[1]), gap_s)})
-
-    return walk_spans(spans.groupBy("city", "span").applyInPandas(per_span, f"city string, {SPAN_CASES}"))
+    s = F.unix_timestamp("at")
+    spans = requests.select("city", F.floor(s / SPAN_S).cast("long").alias("span"), s.alias("s")).groupBy("city", "span").agg(F.collect_set("s").alias("seconds"))
+    return walk_spans(cases_of_spans(spans, gap_s))
 
 
 SPAN_CASES = "span long, lo long, hi long, n long, first_s long, last_s long"
 ENDLESS = np.iinfo(np.int64).max
 
 
-def span_cases(seconds: np.ndarray, span: int, gap_s: int = DEMAND_GAP_S) -> dict[str, np.ndarray]:
-    """What a span of sorted seconds notes, for every range (lo to hi) of the last pick before it that makes a difference."""
-    start = span * SPAN_S
-    first = np.arange(min(np.searchsorted(seconds, start + gap_s) + 1, len(seconds)))
-    count, last = _chains(seconds, first, gap_s)
-    before = np.concatenate([[-ENDLESS], seconds[first[:-1]] - gap_s + 1])
-    rows = {"lo": before, "hi": seconds[first] - gap_s, "n": count, "first_s": seconds[first], "last_s": last}
-    if len(first) == len(seconds):  # the last pick may lie too close before all of them
-        extra = {"lo": seconds[-1] - gap_s + 1, "hi": ENDLESS, "n": 0, "first_s": -1, "last_s": -1}
-        rows = {c: np.append(v, extra[c]) for c, v in rows.items()}
-    return rows
+def span_cases(seconds: list[np.ndarray], span: np.ndarray, gap_s: int = DEMAND_GAP_S) -> dict[str, np.ndarray]:
+    """What spans of sorted seconds note, for every range (lo to hi) of the last pick before each that makes a difference; ``row`` is the place of the span."""
+    size = np.array([len(x) for x in seconds], np.int64)
+    stop = np.cumsum(size)
+    begin, row = stop - size, np.repeat(np.arange(len(size)), size)
+    s = np.concatenate(seconds).astype(np.int64)
+    # spans one after another on one axis, too far apart for a chain to go on in the next one
+    base = np.arange(len(size)) * (SPAN_S + 2 * gap_s)
+    axis = s - (span * SPAN_S - base)[row]
+    n = np.minimum(np.searchsorted(axis, base + gap_s) - begin + 1, size)
+    row = np.repeat(np.arange(len(size)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = begin[row] + place
+    count, last = _chains(axis, first, gap_s, stop[row])
+    whole = np.flatnonzero(n == size)  # the last pick may lie too close before all of them
+    none = np.full(len(whole), -1)
+    rows = {"row": (row, whole), "lo": (np.where(place == 0, -ENDLESS, s[first - 1] - gap_s + 1), s[stop[whole] - 1] - gap_s + 1),
+            "hi": (s[first] - gap_s, np.full(len(whole), ENDLESS)), "n": (count, none + 1), "first_s": (s[first], none), "last_s": (s[last], none)}
+    return {c: np.concatenate(v) for c, v in rows.items()}
+
+
+def cases_of_spans(spans: DataFrame, gap_s: int = DEMAND_GAP_S) -> DataFrame:
+    """Cases of all spans; rows are city, span, seconds (in any order)."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                cases = span_cases([np.sort(x) for x in pdf["seconds"]], pdf["span"].to_numpy(np.int64), gap_s)
+                row = cases.pop("row")
+                yield pd.DataFrame({"city": pdf["city"].to_numpy()[row], "span": pdf["span"].to_numpy()[row], **cases})
+
+    return spans.filter("size(seconds) > 0").select("city", "span", "seconds").mapInPandas(run, f"city string, {SPAN_CASES}")
 
 
 def walk_spans(cases: DataFrame) -> DataFrame:
