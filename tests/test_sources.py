@@ -78,6 +78,13 @@ def test_planning(spark):
     assert rows(status) == [("r1", "ok"), ("r2", "login"), ("r3", "unknown")]
 
 
+def test_plan_pages_are_worked_out_once(spark):
+    """The filter on a page's errors stays above the work on its rows, which the plan holds once."""
+    pages = spark.createDataFrame([("s", "p", 1, "{}")], "source_id string, url string, page_no int, body string")
+    plan = planning.planning_procedures(pages, "Stadt Köln", "https://x.de/{id}")[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unexpected procedure object") == 1
+
+
 def test_notices_and_participation(spark):
     html = ('<li><a class="k" href="/mediaasset/content/bekanntmachungen/2026/0191-01_plan.pdf"><time datetime="2026-10-01T00:00">1.10.</time>'
             '<figure>Öffentliche Bekanntmachung von Bauleitplänen: Satzungsbeschluss <b>A</b><figcaption>PDF</figcaption></figure> Hinweisveröffentlichung 02.10.2026</a></li>'

@@ -63,7 +63,7 @@ def planning_procedures(pages: DataFrame, organisation: str, template: str) -> t
         permission = F.coalesce(a["externalPhasePermissionset"], F.lit(""))
         org, title = text("owningOrganisationName"), text("externalName")
         visible = permission.isin("", "read", "write")
-        mine = F.lit(not organisation) | (norm(org) == norm(F.lit(organisation)))
+        mine = F.lit(not organisation) | (org == F.lit(organisation)) | (norm(org) == norm(F.lit(organisation)))
         taken = visible & mine
         error = (F.when((F.coalesce(o["type"], F.lit("")) != "Procedure") | a.isNull(), "unexpected procedure object")
                  .when(~visible, F.lit(None).cast("string"))
@@ -79,9 +79,10 @@ def planning_procedures(pages: DataFrame, organisation: str, template: str) -> t
             period_day(a["externalStartDate"]).alias("begin"), period_day(a["externalEndDate"]).alias("end"),
             text("externalDescription").alias("description"), org.alias("organisation"), permission.alias("permission"))
 
-    df = df.withColumn("_r", F.transform("_o", row))
+    # a generated column: filters on what it holds stay above it, so that no page is worked out again for them
+    df = df.select("source_id", "url", "page_no", shape_ok.alias("_shape_ok"), api_error.alias("_api_error"), F.explode(F.array(F.transform("_o", row))).alias("_r"))
     row_error = F.element_at(F.concat(F.filter(F.transform("_r", lambda r: r["error"]), lambda e: e.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
-    df = df.withColumn("error", F.when(~shape_ok, "no procedure list in the answer").when(api_error, "interface reports an error").otherwise(row_error))
+    df = df.withColumn("error", F.when(~F.col("_shape_ok"), "no procedure list in the answer").when(F.col("_api_error"), "interface reports an error").otherwise(row_error))
     rejects = df.filter("error is not null").select("source_id", "url", "page_no", "error")
     rows = (df.filter("error is null").select("source_id", "url", "page_no", F.explode("_r").alias("r")).filter("r.taken")
             .select("source_id", "page_no", "r.*").drop("taken", "error"))
