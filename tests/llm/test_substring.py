@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from townledger.llm import substring
+from townledger.llm import shingles, substring
 from townledger.llm.common import prepare
 
 
@@ -64,3 +64,25 @@ def test_windows_stay_inside_their_text():
     assert t.valid.tolist() == [True, False, False, False, False, False, True, True]
     t.anchors()
     assert set(t.of[t.places].tolist()) == {0, 3}
+
+
+def test_words_are_hashed_without_a_lookup_per_word(monkeypatch):
+    """All words differ: their hashes come from the bytes at once, the same for a word wherever it stands."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aé漢z.") for _ in range(rng.randint(1, 90))) for _ in range(3000)] + ["a", "a\0", "\0", "x" * 64, "x" * 65, "x" * 200]
+    monkeypatch.setattr(shingles._Words, "__missing__", lambda *_: 1 / 0)
+    shingles.forget_words()
+    t = substring.Texts([" \t".join(words), None, "\n" + "\r\n".join(reversed(words)) + " "], 35)
+    assert [t.text[a:b].decode() for a, b in zip(t.begin, t.end)] == words + words[::-1]
+    assert t.h[:len(words)].tolist() == t.h[len(words):][::-1].tolist() and len(set(t.h.tolist())) == len(set(words))
+    assert t.joined(np.array([0, 5]), np.array([40, 6])) == [" ".join(words[:40]), words[5]]
+
+
+def test_shard_compares_texts(monkeypatch):
+    """With one hash for all words, only windows whose text is that of a home's are found."""
+    home, other = [f"w{i}" for i in range(20)], [f"w{i}" for i in range(19)] + ["x"]
+    monkeypatch.setattr(substring, "span_hashes", lambda text, begin, end: np.full(len(begin), 5, np.uint64))
+    shard = substring.Shard(6)
+    shard.add(" ".join(home), 14, np.array([14]))
+    found = shard.locate([" ".join(home), " ".join(other), "w14 w15 w16"])
+    assert [x.tolist() for x in found] == [[0], [14], [20]]

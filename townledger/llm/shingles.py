@@ -44,6 +44,34 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+# Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
+
+
+def word_bounds(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text with U+0009 to U+000D as spaces, first byte of every word and the byte after its last one."""
+    text = text.translate(_TO_SPACE)
+    edges = np.flatnonzero(np.diff(np.frombuffer(b" " + text + b" ", np.uint8) == 32))
+    return text, edges[::2], edges[1::2]
+
+
+def span_hashes(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these bytes, eight bytes of all words at a time: no lookup, however many words differ."""
+    eight = np.ndarray((len(text) + 1,), "<u8", text + bytes(8), 0, (1,))
+    size = end - begin
+    h = mix(size.astype(np.uint64) * GOLD + (eight[begin] & _BYTES[np.minimum(size, 8)]))
+    at, rows = 8, np.flatnonzero(size > 8)
+    while len(rows) and at < LONG_WORD:
+        h[rows] = mix(h[rows] * GOLD + (eight[begin[rows] + at] & _BYTES[np.minimum(size[rows] - at, 8)]))
+        at += 8
+        rows = rows[size[rows] > at]
+    for i in rows.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[begin[i]:end[i]])
+    return h
+
+
 def run_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of k consecutive words, in order; empty for shorter texts."""
     n = len(h) - k + 1

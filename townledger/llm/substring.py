@@ -4,9 +4,9 @@
    if its anchor does.
 2. Such windows are counted by a 128-bit hash; a recurring one gets one home document.
 3. Around the anchors of recurring windows the home documents give pieces of text, the phrases: the anchor's words are compiled into
-   the automaton of a shard, dealt by the anchor's hash; the piece keeps the windows that recur.
+   the automaton of a shard, two letters of 128 for a word, dealt by the anchor's hash; the piece keeps the windows that recur.
 4. All documents stream by; where windows may recur, the piece around their anchor goes to the anchor's shard. The automaton finds
-   the phrases in it, and windows around a found phrase are compared word by word with the home's window.
+   the phrases in it, and the text of windows around a found phrase is compared with that of the home's window.
 An anchor with more pieces than its share goes to several shards, and so do its phrases.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut_lineage, flag_ids, id_filter, stored
-from .shingles import window_hashes, word_hashes
+from .shingles import span_hashes, window_hashes, word_bounds
 
 WINDOW = 35
 GRAM = 16
@@ -31,6 +31,8 @@ PHRASES_PER_SHARD = 20_000
 # Characters of text worked on in one go, and parts of a shard's share from which an anchor is dealt to several shards.
 SLICE = 2_000_000
 SHARE = 4
+# Letters of an automaton for a word, and bits of its hash in each.
+LETTERS, BITS = 2, 7
 
 
 def split(text: str | None) -> list[str]:
@@ -54,15 +56,12 @@ class Texts:
     """Some whole texts as one run of words; windows that reach into the next text are not ``valid``."""
 
     def __init__(self, texts: list[str | None], window: int):
-        self.words, self.window, self.gram = [], window, _gram(window)
-        size = []
-        for t in texts:
-            found = t.encode().split() if t else []
-            self.words += found
-            size.append(len(found))
-        self.start = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
-        self.of = np.repeat(np.arange(len(texts)), size)
-        self.h = word_hashes(self.words)
+        self.window, self.gram = window, _gram(window)
+        raw = [t.encode() if t else b"" for t in texts]
+        self.text, self.begin, self.end = word_bounds(b" ".join(raw))
+        self.start = np.searchsorted(self.begin, np.cumsum([0, *(len(x) + 1 for x in raw)]))
+        self.of = np.repeat(np.arange(len(raw)), np.diff(self.start))
+        self.h = span_hashes(self.text, self.begin, self.end)
         n = max(0, len(self.h) - window + 1)
         self.valid = self.of[:n] == self.of[window - 1:]
 
@@ -89,7 +88,23 @@ class Texts:
             k[off] += 1
         p, first = np.unique(self.places[k], return_index=True)
         lo, hi = pos[first], pos[np.append(first[1:], len(pos)) - 1]
-        return p, lo, hi, first, [b" ".join(self.words[a:b]).decode() for a, b in zip(lo.tolist(), (hi + self.window).tolist())]
+        return p, lo, hi, first, self.joined(lo, hi + self.window)
+
+    def joined(self, lo: np.ndarray, hi: np.ndarray) -> list[str]:
+        """Texts of the words from ``lo`` to before ``hi``, joined by one space."""
+        a, b = self.begin[lo], self.end[hi - 1]
+        out = [self.text[i:j].decode() for i, j in zip(a.tolist(), b.tolist())]
+        letters = np.append(0, np.cumsum(self.end - self.begin))
+        for i in np.flatnonzero(b - a > letters[hi] - letters[lo] + hi - lo - 1).tolist():  # more than one space between words
+            out[i] = " ".join(filter(None, out[i].split(" ")))
+        return out
+
+    def letters(self) -> str:
+        """The words as LETTERS letters each; those of one place in a word stand for no other place."""
+        out = np.empty((len(self.h), LETTERS), np.uint32)
+        for k in range(LETTERS):
+            out[:, k] = ((self.h >> np.uint64(BITS * k)) & np.uint64((1 << BITS) - 1)) + np.uint64(1 + (k << BITS))
+        return out.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def slices(pdf: pd.DataFrame, window: int) -> Iterator[tuple[Texts, np.ndarray]]:
@@ -185,10 +200,12 @@ def _phrases(rows: DataFrame, homes: DataFrame, hot, window: int) -> DataFrame:
                     continue
                 p, lo, _, first, texts = t.pieces(pos)
                 g = t.g[p].view(np.int64)
-                out = []
-                for x, a, place, text, inner, n in zip(g.tolist(), lo.tolist(), p.tolist(), texts, np.split(pos, first[1:]), _spread(hot.value, g).tolist()):
-                    out += [(x, salt, 0, 0, 0, text, place - a, (inner - a).astype(np.int32)) for salt in range(n)]
-                yield pd.DataFrame(out, columns=["g", "salt", "key", "key2", "start", "context", "place", "windows"])
+                inner = np.split((pos - np.repeat(lo, np.diff(np.append(first, len(pos))))).astype(np.int32), first[1:])
+                n = _spread(hot.value, g)
+                i = np.repeat(np.arange(len(p)), n)
+                salt = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"g": g[i], "salt": salt.astype(np.int32), "key": 0, "key2": np.int32(0), "start": np.int32(0), "context": [texts[j] for j in i.tolist()],
+                                    "place": (p - lo)[i].astype(np.int32), "windows": pd.Series([inner[j] for j in i.tolist()], dtype=object)})
 
     texts = flag_ids(rows, id_filter(homes, F.col("key")), F.col("key")).filter("_maybe").select("key", "text")
     lists = homes.groupBy("key").agg(F.collect_list("w").alias("wanted"))
@@ -216,78 +233,90 @@ def _segments(rows: DataFrame, share, window: int) -> DataFrame:
 
 
 class Shard:
-    """Automaton over the phrases of one shard, with the recurring windows around them as their words' hashes."""
+    """Automaton over the phrases of one shard, with the texts around them and the recurring windows in these."""
 
     def __init__(self, window: int):
         self.window, self.gram = window, _gram(window)
-        self.numbers: dict[str, int] = {}
-        self.lists: list[tuple[np.ndarray, ...]] = []
-        self.size, self.automaton = 0, None
+        self.contexts: list[str] = []
+        self.places: list[int] = []
+        self.windows: list[np.ndarray] = []
+        self.automaton = None
 
     def add(self, context: str, place: int, windows: np.ndarray) -> None:
         """A piece with its phrase at word ``place`` and recurring windows at the words ``windows``."""
-        words = context.split(" ")
-        number = self.numbers.setdefault(f" {' '.join(words[place:place + self.gram])} ", len(self.numbers))
-        h = word_hashes([w.encode() for w in words])
-        self.lists.append((h, window_hashes(h, self.window, 1)[windows], np.full(len(windows), number), windows.astype(np.int64) + self.size))
-        self.size += len(h)
+        self.contexts.append(context)
+        self.places.append(place)
+        self.windows.append(windows)
         self.automaton = None
 
     def _compile(self) -> None:
         self.automaton = ahocorasick.Automaton()
-        for phrase, number in self.numbers.items():
-            self.automaton.add_word(phrase, (len(phrase), number))
+        numbers: dict[str, int] = {}
+        found, texts, letters_before, words_before = [], [], 0, 0
+        for t, part in slices(pd.DataFrame({"text": self.contexts}), self.window):
+            spelt, first = t.letters(), t.start[:-1]
+            number = []
+            for p in (first + np.array(self.places)[part]).tolist():
+                phrase = spelt[p * LETTERS:(p + self.gram) * LETTERS]
+                n = numbers.setdefault(phrase, len(numbers))
+                if n == len(numbers) - 1:
+                    self.automaton.add_word(phrase, n)
+                number.append(n)
+            size = [len(self.windows[i]) for i in part]
+            at = np.concatenate([self.windows[i] for i in part]) + np.repeat(first, size)
+            found.append((t.windows()[at], np.repeat(number, size), at + words_before, t.begin + letters_before, t.end + letters_before))
+            texts.append(t.text)
+            letters_before, words_before = letters_before + len(t.text) + 1, words_before + len(t.h)
         self.automaton.make_automaton()
-        self.words, hashes, number, at = (np.concatenate(x) for x in zip(*self.lists))
+        hashes, number, at, self.begin, self.end = (np.concatenate(x) for x in zip(*found))
+        self.text = b" ".join(texts)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.number, self.at = hashes[order], number[order], at[order]
-        self.lists = [(self.words, hashes, number, at)]
 
-    def _same_words(self, h: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether the windows at ``x`` have the words of the homes' windows at ``at``; runs of windows are compared once."""
+    def _same_text(self, t: Texts, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the windows at ``x`` have the text of the homes' windows at ``at``; runs of windows are compared at once."""
+        def same(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+            ours = zip(t.begin[x[first]].tolist(), t.end[x[last] + self.window - 1].tolist())
+            homes = zip(self.begin[at[first]].tolist(), self.end[at[last] + self.window - 1].tolist())
+            return np.array([t.text[a:b] == self.text[c:d] for (a, b), (c, d) in zip(ours, homes)], bool)
+
         if not len(x):
             return np.zeros(0, bool)
         first = np.flatnonzero(np.append(True, (x[1:] != x[:-1] + 1) | (at[1:] != at[:-1] + 1)))
-        size = np.diff(np.append(first, len(x))) + self.window - 1
-        begin = np.cumsum(size) - size
-        step = np.arange(size.sum()) - np.repeat(begin, size)
-        other = h[np.repeat(x[first], size) + step] != self.words[np.repeat(at[first], size) + step]
-        before = np.append(0, np.cumsum(other))
-        place = np.arange(len(x)) - np.repeat(first, size - self.window + 1) + np.repeat(begin, size - self.window + 1)
-        return before[place + self.window] == before[place]
+        size = np.diff(np.append(first, len(x)))
+        ok = np.repeat(same(first, first + size - 1), size)
+        left = np.flatnonzero(~ok & np.repeat(size > 1, size))
+        ok[left] = same(left, left)
+        return ok
 
     def locate(self, contexts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece, start, stop): spans of words covered by recurring windows around the phrases in pieces of text."""
         none = (np.zeros(0, np.int64),) * 3
-        if not self.numbers or not contexts:
+        if not self.contexts or not contexts:
             return none
         if self.automaton is None:
             self._compile()
-        joined = "\n".join(f" {c} " for c in contexts)
-        found = list(self.automaton.iter(joined))
+        t = Texts(contexts, self.window)
+        found = list(self.automaton.iter(t.letters()))
         if not found:
             return none
-        t = Texts(contexts, self.window)
-        h = t.windows()
+        x = np.flatnonzero(t.valid)
+        h = t.windows()[x]
         near = np.searchsorted(self.hashes, h)
         near[near == len(self.hashes)] = 0
-        x = np.flatnonzero((self.hashes[near] == h) & t.valid)
-        entry = near[x]
-        # places of the phrases found, as words
-        letters = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        blank = (letters == 32) | (letters == 10)
-        word = np.cumsum(blank[:-1] & ~blank[1:])
-        end, what = zip(*found)
-        size, number = (np.array(v) for v in zip(*what))
+        known = self.hashes[near] == h
+        x, entry = x[known], near[known]
+        # places of the phrases found, as words; one that reaches into the next piece lies in no window
+        end, number = (np.array(v) for v in zip(*found))
         n = len(t.h) + 1
-        hits = np.sort(number * n + word[np.array(end) - size + 1] - 1)
+        hits = np.sort(number * n + (end + 1) // LETTERS - self.gram)
         # the window's own phrase must lie in it
         asked = self.number[entry] * n + x
         at = np.searchsorted(hits, asked)
         ok = at < len(hits)
         ok[ok] = hits[at[ok]] <= asked[ok] + self.window - self.gram
         x, entry = x[ok], entry[ok]
-        x = x[self._same_words(t.h, x, self.at[entry])]
+        x = x[self._same_text(t, x, self.at[entry])]
         if not len(x):
             return none
         # windows one after another that overlap are one span
@@ -298,25 +327,37 @@ class Shard:
 
 
 def _locate(phrases: DataFrame, segments: DataFrame, shards: int, window: int) -> DataFrame:
-    """(key, key2, start, stop): shards get their phrases first, then the segments stream by; nothing else is kept in memory."""
+    """(key, key2, span): shards get their phrases first, then the segments stream by; no more than SLICE characters of these are kept in memory."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = Shard(window)
+        shard, held, size = Shard(window), [], 0
+
+        def done() -> Iterator[pd.DataFrame]:
+            if held:
+                pdf = pd.concat(held)
+                held.clear()
+                row, start, stop = shard.locate(pdf["context"].tolist())
+                if len(row):
+                    at = pdf["start"].to_numpy()[row].astype(np.int64)
+                    yield pd.DataFrame({"key": pdf["key"].to_numpy()[row], "key2": pdf["key2"].to_numpy()[row], "span": (at + start << 32) + at + stop})
+
         for pdf in parts:
             segment = pdf["windows"].isna().to_numpy()
             for context, place, windows in zip(*(pdf[c][~segment] for c in ("context", "place", "windows"))):
                 shard.add(context, place, np.asarray(windows))
-            pdf = pdf[segment]
-            row, start, stop = shard.locate(pdf["context"].tolist())
-            if len(row):
-                at = pdf["start"].to_numpy()[row]
-                yield pd.DataFrame({"key": pdf["key"].to_numpy()[row], "key2": pdf["key2"].to_numpy()[row], "start": at + start, "stop": at + stop})
+            if segment.any():
+                held.append(pdf.loc[segment, ["key", "key2", "start", "context"]])
+                size += sum(map(len, held[-1]["context"]))
+                if size >= SLICE:
+                    yield from done()
+                    size = 0
+        yield from done()
 
     both = phrases.unionByName(segments).repartition(shards, "g", "salt").sortWithinPartitions(F.col("windows").isNull())
-    return both.select("key", "key2", "start", "context", "place", "windows").mapInPandas(run, "key long, key2 int, start int, stop int")
+    return both.select("key", "key2", "start", "context", "place", "windows").mapInPandas(run, "key long, key2 int, span long")
 
 
 def recurring_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, key2, spans): word spans that recurring windows cover, for the documents that have some."""
+    """(key, key2, spans): word spans that recurring windows cover, for the documents that have some; start << 32 | stop each."""
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     anchors = cut_lineage(_recurring_anchors(rows, window))
@@ -332,7 +373,7 @@ def recurring_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     phrases = stored(_phrases(rows, homes, spark.sparkContext.broadcast(hot), window), "phrases")
     ours = spark.sparkContext.broadcast((_bitmap(phrases.select(F.col("g").alias("h")).distinct()), _bitmap(homes.select(F.col("w").alias("h"))), hot))
     found = _locate(phrases, _segments(rows, ours, window), shards, window)
-    return cut_lineage(found.groupBy("key", "key2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    return cut_lineage(found.groupBy("key", "key2").agg(F.collect_set("span").alias("spans")))
 
 
 def remove_recurring(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,10 +391,12 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         out = []
         for t, found in zip(texts, spans):
             words = t.encode().split() if t else []
-            gone = np.zeros(len(words), bool)
-            for x in found if found is not None else ():
-                gone[x["start"]:x["stop"]] = True
-            out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()))
+            kept, done = [], 0
+            for x in sorted(found.tolist()) if found is not None else ():
+                kept += words[done:x >> 32]
+                done = max(done, x & 0xFFFFFFFF)
+            kept += words[done:]
+            out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
 
     rows = flag_ids(_rows(docs, id_col, text_col), id_filter(spans, F.col("key")), F.col("key"))
