@@ -108,3 +108,26 @@ def test_every_run_lies_in_one_range():
         assert [r[0] for r in rows] == sorted({r[0] for r in rows}) and 0 <= rows[0][0] and rows[-1][0] < parts
         assert np.concatenate([phrases.unpacked(r[4]) for r in rows]).tolist() == list(range(5000))
         assert np.concatenate([phrases.unpacked(r[3], 6) for r in rows]).tolist() == (f >> np.uint64(16)).tolist()
+
+
+def test_chunks_fill_up_in_every_language(spark):
+    """Languages that take turns don't cut one another's chunks short; many languages together are bounded."""
+    prepare(spark)
+    rows = [("a b c d e f g h i j", f"l{i % 4}") for i in range(400)]
+    got = phrases.chunks(spark.createDataFrame(rows, "text string, lang string").coalesce(1), size=220).collect()  # a text is ten words and a mark
+    assert sorted((r.lang, r.n) for r in got) == [(f"l{i}", 200) for i in range(4) for _ in range(5)]
+    rows = [("a b c d e f g h i j", f"l{i % 100}") for i in range(1000)]
+    got = phrases.chunks(spark.createDataFrame(rows, "text string, lang string").coalesce(1), size=50).collect()
+    assert sum(r.n for r in got) == 10_000 and all(r.n < 50 for r in got)
+
+
+def test_texts_of_a_chunk_go_as_few_rows(spark):
+    """One row per chunk and TEXT_RANGES ranges, not one per phrase; a phrase has one part in all chunks."""
+    prepare(spark)
+    rows = texts(random.Random(4), 80)
+    chunks = phrases.chunks(spark.createDataFrame(rows, "text string, lang string").coalesce(2), size=10 ** 6)
+    parts = 3 * phrases.TEXT_RANGES
+    got = phrases._texts(chunks, phrases._frequent(phrases._short_runs(chunks, parts), 1))
+    assert got.count() <= chunks.count() * 3 < phrases._summed(got, 1).count()
+    found = phrases._summed(got, 1).groupBy("lang", "phrase").count()
+    assert found.filter("count > 1").count() == 0

@@ -7,7 +7,8 @@
    place) go to the range's task, those of a chunk and range together as one row.
 3. Pointers of fingerprints that are frequent in all go back to their chunks. There runs of three and four words are counted alike, if all
    pairs of words in them are frequent; a run cannot occur more often than a part of it.
-4. Chunks turn the pointers of frequent fingerprints into text. Counts are summed by text, so phrases that share a fingerprint come apart.
+4. Chunks turn the pointers of frequent fingerprints into text: the sorted, compressed texts of a chunk and several ranges go as one
+   row. Counts are summed by text, so phrases that share a fingerprint come apart.
 No filter of frequent runs is sent to all tasks: a chunk gets back its own runs only, and the plan is the same at every size.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, Window
 
@@ -29,6 +31,10 @@ LEAST = 30
 CHUNK = 600_000
 # Words per range of fingerprints; a task counts one range.
 RANGE = 1_000_000
+# Ranges whose texts are summed in one task.
+TEXT_RANGES = 8
+# Languages gather until one has enough words for a chunk, or all of them as many as this many chunks.
+GATHERED = 4
 TOP = 2000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # A byte that UTF-8 never holds marks the end of a piece.
@@ -68,6 +74,7 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
         held: dict[str, int] = {}
+        total = 0
 
         def done(langs: list[str]) -> pd.DataFrame:
             rows = []
@@ -87,8 +94,11 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size
                 found.append(MARK)
                 lists.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                 held[lang] = held.get(lang, 0) + len(found)
-                if sum(held.values()) >= size:  # the language with the most words goes, the others gather on
-                    yield done([max(held, key=held.get)])
+                total += len(found)
+                if held[lang] >= size or total >= GATHERED * size:  # the language with the most words goes, the others gather on
+                    full = max(held, key=held.get)
+                    total -= held[full]
+                    yield done([full])
         if open_:
             yield done(list(open_))
 
@@ -125,7 +135,8 @@ def distinct_runs(ids: np.ndarray, fp: np.ndarray, at: np.ndarray, k: int) -> tu
 
 
 _RUNS = "part int, k int, chunk long, fps binary, places binary, counts binary"
-_PLACES = "chunk long, k int, places binary, counts binary"
+_PLACES = "part int, chunk long, k int, places binary, counts binary"
+_TEXTS = "part int, lang string, phrases binary, counts binary"
 
 
 def _rows(chunk: int, k: int, parts: int, f: np.ndarray, place: np.ndarray, count: np.ndarray) -> list[tuple]:
@@ -163,7 +174,7 @@ def _frequent(runs: DataFrame, least: int) -> DataFrame:
             edges = np.searchsorted(owner[often], np.arange(len(mine) + 1))
             for chunk, lo, hi in zip(mine["chunk"].tolist(), edges[:-1], edges[1:]):
                 if lo < hi:
-                    out.append((chunk, int(k), packed(places[often[lo:hi]]), packed(counts[often[lo:hi]])))
+                    out.append((int(pdf["part"].iloc[0]), chunk, int(k), packed(places[often[lo:hi]]), packed(counts[often[lo:hi]])))
         return _frame(out, _PLACES)
 
     return runs.groupBy("part").applyInPandas(pick, _PLACES)
@@ -189,21 +200,37 @@ def _long_runs(all_chunks: DataFrame, short: DataFrame, parts: int) -> DataFrame
 
 
 def _texts(all_chunks: DataFrame, places: DataFrame) -> DataFrame:
-    """(lang, phrase, k, count): what the pointers point to."""
+    """What the pointers point to: a row per chunk and TEXT_RANGES ranges, with sorted phrases and their counts."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        langs, texts, sizes, counts = [], [], [], []
+        out, squeeze = [], zstandard.ZstdCompressor().compress
         for lang, words, data in zip(left["lang"], left["words"], left["ids"]):
-            ids, names = unpacked(data), [None, *words.decode().split(" ")]
-            for k, where, count in zip(right["k"].tolist(), right["places"], right["counts"]):
-                at = unpacked(where)
-                texts += map(" ".join, zip(*([names[i] for i in ids[at + j].tolist()] for j in range(k))))
-                sizes += [k] * len(at)
-                counts += unpacked(count).tolist()
-            langs += [lang] * (len(texts) - len(langs))
-        return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "phrase": pd.Series(texts, dtype=object), "k": sizes, "count": counts})
-
-    return (all_chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(places.groupBy("chunk"))
-            .applyInPandas(run, "lang string, phrase string, k int, count long"))
+            ids, names = unpacked(data), [None, *words.split(b" ")]
+            for part, mine in right.groupby(right["part"] // TEXT_RANGES):
+                texts, counts = [], []
+                for k, where, count in zip(mine["k"].tolist(), mine["places"], mine["counts"]):
+                    at = unpacked(where)
+                    texts += map(b" ".join, zip(*([names[i] for i in ids[at + j].tolist()] for j in range(k))))
+                    counts.append(unpacked(count))
+                order = sorted(range(len(texts)), key=texts.__getitem__)
+                out.append((int(part), lang, squeeze(b"\n".join([texts[i] for i in order])), squeeze(packed(np.concatenate(counts)[order]))))
+        return _frame(out, _TEXTS)
+
+    return all_chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(places.groupBy("chunk")).applyInPandas(run, _TEXTS)
+
+
+def _summed(texts: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, k, f) of the phrases that occur ``least`` times in all; a phrase has the same part in all chunks."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        totals: dict[str, dict[bytes, int]] = {}
+        loosen = zstandard.ZstdDecompressor().decompress
+        for lang, phrases, counts in zip(pdf["lang"], pdf["phrases"], pdf["counts"]):
+            mine = totals.setdefault(lang, {})
+            for phrase, n in zip(loosen(phrases).split(b"\n"), unpacked(loosen(counts)).tolist()):
+                mine[phrase] = mine.get(phrase, 0) + n
+        rows = [(lang, phrase.decode(), phrase.count(b" ") + 1, n) for lang, mine in totals.items() for phrase, n in mine.items() if n >= least]
+        return pd.DataFrame(rows, columns=["lang", "phrase", "k", "f"])
+
+    return texts.groupBy("part").applyInPandas(add, "lang string, phrase string, k int, f long")
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -213,8 +240,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     parts = (words.agg(F.sum("n")).first()[0] or 0) // RANGE + 1
     short = stored(_frequent(_short_runs(all_chunks, parts), least), "short")
     long = _frequent(_long_runs(all_chunks, short, parts), least)
-    texts = _texts(all_chunks, short.unionByName(long))
-    found = stored(texts.groupBy("lang", "phrase", "k").agg(F.sum("count").alias("f")).filter(F.col("f") >= least), "phrases")
+    found = stored(_summed(_texts(all_chunks, short.unionByName(long)), least), "phrases")
     return found, words
 
 
