@@ -94,6 +94,25 @@ def test_blocks_give_the_pages_of_the_pairs(spark):
     assert picked[0] == picked[1]
 
 
+def test_blocks_keep_what_the_pages_need(spark):
+    """However many blocks and steps the records are dealt into, a request keeps the rows of its page only, and they are the same."""
+    rng = random.Random(12)
+    recs = [(f"r{i:02d}", CITY, rng.choice(["", None, "2024-01-01", "2025-03-01"]), "Radweg", " ".join(rng.sample(["radweg", "schulweg", "schule", "markt", "am", "platz"], rng.randint(0, 5)))) for i in range(80)]
+    recs += [("r00", CITY, "2025-03-01", "Platz", "am platz am platz"), (None, CITY, "2025-03-02", "Platz", "schule radweg")]
+    recs = spark.createDataFrame(recs, "id string, city string, date string, title string, search_text string")
+    places = spark.createDataFrame([(f"r{i:02d}", "stadtteil", "401", "betreff") for i in range(0, 80, 3)], "id string, type string, key string, provenance string")
+    asked = [req(f"q{i}", [("stadtteil", "401")] if i % 3 == 0 else (), None, ["verkehr"] if i % 5 == 0 else (), rng.sample(["weg", "Schule", "markt", "am platz", "rad", "nie"], rng.randint(1, 3)),
+                 None, rng.choice([None, "2025-01-01"]), False, rng.choice([0, 1, 3]), rng.choice([0, 1])) for i in range(40)]
+    asked = S.ask(spark.createDataFrame(asked, REQ), dims(spark).settled())
+    needed = asked.shapes.selectExpr("sum(if(limit + offset > 0, limit + offset, 0))").first()[0]
+    kept = []
+    for size, part, step in ((2048, 16_384, 2048), (9, 7, 9), (30, 11, 4)):
+        rows = S.best_rows(asked, recs, places, TODAY, None, size, part, step).collect()
+        assert len(rows) <= needed
+        kept.append(sorted((r.request_id, r.stage, r.total, str(r.date), r.points, r.word_points, r.theme_points) for r in rows))
+    assert len(kept[0]) > 40 and kept[0] == kept[1] == kept[2]
+
+
 def test_many_terms_equal_few_terms_and_brute_force(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(120)]
