@@ -92,3 +92,23 @@ def test_best_record_may_be_old(spark):
     asked = spark.createDataFrame([(1, 2, 0)], "request_id int, limit int, offset int")
     got = search.page(cands.withColumn("score", F.col("points")), asked).orderBy("rank").collect()
     assert [r.id for r in got][0] == "0" and len(got) == 2
+
+
+def test_names_of_rows_are_read_without_their_values(spark):
+    """Names and sizes of all answers are what the rows have, whatever shape the rows are in; what names don't say is found in the row."""
+    bodies = ['{"count":2,"results":[{"Titel":"A \\u00e4","Beginn":"1.2.2024","x":{"y":[1]}},{"Titel":"B","Titel":"C","ende":null}]}',
+              '{"results":[["T1","2024-01-02"],["T2"],[],null,"Wort",{}],"schema":{"s":{"fields":{"titel":{},"datum":{}}}}}', '{"results":[]}', '{"results":{"Titel":"allein"}}', '{}',
+              '{"results":["{\\"Titel\\":\\"im Text\\"}","{kaputt"]}']
+    answers = spark.createDataFrame([(f"d{i % 2}", 0, i, b) for i, b in enumerate(bodies)], "dataset_id string, index int, page_no int, body string")
+    shapes = opendata.row_shapes(answers)
+    rows, named = opendata.open_data_rows(answers), opendata.open_data_rows(answers, shapes)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, named.collect())) and rows.count() > 7
+    lists = {tuple(c["name"] for c in r.cells) for r in rows.collect()}
+    assert lists <= {tuple(r[0]) for r in opendata.row_names(shapes).collect()}
+    meta = spark.createDataFrame([("d0", "Baustellen", "2026-01-01", "Zero", "https://x"), ("d1", "Rad", "", "", "")], "dataset_id string, title string, modified string, licence_text string, original_url string")
+    plain = sorted(map(str, opendata.dataset_rows_to_entries(rows, meta, "2024-01-01").collect()))
+    for names in (opendata.row_names(shapes), opendata.row_names(shapes).limit(1)):
+        assert sorted(map(str, opendata.dataset_rows_to_entries(named, meta, "2024-01-01", names=names).collect())) == plain
+    # the pass for the names parses no value
+    plan = opendata.row_names(shapes)._jdf.queryExecution().toString()
+    assert "map_entries" not in plan and "entries" not in plan.lower()
